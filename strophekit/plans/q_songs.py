@@ -172,11 +172,6 @@ def q_parsed_stanzas(spark, sf_dir):
 
 
 # --- meter / syllable / phonetics / diversity on conversation stanzas --------
-@register("meter_by_song")
-def q_meter(spark, sf_dir):
-    return _scored(spark, sf_dir, "meter")
-
-
 @register("phonetics_by_song", f"""
 WITH {SQL_STANZAS},
 pscore AS (SELECT id, abs(len(l1) - len(l2))::DOUBLE / least(len(l1), len(l2)) AS s FROM pairs),
