@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "string_similarity_by_song",   # X1 slice: stanzas -> pairs -> M3 -> A12 -> M16
     "parsed_stanzas",              # T1-T8 parser over rebuilt song texts
+    "scored_songs",                # X1 end to end: parse + pair + score in-row
     "meter_by_song",               # M6 with the syllable rule
     "syllable_by_song",            # M7/M8 DTW (batched pandas UDF)
     "diversity_mtld_by_song",      # M9 (batched pandas UDF)

@@ -157,6 +157,46 @@ def parse_songs(df: DataFrame, text_col: str, keys: Sequence[str],
                       non_blank_lines(F.col("_s.body")).alias("lines"))
 
 
+def parse_song_arrays(df: DataFrame, text_col: str, keys: Sequence[str],
+                      cut: str = "first") -> DataFrame:
+    """Songs -> one row per song with ``stanzas ARRAY<STRUCT<pos, keyword,
+    lines>>`` (T1-T8 without leaving the row)."""
+    keys = list(keys)
+    arr = stanza_array(df.select(*keys, text_col), text_col, "_st", cut)
+    st = F.transform("_st", lambda s, i: F.struct(i.alias("pos"), s["keyword"].alias("keyword"),
+                                                  non_blank_lines(s["body"]).alias("lines")))
+    return arr.select(*keys, st.alias("stanzas"))
+
+
+def stanza_arrays_from_rows(df: DataFrame, keys: Sequence[str], order_col: str,
+                            keyword_col: str, text_col: str) -> DataFrame:
+    """Rows that are already stanzas -> one row per song with its ordered
+    stanza array (same normalisation as the parser; blank stanzas dropped,
+    ``pos`` renumbered).  One aggregation keyed by the song; a group holds
+    the stanzas of one song."""
+    keys = list(keys)
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(order_col).alias("o"), F.col(keyword_col).alias("keyword"),
+        non_blank_lines(normalise_text(F.col(text_col))).alias("lines")))).alias("_s"))
+    kept = F.filter("_s", lambda s: F.size(s["lines"]) > 0)
+    st = F.transform(kept, lambda s, i: F.struct(i.alias("pos"), s["keyword"].alias("keyword"),
+                                                 s["lines"].alias("lines")))
+    return g.select(*keys, st.alias("stanzas"))
+
+
+def matching_from_array(st: Column) -> tuple[Column, Column]:
+    """W1 + T9 inside a song row: label code = number of distinct labels
+    seen before the label's first stanza; error when some stanza follows
+    the 10th distinct label."""
+    kws = F.transform(st, lambda s: s["keyword"])
+    codes = F.transform(kws, lambda k: F.size(F.array_distinct(
+        F.slice(kws, 1, F.array_position(kws, k).cast("int") - 1))))
+    matching = F.array_join(F.transform(codes, lambda c: c.cast("string")), "-")
+    n = F.size(kws)
+    before_last = F.size(F.array_distinct(F.slice(kws, 1, F.greatest(n - 1, F.lit(0)))))
+    return matching, F.when(before_last >= 10, F.lit("labels"))
+
+
 def normalise_text(c: Column) -> Column:
     """The song-level normalisation the parser applies (fold, lower)."""
     return F.lower(fold_ascii(c))

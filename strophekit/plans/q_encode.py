@@ -11,7 +11,6 @@ from strophekit.operators import encode as EN
 from strophekit.operators import measures as M
 from strophekit.plans.catalog import r6, register, table
 from strophekit.plans.q_songs import SQL_STANZAS, conversation_songs
-from strophekit.plans.scoring import score_stanzas
 
 _V = "('e', 'a', 'o', 'u', 'i')"
 
@@ -101,8 +100,7 @@ SELECT songs.id, 'meter' AS measure,
 FROM songs LEFT JOIN agg ON songs.id = agg.id
 """)
 def q_meter(spark, sf_dir):
-    stanzas, songs = conversation_songs(spark, sf_dir)
-    s = score_stanzas(stanzas, songs, ["id"], ["meter"])
+    s = M.score_song_arrays(conversation_songs(spark, sf_dir), ["id"], ["meter"])
     return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
 
@@ -123,8 +121,7 @@ SELECT songs.id, 'syllable_offset0' AS measure, round(coalesce(agg.score, 0.0),
 FROM songs LEFT JOIN agg ON songs.id = agg.id
 """)
 def q_syllable_offset0(spark, sf_dir):
-    stanzas, songs = conversation_songs(spark, sf_dir)
-    s = score_stanzas(stanzas, songs, ["id"], ["syllable_offset0"])
+    s = M.score_song_arrays(conversation_songs(spark, sf_dir), ["id"], ["syllable_offset0"])
     return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
 

@@ -7,26 +7,23 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strophekit.operators import measures as M
-from strophekit.operators.structure import (parse_songs, stanza_matching,
-                                            stanzas_from_rows)
+from strophekit.operators.structure import (matching_from_array, parse_songs,
+                                            stanza_arrays_from_rows)
 from strophekit.plans.catalog import r6, register, table
-from strophekit.plans.scoring import score_stanzas
 
 KEYS = ["id"]
 
 
 def conversation_songs(spark: SparkSession, sf_dir: str):
-    conv = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("id"), "turn", F.col("role").alias("keyword"), "text")
-    conv = conv.repartition("id")
-    stanzas = stanzas_from_rows(conv, KEYS, "turn", "keyword", "text")
-    songs = conv.select("id").distinct()
-    return stanzas, songs
+    """One row per conversation with its ordered stanza array (the only
+    shuffle of the song queries: turns grouped by conversation)."""
+    conv = table(spark, sf_dir, "conversations")
+    return stanza_arrays_from_rows(conv.withColumnRenamed("conv_id", "id"), KEYS,
+                                   "turn", "role", "text")
 
 
 def _scored(spark, sf_dir, measure):
-    stanzas, songs = conversation_songs(spark, sf_dir)
-    s = score_stanzas(stanzas, songs, KEYS, [measure])
+    s = M.score_song_arrays(conversation_songs(spark, sf_dir), KEYS, [measure])
     return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
 
@@ -98,8 +95,11 @@ WITH {SQL_STANZAS}
 SELECT id, keyword, pos1::INT AS pos1, pos2::INT AS pos2 FROM pairs
 """)
 def q_stanza_pairs(spark, sf_dir):
-    stanzas, _ = conversation_songs(spark, sf_dir)
-    return M.build_pairs(stanzas, KEYS).select("id", "keyword", "pos1", "pos2")
+    songs = conversation_songs(spark, sf_dir)
+    st = F.col("stanzas")
+    p = songs.select("id", "stanzas", F.explode(M.pair_index(st)).alias("ij"))
+    return p.select("id", st[F.col("ij.i")]["keyword"].alias("keyword"),
+                    st[F.col("ij.i")]["pos"].alias("pos1"), st[F.col("ij.j")]["pos"].alias("pos2"))
 
 
 @register("stanza_matching", f"""
@@ -118,8 +118,9 @@ FROM codes c JOIN lastp l ON c.id = l.id
 GROUP BY c.id
 """)
 def q_stanza_matching(spark, sf_dir):
-    stanzas, _ = conversation_songs(spark, sf_dir)
-    return stanza_matching(stanzas, KEYS)
+    songs = conversation_songs(spark, sf_dir)
+    matching, error = matching_from_array(F.col("stanzas"))
+    return songs.select("id", matching.alias("matching"), error.alias("error"))
 
 
 @register("song_score_grid", f"""
@@ -130,9 +131,8 @@ FROM songs LEFT JOIN pc ON songs.id = pc.id
 """)
 def q_song_score_grid(spark, sf_dir):
     """A12 zero rule: every song, with its pair count (0 when none)."""
-    stanzas, songs = conversation_songs(spark, sf_dir)
-    s = score_stanzas(stanzas, songs, KEYS, ["phonetics"])
-    return s.select("id", "n_pairs")
+    songs = conversation_songs(spark, sf_dir)
+    return songs.select("id", F.size(M.pair_index(F.col("stanzas"))).cast("long").alias("n_pairs"))
 
 
 # --- parser round trip (T1-T8) ----------------------------------------------
@@ -216,3 +216,23 @@ FROM songs LEFT JOIN agg ON songs.id = agg.id
 """)
 def q_avg_ttr(spark, sf_dir):
     return _scored(spark, sf_dir, "diversity_avg_ttr")
+
+
+# --- X1 end to end on raw song texts -----------------------------------------
+def _x1_sql() -> str:
+    parts = []
+    for m, ctx in (("string_similarity", 0), ("head_similarity", 2), ("tail_similarity", -2)):
+        parts.append(f"SELECT id, 'pred' AS side, measure, score, n_pairs, score_100 FROM ({similarity_sql(m, ctx)})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("scored_songs", _x1_sql())
+def q_scored_songs(spark, sf_dir):
+    """X1 on raw texts: every conversation rebuilt as one song text, then
+    parsed, paired and scored inside its row."""
+    from strophekit.plans.scoring import score_songs
+    songs = rebuilt_songs(spark, sf_dir)
+    s = score_songs(songs, KEYS, {"pred": "text"},
+                    ["string_similarity", "head_similarity", "tail_similarity"])
+    return s.select("id", "side", "measure", r6(F.col("score")).alias("score"), "n_pairs",
+                    r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophekit.operators import measures as M
-from strophekit.operators.structure import parse_songs, stanza_matching
+from strophekit.operators.structure import parse_song_arrays, parse_songs, stanza_matching
 
 REFUSAL_SENTENCES = ("I apologize, but I cannot fulfill your request",)  # fixed value
 
@@ -21,22 +21,10 @@ REFUSAL_SENTENCES = ("I apologize, but I cannot fulfill your request",)  # fixed
 def score_stanzas(stanzas: DataFrame, songs: DataFrame, keys: Sequence[str],
                   measure_names: Sequence[str], empty: str = "zero") -> DataFrame:
     """Song-level scores ``(keys, measure, score, n_pairs)`` from a stanza
-    table.  Pair measures pair equal labels; single measures (diversity)
-    take each stanza alone."""
-    keys = list(keys)
-    names = M.resolve_measures(measure_names)
-    pair_names = [m for m in names if m in M.MEASURES and M.MEASURES[m].kind == "pair"]
-    single_names = [m for m in names if m in M.MEASURES and M.MEASURES[m].kind == "single"]
-    parts = []
-    if pair_names:
-        pairs = M.build_pairs(stanzas, keys)
-        parts.append(M.pair_scores(pairs, keys, pair_names).drop("pos1", "pos2"))
-    if single_names:
-        parts.append(M.single_scores(stanzas, keys, single_names).drop("pos"))
-    items = parts[0]
-    for p in parts[1:]:
-        items = items.unionByName(p)
-    return M.average_scores(items, songs, keys, pair_names + single_names, empty)
+    table (rows).  The stanzas of a song are gathered into one row (one
+    aggregation keyed by the song) and scored there."""
+    arrays = M.stanza_rows_to_arrays(stanzas, songs, keys)
+    return M.score_song_arrays(arrays, keys, measure_names, "stanzas", empty)
 
 
 def refuse_filter(df: DataFrame, text_col: str,
@@ -49,23 +37,25 @@ def refuse_filter(df: DataFrame, text_col: str,
 
 
 def score_songs(songs: DataFrame, keys: Sequence[str], sides: dict[str, str],
-                measure_names: Sequence[str], partitions: int | None = None,
-                refusal_col: str | None = None) -> DataFrame:
+                measure_names: Sequence[str], refusal_col: str | None = None,
+                empty: str = "zero") -> DataFrame:
     """Score every side (e.g. ``{'pred': 'model_response', 'target':
     'target_response'}``) of every song.  Missing sides (NULL text) yield no
-    rows for that side.  Output ``(keys, side, measure, score, n_pairs)``."""
+    rows for that side.  Output ``(keys, side, measure, score, n_pairs)``.
+
+    Parsing, pairing and scoring all happen inside the song row: the plan
+    is scan -> project -> generate, with no shuffle."""
     keys = list(keys)
+    names = M.resolve_measures(measure_names)  # fail before any job
     if refusal_col:
         songs = refuse_filter(songs, refusal_col)
-    stack = F.explode(F.array(*[
+    stack = F.inline_outer(F.array(*[
         F.struct(F.lit(s).alias("side"), F.col(c).cast("string").alias("text"))
         for s, c in sides.items()]))
-    long = songs.select(*keys, stack.alias("_s")).select(*keys, "_s.side", "_s.text")
-    long = long.filter(F.col("text").isNotNull())
+    long = songs.select(*keys, stack).filter(F.col("text").isNotNull())
     skeys = keys + ["side"]
-    long = long.repartition(partitions, *keys) if partitions else long.repartition(*keys)
-    stanzas = parse_songs(long, "text", skeys)
-    return score_stanzas(stanzas, long.select(*skeys), skeys, measure_names)
+    arrays = parse_song_arrays(long, "text", skeys)
+    return M.score_song_arrays(arrays, skeys, names, "stanzas", empty)
 
 
 def matching_table(songs: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
