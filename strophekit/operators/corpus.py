@@ -96,30 +96,36 @@ def gram_tokens(text: Column) -> Column:
 
 
 def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[int],
-               common: Sequence[str] | None = None) -> DataFrame:
+               common: Sequence[str] | None = None, sentinel: bool = False) -> DataFrame:
     """Distinct n-grams of every text, for each n; grams made only of common
     words (and blanks) are dropped.  ``(keys, n, gram)``.
 
-    Grams are joined to strings before ``array_distinct`` (a hash set on
-    strings; on arrays of arrays it would compare pairwise)."""
+    Grams of length n are built from those of length n-1 by zipping with the
+    token array shifted by n-1 (linear work per text and n); the "all
+    common" flag is zipped the same way from a per-token flag.  Grams are
+    strings before ``array_distinct`` (a hash set).  With ``sentinel`` every
+    (text, n) also gets one NULL gram, so later counts need no grid join."""
     keys = list(keys)
     d = df.select(*keys, tokens.alias("_tok"))
-    lst = F.lit(sorted(set(common) | {"", " "})) if common else None
+    lst = F.lit(sorted(set(common) | {"", " "})) if common else F.array().cast("array<string>")
+    d = d.select(*keys, "_tok", F.transform("_tok", lambda w: F.array_contains(lst, w)).alias("_c"))
+    tok, cflag = F.col("_tok"), F.col("_c")
+    size = F.size(tok)
+    g, c = tok, cflag
     per_n = []
-    def make_gram(n):
-        def gram(i):
-            sl = F.slice("_tok", i, n)
-            g = F.array_join(sl, " ")
-            return F.when(~F.forall(sl, lambda w: F.array_contains(lst, w)), g) if lst is not None else g
-        return gram
-
-    for n in ns:
-        grams = F.filter(F.transform(F.sequence(F.lit(1), F.size("_tok") - n + 1), make_gram(n)),
-                         lambda g: g.isNotNull())
-        grams = F.when(F.size("_tok") >= n, grams).otherwise(F.array().cast("array<string>"))
-        per_n.append(F.struct(F.lit(n).alias("n"), F.array_distinct(grams).alias("g")))
-    ex = d.select(*keys, F.explode(F.array(*per_n)).alias("_p"))
-    return ex.select(*keys, "_p.n", F.explode("_p.g").alias("gram"))
+    for n in range(1, max(ns) + 1):
+        if n > 1:
+            g = F.zip_with(g, F.slice(tok, n, size), lambda a, b: F.concat(a, F.lit(" "), b))
+            c = F.zip_with(c, F.slice(cflag, n, size), lambda a, b: a & b)
+        if n in ns:
+            kept = F.zip_with(g, c, lambda x, allc: F.when(~allc, x))
+            grams = F.filter(F.slice(kept, 1, F.greatest(size - n + 1, F.lit(0))), lambda x: x.isNotNull())
+            arr = F.when(size >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+            if sentinel:
+                arr = F.concat(arr, F.array(F.lit(None).cast("string")))
+            per_n.append(F.struct(F.lit(n).alias("n"), arr.alias("g")))
+    ex = d.select(*keys, F.inline_outer(F.array(*per_n)))
+    return ex.select(*keys, "n", F.explode("g").alias("gram"))
 
 
 def ngram_overlap(texts: DataFrame, keys: Sequence[str], text_col: str, corpus: DataFrame,
@@ -129,16 +135,15 @@ def ngram_overlap(texts: DataFrame, keys: Sequence[str], text_col: str, corpus:
     the corpus; texts without any shared gram get 0.  Corpus grams are
     formed inside each corpus text."""
     keys = list(keys)
-    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, common)
+    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, common, sentinel=True)
     theirs = doc_ngrams(corpus.select(F.monotonically_increasing_id().alias("_cid"), corpus_text_col),
                         ["_cid"], gram_tokens(ngram_key(F.col(corpus_text_col), keep_brackets=True)),
-                        ns, common).select("n", "gram").distinct()
+                        ns, common).select("n", "gram").distinct().withColumn("_hit", F.lit(1))
     theirs = bounded_broadcast(theirs, MAX_BROADCAST_GRAMS)
-    shared = mine.join(theirs, on=["n", "gram"], how="left_semi")
-    counts = shared.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("shared"))
-    grid = texts.select(*keys, F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))
-    return grid.join(counts, on=keys + ["n"], how="left").select(
-        *keys, "n", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
+    # Left join + sum: the NULL sentinel gram keeps texts without any shared
+    # gram (count 0) without a second scan or a grid join.
+    j = mine.join(theirs, on=["n", "gram"], how="left")
+    return j.groupBy(*keys, "n").agg(F.sum(F.coalesce("_hit", F.lit(0))).cast("long").alias("shared"))
 
 
 # --- A10 / A11 ------------------------------------------------------------------------

@@ -28,8 +28,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Text-heavy tables and the key their jobs group by.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from strophekit.session import spread
+        df = spread(df, [TEXT_TABLES[name]])
+    return df
 
 
 def r6(c) -> F.Column:

@@ -76,3 +76,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Input-parallelism guard for text-heavy stages.
+
+    A scan of one large row group yields one partition, so everything up to
+    the first shuffle would run on one core.  When the scan has fewer
+    partitions than the cluster's default parallelism, hash-partition it
+    (by ``keys`` when later stages group by them, so those stages reuse the
+    partitioning); on a real cluster reading many files this is a no-op.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)
