@@ -74,15 +74,22 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model_outputs(spark: SparkSession, paths: Mapping[str, str], schema: str = SONGS_SCHEMA,
-                       skip: str | None = "lora") -> DataFrame:
-    """Many model files read in one scan and tagged with their model
-    name through the file path (``_metadata.file_path``)."""
-    items = [(m, p) for m, p in paths.items() if not (skip and skip in p)]
-    names = spark.createDataFrame(items, "model string, _path string")
-    df = (spark.read.schema(schema).option("multiLine", True).json([p for _, p in items])
-          .withColumn("_file", F.col("_metadata.file_path")))
-    j = df.join(F.broadcast(names), F.col("_file").endswith(F.regexp_replace("_path", "^file:", "")))
-    return j.drop("_file", "_path")
+                       skip: str | None = "lora", multiline: bool = True) -> DataFrame:
+    """Many model output files, each tagged with its model name; paths
+    containing ``skip`` are left out.  One scan per model, unioned (the plan
+    grows with the number of models, not with the data)."""
+    frames = []
+    for model, path in paths.items():
+        if skip and skip in path:
+            continue
+        df = spark.read.schema(schema).option("multiLine", multiline).json(path)
+        frames.append(df.withColumn("model", F.lit(model)))
+    if not frames:
+        raise ValueError("no model files left to read")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def write_json(df: DataFrame, path: str) -> None:
