@@ -77,3 +77,65 @@ def syllable_rule(word: Column) -> Column:
     add = add + F.when(w.isin(*EXCEPTION_ADD), 1).otherwise(0)
 
     return F.when(F.length(w) <= 3, F.lit(1)).otherwise(vowels - disc + add).cast("int")
+
+
+# --- E3: numbers spelled out before the rule --------------------------------
+# English number words.
+SMALL_NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine",
+                 "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+                 "seventeen", "eighteen", "nineteen")
+TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+SCALES = ((10 ** 15, "quadrillion"), (10 ** 12, "trillion"), (10 ** 9, "billion"),
+          (10 ** 6, "million"), (10 ** 3, "thousand"))
+MAX_SPELLED_DIGITS = 18
+
+
+def _spell_below_100(n: Column) -> Column:
+    small = F.array(*[F.lit(w) for w in SMALL_NUMBERS])
+    tens = F.array(*[F.lit(w) for w in TENS])
+    unit = F.element_at(small, (n % 10 + 1).cast("int"))
+    return F.when(n < 20, F.element_at(small, (n + 1).cast("int"))).otherwise(
+        F.concat(F.element_at(tens, (F.floor(n / 10) + 1).cast("int")),
+                 F.when(n % 10 != 0, F.concat(F.lit("-"), unit)).otherwise(F.lit(""))))
+
+
+def _spell_below_1000(n: Column) -> Column:
+    small = F.array(*[F.lit(w) for w in SMALL_NUMBERS])
+    h, r = F.floor(n / 100), n % 100
+    with_h = F.concat(F.element_at(small, (h + 1).cast("int")), F.lit(" hundred"),
+                      F.when(r != 0, F.concat(F.lit(" and "), _spell_below_100(r))).otherwise(F.lit("")))
+    return F.when(n >= 100, with_h).otherwise(_spell_below_100(n))
+
+
+def spell_number(digits: Column) -> Column:
+    """An all-digit token as English words ('one thousand, two hundred
+    and thirty-four'); tokens over 18 digits are left as they are."""
+    return _spell_guarded(digits)
+
+
+def _spelled(n: Column) -> Column:
+    parts = []
+    for scale, name in SCALES:
+        g = F.floor(n / scale) % 1000
+        parts.append(F.when(g != 0, F.concat(_spell_below_1000(g), F.lit(" " + name))))
+    head = F.concat_ws(", ", *parts)  # NULL parts are skipped
+    last = n % 1000
+    return (F.when(n < 1000, _spell_below_1000(n))
+            .when(last == 0, head)
+            .when(last < 100, F.concat(head, F.lit(" and "), _spell_below_100(last)))
+            .otherwise(F.concat(head, F.lit(", "), _spell_below_1000(last))))
+
+
+def _spell_guarded(digits: Column) -> Column:
+    ok = digits.rlike("^[0-9]+$") & (F.length(digits) <= MAX_SPELLED_DIGITS)
+    return F.when(ok, F.element_at(F.transform(F.array(digits.cast("long")), lambda v: _spelled(v)), 1)
+                  ).otherwise(digits)
+
+
+def word_syllables(word: Column) -> Column:
+    """E2 + E3: numbers are spelled before the rule.
+
+    The (possibly spelled) word is bound once as a lambda variable; the rule
+    refers to it dozens of times and would otherwise copy the spelling
+    expression into every reference."""
+    return F.element_at(F.transform(F.array(spell_number(word)), syllable_rule), 1)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.functions.syllables import syllable_rule
+from strophekit.functions.syllables import word_syllables as syllable_rule
 from strophekit.functions.text import prep_encoding
 from strophekit.session import bounded_broadcast
 

@@ -20,8 +20,10 @@ def _in(xs) -> str:
 
 
 def sql_syllable(x: str) -> str:
-    """DuckDB form of the syllable rule (E2) for a word expression ``x``."""
-    w = f"lower({x})"
+    """DuckDB form of the syllable rule (E2) for a word expression ``x``
+    (numbers spelled first, E3); the lower-cased word is bound once through
+    a one-element ``list_transform``."""
+    w = "_lw"
     cnt = lambda p: f"len(regexp_extract_all({w}, '{p}'))"
     pairs, triples = cnt("[eaoui][eaoui]"), cnt("[eaoui][eaoui][eaoui]")
     vc, vowels = cnt("[eaoui][^eaoui]"), cnt("[eaoui]")
@@ -46,7 +48,39 @@ def sql_syllable(x: str) -> str:
            f" THEN 1 ELSE 0 END"
            f" + CASE WHEN {sfx(chr(110) + chr(39) + chr(39) + 't')} AND {w} IN {_in(SY.NEGATIVE)} THEN 1 ELSE 0 END"
            f" + CASE WHEN {w} IN {_in(SY.EXCEPTION_ADD)} THEN 1 ELSE 0 END)")
-    return f"(CASE WHEN length({w}) <= 3 THEN 1 ELSE {vowels} - {disc} + {add} END)::INT"
+    rule = f"(CASE WHEN length({w}) <= 3 THEN 1 ELSE {vowels} - {disc} + {add} END)::INT"
+    return f"list_transform([lower({sql_spell(x)})], lambda _lw: {rule})[1]"
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+def _sql_below100(t: str) -> str:
+    small, tens = _sql_list(SY.SMALL_NUMBERS), _sql_list(SY.TENS)
+    return (f"(CASE WHEN {t} < 20 THEN {small}[{t} + 1] ELSE {tens}[{t} // 10 + 1] || "
+            f"CASE WHEN {t} % 10 <> 0 THEN '-' || {small}[{t} % 10 + 1] ELSE '' END END)")
+
+
+def _sql_below1000(v: str) -> str:
+    small = _sql_list(SY.SMALL_NUMBERS)
+    inner = (f"CASE WHEN _h >= 100 THEN {small}[_h // 100 + 1] || ' hundred' || "
+             f"CASE WHEN _h % 100 <> 0 THEN ' and ' || list_transform([_h % 100], lambda _t: "
+             f"{_sql_below100('_t')})[1] ELSE '' END ELSE {_sql_below100('_h')} END")
+    return f"list_transform([{v}], lambda _h: {inner})[1]"
+
+
+def sql_spell(x: str) -> str:
+    """DuckDB form of E3 (same rule as ``spell_number``)."""
+    parts = ", ".join(f"CASE WHEN (_n // {sc}) % 1000 <> 0 THEN {_sql_below1000(f'(_n // {sc}) % 1000')} "
+                      f"|| ' {name}' END" for sc, name in SY.SCALES)
+    head = f"concat_ws(', ', {parts})"
+    spelled = (f"CASE WHEN _n < 1000 THEN {_sql_below1000('_n')} WHEN _n % 1000 = 0 THEN {head} "
+               f"WHEN _n % 1000 < 100 THEN {head} || ' and ' || "
+               f"list_transform([_n % 1000], lambda _t: {_sql_below100('_t')})[1] "
+               f"ELSE {head} || ', ' || {_sql_below1000('_n % 1000')} END")
+    return (f"CASE WHEN regexp_full_match({x}, '[0-9]+') AND length({x}) <= {SY.MAX_SPELLED_DIGITS} "
+            f"THEN list_transform([CAST({x} AS BIGINT)], lambda _n: {spelled})[1] ELSE {x} END")
 
 
 SQL_FOLD = "replace(strip_accents({x}), 'ß', 'ss')"
@@ -61,7 +95,7 @@ SELECT word, {sql_syllable('word')} AS syllables FROM w
 def q_syllable_words(spark, sf):
     d = table(spark, sf, "documents")
     words = EN.distinct_words(d, "text")
-    return words.select("word", SY.syllable_rule(F.col("word")).alias("syllables"))
+    return words.select("word", SY.word_syllables(F.col("word")).alias("syllables"))
 
 
 @register("line_syllables", f"""
@@ -142,7 +176,7 @@ def q_lexicon_syllables(spark, sf):
     d = table(spark, sf, "documents")
     b = table(spark, sf, "benchmark")
     lex = EN.distinct_words(b, "text").select(
-        "word", (SY.syllable_rule(F.col("word")) + 100).alias("num_syllables"))
+        "word", (SY.word_syllables(F.col("word")) + 100).alias("num_syllables"))
     words = EN.distinct_words(d, "text")
     out = EN.syllables_with_lexicon(words, "word", lex)
     return out.select("word", "syllables", "from_lexicon")

@@ -158,3 +158,20 @@ def test_measure_names():
     assert "phonetics" in M.resolve_measures(["all"])
     with pytest.raises(NotImplementedError):
         M.resolve_measures(["nonsense"])
+
+
+NUMBERS = {"0": "zero", "7": "seven", "007": "seven", "21": "twenty-one", "100": "one hundred",
+           "101": "one hundred and one", "555": "five hundred and fifty-five",
+           "1000": "one thousand", "1001": "one thousand and one", "1100": "one thousand, one hundred",
+           "1234": "one thousand, two hundred and thirty-four", "1000000": "one million",
+           "1000034": "one million and thirty-four", "2050000": "two million, fifty thousand",
+           "abc12": "abc12"}
+
+
+def test_spell_number(spark):
+    from strophekit.functions.syllables import spell_number, word_syllables
+    df = spark.createDataFrame([(k,) for k in NUMBERS], "w string")
+    got = {r["w"]: r["s"] for r in df.select("w", spell_number(F.col("w")).alias("s")).collect()}
+    assert got == NUMBERS
+    n = df.filter("w = '7'").select(word_syllables(F.col("w"))).first()[0]
+    assert n == 2  # "seven"
