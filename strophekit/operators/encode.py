@@ -103,3 +103,110 @@ def line_phonetics(lines: DataFrame, keys: Sequence[str], line_col: str, lexicon
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.when(F.col("phon_syllables").isNotNull(), F.struct("_p", "phon_syllables")))).alias("_s"))
     return g.select(*keys, F.flatten(F.transform("_s", lambda s: s["phon_syllables"])).alias("phonemes"))
+
+
+# --- lexicon-driven stanza encodings (E4-E8 for M6, M7, M15) -------------------------
+PHON_SEP = "\u001f"  # joins a line's phoneme syllables into one comparable symbol
+
+
+def _meter_token_table(lines: DataFrame, keys: list[str], pron: DataFrame | None,
+                       syl: DataFrame | None, stem: DataFrame | None) -> DataFrame:
+    from strophekit.operators.measures import stress_tokens
+    t = lines.select(*keys, "si", "li", F.posexplode_outer(stress_tokens(F.col("line"))).alias("ti", "tok"))
+    if stem is not None:
+        st = bounded_broadcast(stem.select(F.col("word").alias("tok"), F.col("value").alias("_stem")),
+                               MAX_LEXICON_BROADCAST)
+        t = t.join(st, on="tok", how="left")
+        keep = F.col("tok").endswith("ing") | F.col("tok").endswith("ly")
+        t = t.withColumn("w", F.when(keep, F.col("tok")).otherwise(F.coalesce("_stem", "tok")))
+    else:
+        t = t.withColumn("w", F.col("tok"))
+    if pron is not None:
+        pt = bounded_broadcast(pronunciation_table(pron).select(F.col("word").alias("w"), "stress"),
+                               MAX_LEXICON_BROADCAST)
+        t = t.join(pt, on="w", how="left")
+    else:
+        t = t.withColumn("stress", F.lit(None).cast("string"))
+    if syl is not None:
+        sl = bounded_broadcast(syl.select(F.col("word").alias("w"), F.col("num_syllables").alias("_n")),
+                               MAX_LEXICON_BROADCAST)
+        t = t.join(sl, on="w", how="left")
+    else:
+        t = t.withColumn("_n", F.lit(None).cast("int"))
+    zeros = F.repeat(F.lit("0"), F.coalesce(F.col("_n"), syllable_rule(F.col("w"))))
+    val = F.when(F.col("tok").isNull(), F.lit(None)).otherwise(F.coalesce("stress", zeros))
+    return t.select(*keys, "si", "li", F.lit("m").alias("kind"), "ti", val.alias("s_val"),
+                    F.lit(None).cast("int").alias("i_val"), F.lit(None).cast("array<string>").alias("a_val"))
+
+
+def _syllable_token_table(lines: DataFrame, keys: list[str], syl: DataFrame | None) -> DataFrame:
+    t = lines.select(*keys, "si", "li", F.posexplode_outer(tokens(F.col("line"))).alias("ti", "tok"))
+    if syl is not None:
+        sl = bounded_broadcast(syl.select(F.col("word").alias("tok"), F.col("num_syllables").alias("_n")),
+                               MAX_LEXICON_BROADCAST)
+        t = t.join(sl, on="tok", how="left")
+    else:
+        t = t.withColumn("_n", F.lit(None).cast("int"))
+    cnt = F.when(F.col("tok").isNull(), F.lit(None)).otherwise(F.coalesce("_n", syllable_rule(F.col("tok"))))
+    return t.select(*keys, "si", "li", F.lit("s").alias("kind"), "ti", F.lit(None).cast("string").alias("s_val"),
+                    cnt.cast("int").alias("i_val"), F.lit(None).cast("array<string>").alias("a_val"))
+
+
+def _phonetic_token_table(lines: DataFrame, keys: list[str], pron: DataFrame) -> DataFrame:
+    clean = F.regexp_replace(F.col("line"), r"[^\w\s']", "")
+    clean = F.regexp_replace(F.translate(clean, ",.!", ""), r"^\s+|\s+$", "")
+    t = lines.select(*keys, "si", "li", F.posexplode_outer(F.split(clean, " ", -1)).alias("ti", "tok"))
+    pt = bounded_broadcast(pronunciation_table(pron).select("word", "phon_syllables"), MAX_LEXICON_BROADCAST)
+    t = t.withColumn("word", F.lower("tok")).join(pt, on="word", how="left")
+    return t.select(*keys, "si", "li", F.lit("p").alias("kind"), "ti", F.lit(None).cast("string").alias("s_val"),
+                    F.lit(None).cast("int").alias("i_val"), F.col("phon_syllables").alias("a_val"))
+
+
+def with_lexicon_encodings(arrays: DataFrame, keys: Sequence[str], pron: DataFrame | None = None,
+                           syl: DataFrame | None = None, stem: DataFrame | None = None,
+                           partitions: int | None = None) -> DataFrame:
+    """Add lexicon-driven encodings to every stanza of a song-array table:
+    ``stress`` (M6 input), ``syl_sums`` (M7 input) and ``phon`` (M15 input,
+    one symbol per line).  Tokens are exploded once, lexica (pronunciation,
+    syllable, stem) are joined on the word (broadcast below a checked row
+    bound), and everything is regrouped by song.  The song table is hash
+    partitioned by its keys first, so every later aggregation and join is
+    keyed by a refinement of that partitioning and adds no shuffle."""
+    keys = list(keys)
+    songs = arrays.repartition(partitions, *keys) if partitions else arrays.repartition(*keys)
+    st = songs.select(*keys, F.posexplode_outer("stanzas").alias("si", "s")).filter(F.col("si").isNotNull())
+    lines = st.select(*keys, "si", F.posexplode_outer("s.lines").alias("li", "line"))
+    lines = lines.filter(F.col("li").isNotNull())
+    parts = [_meter_token_table(lines, keys, pron, syl, stem), _syllable_token_table(lines, keys, syl)]
+    if pron is not None:
+        parts.append(_phonetic_token_table(lines, keys, pron))
+    toks = parts[0]
+    for p in parts[1:]:
+        toks = toks.unionByName(p)
+    per_line = toks.groupBy(*keys, "si", "li").agg(
+        F.array_sort(F.collect_list(F.when((F.col("kind") == "m") & F.col("s_val").isNotNull(),
+                                           F.struct("ti", "s_val")))).alias("_m"),
+        F.sum(F.when(F.col("kind") == "s", F.col("i_val"))).alias("_s"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == "p") & F.col("a_val").isNotNull(),
+                                           F.struct("ti", "a_val")))).alias("_p"))
+    per_line = per_line.select(
+        *keys, "si", "li",
+        F.array_join(F.transform("_m", lambda x: x["s_val"]), "").alias("stress"),
+        F.coalesce("_s", F.lit(0)).cast("int").alias("syl_sum"),
+        F.array_join(F.flatten(F.transform("_p", lambda x: x["a_val"])), PHON_SEP).alias("phon"))
+    per_stanza = per_line.groupBy(*keys, "si").agg(
+        F.array_sort(F.collect_list(F.struct("li", "stress", "syl_sum", "phon"))).alias("_l"))
+    per_stanza = per_stanza.select(
+        *keys, "si",
+        F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["stress"]), ""), r"\s+", "").alias("stress"),
+        F.transform("_l", lambda x: x["syl_sum"]).alias("syl_sums"),
+        F.transform("_l", lambda x: x["phon"]).alias("phon"))
+    enc = per_stanza.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("si", "stress", "syl_sums", "phon"))).alias("_e"))
+    j = songs.join(enc, on=keys, how="left")
+    merged = F.transform("stanzas", lambda s, i: F.struct(
+        s["pos"].alias("pos"), s["keyword"].alias("keyword"), s["lines"].alias("lines"),
+        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["stress"].alias("stress"),
+        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["syl_sums"].alias("syl_sums"),
+        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["phon"].alias("phon")))
+    return j.select(*keys, merged.alias("stanzas"))

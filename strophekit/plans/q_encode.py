@@ -121,7 +121,7 @@ _STRESS_LINE = (f"array_to_string(list_transform(CASE WHEN translate({SQL_PREP.f
                 f" '[\\s-]+') END, lambda w: repeat('0', greatest({sql_syllable('w')}, 0))), '')")
 
 
-@register("meter_by_song", f"""
+ORACLES_METER = f"""
 WITH {SQL_STANZAS},
 ps AS (SELECT id, array_to_string(list_transform(l1, lambda ln: {_STRESS_LINE}), '') AS s1,
               array_to_string(list_transform(l2, lambda ln: {_STRESS_LINE}), '') AS s2 FROM pairs),
@@ -132,7 +132,10 @@ SELECT songs.id, 'meter' AS measure,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
        round(100 * exp(-coalesce(agg.score, 0.0)), 6) AS score_100
 FROM songs LEFT JOIN agg ON songs.id = agg.id
-""")
+"""
+
+
+@register("meter_by_song", ORACLES_METER)
 def q_meter(spark, sf_dir):
     s = M.score_song_arrays(conversation_songs(spark, sf_dir), ["id"], ["meter"])
     return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
@@ -180,3 +183,14 @@ def q_lexicon_syllables(spark, sf):
     words = EN.distinct_words(d, "text")
     out = EN.syllables_with_lexicon(words, "word", lex)
     return out.select("word", "syllables", "from_lexicon")
+
+
+@register("meter_lexicon_by_song", ORACLES_METER.replace("'meter' AS measure", "'meter_lexicon' AS measure"))
+def q_meter_lexicon(spark, sf_dir):
+    """M6 through the lexicon-join path (tokens exploded, lexica joined,
+    regrouped by song); with no lexicon given it must equal the rule path."""
+    from strophekit.operators.encode import with_lexicon_encodings
+    enc = with_lexicon_encodings(conversation_songs(spark, sf_dir), ["id"])
+    s = M.score_song_arrays(enc, ["id"], ["meter_lexicon"])
+    return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
+                    r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))

@@ -175,3 +175,37 @@ def test_spell_number(spark):
     assert got == NUMBERS
     n = df.filter("w = '7'").select(word_syllables(F.col("w"))).first()[0]
     assert n == 2  # "seven"
+
+
+def test_lexicon_encodings(spark):
+    from strophekit.operators.encode import with_lexicon_encodings
+    from strophekit.operators.structure import parse_song_arrays
+    songs = spark.createDataFrame([(1, F1), (3, F3)], "id long, text string")
+    arrays = parse_song_arrays(songs, "text", ["id"])
+    # without lexica the encoded measures equal the rule-based ones
+    enc = with_lexicon_encodings(arrays, ["id"])
+    a = {(r["measure"]): r["score"] for r in M.score_song_arrays(
+        enc, ["id"], ["meter_lexicon", "syllable_lexicon"]).filter("id = 1").collect()}
+    b = {(r["measure"]): r["score"] for r in M.score_song_arrays(
+        arrays, ["id"], ["meter", "syllable"]).filter("id = 1").collect()}
+    assert a["meter_lexicon"] == pytest.approx(b["meter"])
+    assert a["syllable_lexicon"] == pytest.approx(b["syllable"])
+    pron = spark.createDataFrame(
+        [("red", ["R", "EH1", "D"]), ("sky", ["S", "K", "AY1"]), ("sea", ["S", "IY1"]),
+         ("low", ["L", "OW1"]), ("tide", ["T", "AY1", "D"]), ("now", ["N", "AW1"])],
+        "word string, phonemes array<string>")
+    enc = with_lexicon_encodings(arrays, ["id"], pron=pron)
+    got = {r["measure"]: (r["score"], r["n_pairs"]) for r in M.score_song_arrays(
+        enc, ["id"], ["meter_lexicon", "phonetics_lexicon"]).filter("id = 1").collect()}
+    # verse pair: stresses 1111 vs 11111 -> 1/4; chorus pair: 'sing it on' vs
+    # 'sing it out' have no lexicon entries -> rule zeros, equal -> 0
+    assert got["meter_lexicon"][0] == pytest.approx((0.25 + 0.0) / 2)
+    # verse lines are four distinct syllable lists -> 2/2; chorus lines encode
+    # to the same empty list -> 0
+    assert got["phonetics_lexicon"][0] == pytest.approx((1.0 + 0.0) / 2)
+
+
+def test_seq_levenshtein(spark):
+    df = spark.createDataFrame([(list("kitten"), list("sitting")), ([], ["a"])], "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(M.seq_levenshtein(F.col("a"), F.col("b"))).collect()]
+    assert got == [3, 1]
