@@ -111,3 +111,18 @@ def pc_window_centroids(df: DataFrame, target: DataFrame, group: Sequence[str],
     p = pca_project(df, vec, scaler, pca)
     p = p.withColumn("_w", F.slice("pc", offset + 1, width))
     return centroid(p, group, "_w", "centroid")
+
+
+def attach_line_embeddings(arrays: DataFrame, keys: Sequence[str], line_vectors: DataFrame,
+                           vec: str = "embedding") -> DataFrame:
+    """Add ``vecs`` (one vector per line) to every stanza of a song-array
+    table from a line-embedding table ``(keys, pos, line_no, vec)``.  One
+    aggregation keyed by the song gathers a song's vectors."""
+    keys = list(keys)
+    g = line_vectors.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("pos", "line_no", F.col(vec).alias("v")))).alias("_lv"))
+    j = arrays.join(g, on=keys, how="left")
+    merged = F.transform("stanzas", lambda s: s.withField(
+        "vecs", F.transform(F.filter(F.coalesce("_lv", F.array()), lambda x: x["pos"] == s["pos"]),
+                            lambda x: x["v"])))
+    return j.select(*keys, merged.alias("stanzas"))

@@ -209,3 +209,20 @@ def test_seq_levenshtein(spark):
     df = spark.createDataFrame([(list("kitten"), list("sitting")), ([], ["a"])], "a array<string>, b array<string>")
     got = [r[0] for r in df.select(M.seq_levenshtein(F.col("a"), F.col("b"))).collect()]
     assert got == [3, 1]
+
+
+def test_semantic_measures(spark):
+    from strophekit.operators.embeddings import attach_line_embeddings
+    from strophekit.operators.structure import parse_song_arrays
+    arrays = parse_song_arrays(spark.createDataFrame([(1, F1)], "id long, text string"), "text", ["id"])
+    vecs = spark.createDataFrame(
+        [(1, 0, 0, [0.0, 0.0]), (1, 0, 1, [2.0, 0.0]), (1, 1, 0, [0.0, 1.0]),
+         (1, 2, 0, [4.0, 0.0]), (1, 2, 1, [4.0, 2.0]), (1, 3, 0, [0.0, 1.0])],
+        "id long, pos int, line_no int, embedding array<float>")
+    a = attach_line_embeddings(arrays, ["id"], vecs)
+    got = {r["measure"]: r["score"] for r in M.score_song_arrays(
+        a, ["id"], ["semantics", "semantics_internal"]).collect()}
+    # verse centroids (1,0) and (4,1): distance sqrt(10); chorus centroids equal: 0
+    assert got["semantics"] == pytest.approx((10 ** 0.5 + 0.0) / 2)
+    # internal: stanza 0 -> 1, stanza 1 -> 0, stanza 2 -> 1, stanza 3 -> 0
+    assert got["semantics_internal"] == pytest.approx(0.5)
