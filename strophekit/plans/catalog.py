@@ -47,5 +47,5 @@ def r6(c) -> F.Column:
 
 # Import the modules that register queries.
 from strophekit.plans import (  # noqa: E402,F401
-    q_songs, q_relational, q_corpus, q_embeddings, q_encode, q_compare, q_io,
+    q_songs, q_relational, q_corpus, q_embeddings, q_encode, q_compare, q_io, q_prep,
 )
