@@ -162,14 +162,26 @@ def _phonetic_token_table(lines: DataFrame, keys: list[str], pron: DataFrame) ->
                     F.lit(None).cast("int").alias("i_val"), F.col("phon_syllables").alias("a_val"))
 
 
+def _diversity_token_table(st: DataFrame, keys: list[str], lemma: DataFrame | None) -> DataFrame:
+    from strophekit.operators.measures import diversity_tokens
+    t = st.select(*keys, "si", F.posexplode_outer(diversity_tokens(F.col("s.lines"))).alias("ti", "tok"))
+    if lemma is not None:
+        lm = bounded_broadcast(lemma.select(F.col("word").alias("tok"), F.col("value").alias("_lem")),
+                               MAX_LEXICON_BROADCAST)
+        t = t.join(lm, on="tok", how="left").withColumn("tok", F.coalesce("_lem", "tok"))
+    return t.select(*keys, "si", "ti", "tok")
+
+
 def with_lexicon_encodings(arrays: DataFrame, keys: Sequence[str], pron: DataFrame | None = None,
                            syl: DataFrame | None = None, stem: DataFrame | None = None,
+                           lemma: DataFrame | None = None,
                            partitions: int | None = None) -> DataFrame:
     """Add lexicon-driven encodings to every stanza of a song-array table:
     ``stress`` (M6 input), ``syl_sums`` (M7 input) and ``phon`` (M15 input,
     one symbol per line).  Tokens are exploded once, lexica (pronunciation,
     syllable, stem) are joined on the word (broadcast below a checked row
-    bound), and everything is regrouped by song.  The song table is hash
+    bound), and everything is regrouped by song; ``div_tokens`` holds the
+    diversity tokens mapped through the lemma lexicon (M12).  The song table is hash
     partitioned by its keys first, so every later aggregation and join is
     keyed by a refinement of that partitioning and adds no shuffle."""
     keys = list(keys)
@@ -201,12 +213,17 @@ def with_lexicon_encodings(arrays: DataFrame, keys: Sequence[str], pron: DataFra
         F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["stress"]), ""), r"\s+", "").alias("stress"),
         F.transform("_l", lambda x: x["syl_sum"]).alias("syl_sums"),
         F.transform("_l", lambda x: x["phon"]).alias("phon"))
+    div = _diversity_token_table(st, keys, lemma).groupBy(*keys, "si").agg(
+        F.array_sort(F.collect_list(F.when(F.col("tok").isNotNull(), F.struct("ti", "tok")))).alias("_d"))
+    div = div.select(*keys, "si", F.transform("_d", lambda x: x["tok"]).alias("div_tokens"))
+    per_stanza = per_stanza.join(div, on=keys + ["si"], how="left")
     enc = per_stanza.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("si", "stress", "syl_sums", "phon"))).alias("_e"))
+        F.struct("si", "stress", "syl_sums", "phon", "div_tokens"))).alias("_e"))
     j = songs.join(enc, on=keys, how="left")
     merged = F.transform("stanzas", lambda s, i: F.struct(
         s["pos"].alias("pos"), s["keyword"].alias("keyword"), s["lines"].alias("lines"),
         F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["stress"].alias("stress"),
         F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["syl_sums"].alias("syl_sums"),
-        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["phon"].alias("phon")))
+        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["phon"].alias("phon"),
+        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["div_tokens"].alias("div_tokens")))
     return j.select(*keys, merged.alias("stanzas"))

@@ -226,3 +226,16 @@ def test_semantic_measures(spark):
     assert got["semantics"] == pytest.approx((10 ** 0.5 + 0.0) / 2)
     # internal: stanza 0 -> 1, stanza 1 -> 0, stanza 2 -> 1, stanza 3 -> 0
     assert got["semantics_internal"] == pytest.approx(0.5)
+
+
+def test_lemma_lexicon(spark):
+    from strophekit.operators.encode import with_lexicon_encodings
+    from strophekit.operators.structure import parse_song_arrays
+    arrays = parse_song_arrays(spark.createDataFrame(
+        [(1, "[verse]\nred skies, red sky\nblue sky")], "id long, text string"), "text", ["id"])
+    lemma = spark.createDataFrame([("skies", "sky")], "word string, value string")
+    enc = with_lexicon_encodings(arrays, ["id"], lemma=lemma)
+    toks = enc.select(F.col("stanzas")[0]["div_tokens"]).first()[0]
+    assert toks == ["red", "sky", "red", "sky", "blue", "sky"]
+    a = M.score_song_arrays(enc, ["id"], ["diversity_lexicon"]).first()["score"]
+    assert a == pytest.approx(-M.mtld_value(toks) / 65)
