@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophekit.session import bounded_broadcast
+from strophekit.session import bounded_broadcast, cut_lineage
 
 
 # --- P: projection and predicates ---------------------------------------------
@@ -94,11 +94,12 @@ def left_join_keys(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return left.join(right, left[left_key] == right[right_key], "left")
 
 
-def position_index(df: DataFrame, group: Sequence[str], order: Sequence[str],
+def position_index(df: DataFrame, group: Sequence[str], order: str,
                    name: str = "position") -> DataFrame:
-    """1-based position of each row inside its group by a stated order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+    """1-based position of each row inside its group by one order
+    column, computed with value buckets (see ``global_row_index``) so a
+    group holding a third of all rows is not sorted in one task."""
+    return global_row_index(df, order, name, group=group)
 
 
 def common_keys(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -122,37 +123,55 @@ def leak_guard(train: DataFrame, test: DataFrame, train_key: Column, test_key: C
 
 
 # --- D / W / O -----------------------------------------------------------------
-def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """One row per key, the first by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by ``order`` (ascending; ties broken
+    by the remaining columns, so the choice is deterministic).
+
+    Written as ``min(struct(order..., rest...))`` per key: a declarative
+    aggregate with a map-side partial step, so a key holding a third of all
+    rows is reduced inside every map task before the shuffle (a window
+    would sort all of that key's rows in one task)."""
+    keys = list(keys)
+    order = [o for o in order]
+    rest = [c for c in df.columns if c not in keys]
+    packed = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                      *[F.col(c).alias(c) for c in rest])
+    g = df.groupBy(*keys).agg(F.min(packed).alias("_r"))
+    return g.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
 
 
 def global_row_index(df: DataFrame, order: str, name: str = "row_no",
-                     n_buckets: int | None = None) -> DataFrame:
-    """1-based row number over the whole table by one orderable column,
-    without a single-partition window.
-
-    Rows are bucketed by approximate quantiles of the order column (one
-    small job returning ``n_buckets`` boundaries), numbered inside each
-    bucket with a window keyed by the bucket, and shifted by the row count
-    of all earlier buckets (a table with one row per bucket, broadcast).
-    Buckets come from values, not partition ids, so the numbering is stable
-    under AQE coalescing and task retries.
+                     n_buckets: int | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """1-based row number by one orderable column (inside each ``group``,
+    or over the whole table), without a window that holds a whole group.
+
+    Rows are bucketed by approximate quantiles of the order column (a
+    bounded sketch: ``n_buckets`` boundaries per group), numbered inside
+    each bucket with a window keyed by (group, bucket), and shifted by the
+    row count of all earlier buckets of their group (a small table with one
+    row per bucket).  Buckets come from values, not partition ids, so the
+    numbering is stable under AQE coalescing and task retries.
     """
     spark = df.sparkSession
+    group = list(group)
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fr = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(order, fr, 10000).alias("b")).first()["b"] if fr else []
-    bounds = sorted(set(b for b in (bounds or []) if b is not None))
-    barr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>")
-    b = df.withColumn("_bkt", F.size(F.filter(barr, lambda x: x < F.col(order))))
-    local = b.withColumn("_ln", F.row_number().over(Window.partitionBy("_bkt").orderBy(order)))
-    counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    if group:
+        bounds = df.groupBy(*group).agg(F.percentile_approx(order, fr, 10000).alias("_bd"))
+        b = df.join(bounds, on=group)
+        b = b.withColumn("_bkt", F.size(F.filter("_bd", lambda x: x < F.col(order)))).drop("_bd")
+    else:
+        vals = df.agg(F.percentile_approx(order, fr, 10000).alias("b")).first()["b"] if fr else []
+        vals = sorted(set(v for v in (vals or []) if v is not None))
+        typ = df.schema[order].dataType.simpleString()
+        barr = F.array(*[F.lit(v) for v in vals]).cast(f"array<{typ}>") if vals else F.array().cast(f"array<{typ}>")
+        b = df.withColumn("_bkt", F.size(F.filter(barr, lambda x: x < F.col(order))))
+    local = b.withColumn("_ln", F.row_number().over(Window.partitionBy(*group, "_bkt").orderBy(order)))
+    counts = b.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_bkt").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select("_bkt", "_off")
-    out = local.join(F.broadcast(offs), on="_bkt")
+        "_off", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_bkt").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).select(*group, "_bkt", "_off")
+    out = local.join(offs if group else F.broadcast(offs), on=group + ["_bkt"])
     return out.withColumn(name, (F.col("_off") + F.col("_ln")).cast("long")).drop("_bkt", "_ln", "_off")
 
 
@@ -189,13 +208,70 @@ def pivot_agg(df: DataFrame, group: Sequence[str], pivot_col: str, values: Seque
 
 
 # --- A: aggregates -----------------------------------------------------------------
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None, buckets: int = 64,
+                    accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles with linear interpolation (``percentile`` /
+    ``quantile_cont``) per group, without holding a group's values in one
+    task.
+
+    1. per group: count and ``buckets`` approximate boundaries (a sketch of
+       bounded size);  2. rows are bucketed by the boundaries and counted per
+    (group, bucket), with running counts over the small bucket table;  3.
+    only the buckets holding the needed ranks are ranked exactly (a window
+    keyed by group and bucket); a bucket whose min equals its max needs no
+    ranking (ties such as many songs scoring exactly 100).  Output: group
+    columns, ``n`` and one column per probability."""
+    group = list(group)
+    names = list(names) if names else [f"q_{p}" for p in probs]
+    d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    fr = [i / buckets for i in range(1, buckets)]
+    stats = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
+                                  F.percentile_approx("_v", fr, accuracy).alias("_b"))
+    b = d.join(stats.select(*group, "_b"), on=group)
+    b = b.select(*group, "_v", F.size(F.filter("_b", lambda x: x < F.col("_v"))).alias("_k"))
+    cnt = b.groupBy(*group, "_k").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
+                                      F.max("_v").alias("_hi"))
+    run = Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+    need = stats.select(*group, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
+                        .alias("_pi", "_p"))
+    need = need.withColumn("_h", F.col("_p") * (F.col("_n") - 1))
+    ranks = need.select(*group, F.explode(F.array_distinct(F.array(
+        F.floor("_h").cast("long"), F.ceil("_h").cast("long")))).alias("_r")).distinct()
+    hold = ranks.join(cnt, on=group).filter(
+        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
+    const = hold.filter(F.col("_lo") == F.col("_hi")).select(*group, "_r", F.col("_lo").alias("_x"))
+    ranked_buckets = hold.filter(F.col("_lo") != F.col("_hi")).select(*group, "_k", "_start").distinct()
+    sel = b.join(ranked_buckets, on=group + ["_k"])
+    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_k").orderBy("_v"))
+                         - 1 + F.col("_start"))
+    picked = sel.join(ranks, on=group + ["_r"]).select(*group, "_r", F.col("_v").alias("_x"))
+    vals = const.unionByName(picked)
+    lo = vals.select(*group, F.col("_r").alias("_rl"), F.col("_x").alias("_xl"))
+    hi = vals.select(*group, F.col("_r").alias("_rh"), F.col("_x").alias("_xh"))
+    q = need.withColumn("_rl", F.floor("_h").cast("long")).withColumn("_rh", F.ceil("_h").cast("long"))
+    q = q.join(lo, on=group + ["_rl"]).join(hi, on=group + ["_rh"])
+    q = q.withColumn("_q", F.col("_xl") + (F.col("_h") - F.col("_rl")) * (F.col("_xh") - F.col("_xl")))
+    wide = q.groupBy(*group, "_n").agg(*[
+        F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
+    return wide.withColumnRenamed("_n", "n")
+
+
 def mean_median_table(scores: DataFrame, measure: str, model: str, value: str,
                       models: Sequence[str], target: str) -> DataFrame:
     """A1: one row per measure, columns '<model> median score' and
     '<model> mean score' (rounded half-even to 2), sorted by the target's
     median then mean, descending."""
-    g = scores.groupBy(measure).pivot(model, list(models)).agg(
-        F.median(value).alias("median"), F.avg(value).alias("mean"))
+    # The slim (measure, model, value) table is read several times; a
+    # reliable checkpoint keeps the (possibly expensive) scoring plan from
+    # running again for every read.
+    slim = cut_lineage(scores.select(measure, model, value))
+    med = exact_quantiles(slim, [measure, model], value, [0.5], ["median"])
+    avg = slim.groupBy(measure, model).agg(F.avg(value).alias("mean"))
+    cells = avg.join(med.drop("n"), on=[measure, model], how="left")
+    g = cells.groupBy(measure).pivot(model, list(models)).agg(
+        F.first("median").alias("median"), F.first("mean").alias("mean"))
     cols = [F.col(measure).alias("Measure")]
     for m in models:
         cols.append(F.bround(F.col(f"{m}_median"), 2).alias(f"{m} median score"))
@@ -234,11 +310,8 @@ def box_summary(df: DataFrame, group: Sequence[str], value: str, whisker: float
     values inside the fences, outlier count, per group.  Two aggregations
     keyed by the group; the quartile table is joined back (one row per
     group)."""
-    q = df.groupBy(*group).agg(
-        F.percentile(value, F.lit(0.25)).alias("q1"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.75)).alias("q3"),
-        F.count(value).alias("n"))
+    df = cut_lineage(df.select(*group, value))
+    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
          .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
@@ -253,8 +326,7 @@ def box_summary(df: DataFrame, group: Sequence[str], value: str, whisker: float
 
 def outliers(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """The outlier rows themselves (joined back by group)."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.lit(0.25)).alias("q1"),
-                               F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = exact_quantiles(df, group, value, [0.25, 0.75], ["q1", "q3"]).drop("n")
     j = df.join(q, on=list(group))
     iqr = F.col("q3") - F.col("q1")
     return j.filter((F.col(value) < F.col("q1") - whisker * iqr) |

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophekit.functions.text import annotation_trim, title_key
@@ -75,9 +75,13 @@ def check_songs(df: DataFrame, keys: Sequence[str], required: Sequence[str], ord
     d = df.withColumn("_why", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
     bad = d.filter(F.size("_why") > 0).select(*keys, F.explode("_why").alias("reason"))
     good = d.filter(F.size("_why") == 0).drop("_why")
-    good = good.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    dups = good.filter("_rn > 1").select(*keys, F.lit("duplicate").alias("reason"))
-    return good.filter("_rn = 1").drop("_rn"), bad.unionByName(dups)
+    # First valid row per key by a partial (map-side) aggregation; one
+    # reject row per extra copy from the per-key count.
+    first = R.dedup_first(good, keys, order)
+    extra = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    dups = extra.select(*keys, F.explode(F.array_repeat(F.lit("duplicate"), (F.col("_c") - 1).cast("int")))
+                        .alias("reason"))
+    return first, bad.unionByName(dups)
 
 
 def scored_records(songs: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:

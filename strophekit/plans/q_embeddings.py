@@ -3,7 +3,6 @@ model, label 0 = target, position = order of vec_id inside a label."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strophekit.operators import embeddings as EM
@@ -25,8 +24,8 @@ def _emb(spark, sf):
 
 
 def _positioned(spark, sf):
-    e = _emb(spark, sf)
-    return e.withColumn("position", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    from strophekit.operators.relational import position_index
+    return position_index(_emb(spark, sf), ["label"], "vec_id", "position")
 
 
 @register("centroid_by_label", f"""
