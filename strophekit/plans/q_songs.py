@@ -236,3 +236,8 @@ def q_scored_songs(spark, sf_dir):
                     ["string_similarity", "head_similarity", "tail_similarity"])
     return s.select("id", "side", "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
+
+
+@register("diversity_avg_mtld_by_song")
+def q_diversity_avg_mtld(spark, sf_dir):
+    return _scored(spark, sf_dir, "diversity_avg_mtld")

@@ -239,3 +239,24 @@ def test_lemma_lexicon(spark):
     assert toks == ["red", "sky", "red", "sky", "blue", "sky"]
     a = M.score_song_arrays(enc, ["id"], ["diversity_lexicon"]).first()["score"]
     assert a == pytest.approx(-M.mtld_value(toks) / 65)
+
+
+def test_exact_quantiles_bucket_path(spark):
+    """The bucketed path equals the built-in percentile (forced with a tiny
+    small-group bound), including heavy ties."""
+    rows = [("a", float(i % 37)) for i in range(3000)] + [("a", 100.0)] * 2000 + \
+           [("b", float(i) / 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    fast = R.exact_quantiles(df, ["g"], "v", probs, small_group_rows=10, buckets=16)
+    ref = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(f"q_{p}") for p in probs])
+    a = {r["g"]: [r[f"q_{p}"] for p in probs] for r in fast.collect()}
+    b = {r["g"]: [r[f"q_{p}"] for p in probs] for r in ref.collect()}
+    for g in b:
+        assert a[g] == pytest.approx(b[g])
+
+
+def test_mtld_moving_average():
+    # every start position closes a factor after exactly 10 tokens
+    assert M.mtld_ma_wrap_value("a b a b a b a b a b a b".split()) == pytest.approx(10.0)
+    assert M.mtld_ma_wrap_value([str(i) for i in range(12)]) == 0.0
