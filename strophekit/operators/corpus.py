@@ -100,30 +100,28 @@ def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[
     """Distinct n-grams of every text, for each n; grams made only of common
     words (and blanks) are dropped.  ``(keys, n, gram)``.
 
-    Grams of length n are built from those of length n-1 by zipping with the
-    token array shifted by n-1 (linear work per text and n); the "all
-    common" flag is zipped the same way from a per-token flag.  Grams are
-    strings before ``array_distinct`` (a hash set).  With ``sentinel`` every
-    (text, n) also gets one NULL gram, so later counts need no grid join."""
+    Grams come from ``pyspark.ml.feature.NGram`` (a compiled sliding window)
+    over the tokens; the "all common" test runs the same window over a
+    per-token flag ('1' common, '0' not), so a gram is kept when its flag
+    gram holds a '0'.  Grams are strings before ``array_distinct`` (a hash
+    set).  With ``sentinel`` every (text, n) also gets one NULL gram, so
+    later counts need no grid join."""
+    from pyspark.ml.feature import NGram
     keys = list(keys)
-    d = df.select(*keys, tokens.alias("_tok"))
     lst = F.lit(sorted(set(common) | {"", " "})) if common else F.array().cast("array<string>")
-    d = d.select(*keys, "_tok", F.transform("_tok", lambda w: F.array_contains(lst, w)).alias("_c"))
-    tok, cflag = F.col("_tok"), F.col("_c")
-    size = F.size(tok)
-    g, c = tok, cflag
+    d = df.select(*keys, tokens.alias("_tok"))
+    d = d.withColumn("_c", F.transform("_tok", lambda w: F.when(F.array_contains(lst, w), "1").otherwise("0")))
+    for n in ns:
+        d = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(d)
+        d = NGram(n=n, inputCol="_c", outputCol=f"_f{n}").transform(d)
     per_n = []
-    for n in range(1, max(ns) + 1):
-        if n > 1:
-            g = F.zip_with(g, F.slice(tok, n, size), lambda a, b: F.concat(a, F.lit(" "), b))
-            c = F.zip_with(c, F.slice(cflag, n, size), lambda a, b: a & b)
-        if n in ns:
-            kept = F.zip_with(g, c, lambda x, allc: F.when(~allc, x))
-            grams = F.filter(F.slice(kept, 1, F.greatest(size - n + 1, F.lit(0))), lambda x: x.isNotNull())
-            arr = F.when(size >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-            if sentinel:
-                arr = F.concat(arr, F.array(F.lit(None).cast("string")))
-            per_n.append(F.struct(F.lit(n).alias("n"), arr.alias("g")))
+    for n in ns:
+        kept = F.filter(F.zip_with(f"_g{n}", f"_f{n}", lambda g, f: F.when(f.contains("0"), g)),
+                        lambda g: g.isNotNull())
+        arr = F.array_distinct(kept)
+        if sentinel:
+            arr = F.concat(arr, F.array(F.lit(None).cast("string")))
+        per_n.append(F.struct(F.lit(n).alias("n"), arr.alias("g")))
     ex = d.select(*keys, F.inline_outer(F.array(*per_n)))
     return ex.select(*keys, "n", F.explode("g").alias("gram"))
 
