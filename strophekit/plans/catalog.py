@@ -32,11 +32,15 @@ def register(name: str, sql: str | None = None):
 TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one given table.  ``spread=True`` is for text-heavy jobs: when
+    the scan yields too few partitions it is hash-partitioned by the
+    table's key (see ``session.spread``); plain relational queries leave
+    the scan as it is, so no shuffle is added for them."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        from strophekit.session import spread
-        df = spread(df, [TEXT_TABLES[name]])
+    if spread and name in TEXT_TABLES:
+        from strophekit.session import spread as _spread
+        df = _spread(df, [TEXT_TABLES[name]])
     return df
 
 

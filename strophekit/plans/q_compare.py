@@ -21,7 +21,7 @@ X4_MEASURES = (("string_similarity", 0), ("head_similarity", 2), ("tail_similari
 
 def model_scores(spark, sf):
     """X1 for every model -> J4 (ids every model answered) -> M16."""
-    conv = table(spark, sf, "conversations").select(
+    conv = table(spark, sf, "conversations", spread=True).select(
         F.col("conv_id").alias("id"), F.col("role").alias("model"), "turn", "text")
     arrays = stanza_arrays_from_rows(conv.withColumn("keyword", F.col("model")), ["model", "id"],
                                      "turn", "keyword", "text")

@@ -42,7 +42,7 @@ SELECT page_id, {_sql_container('article', None)} AS lyrics,
 FROM pages
 """)
 def q_html(spark, sf):
-    return C.extract_page_text(table(spark, sf, "pages"))
+    return C.extract_page_text(table(spark, sf, "pages", spread=True))
 
 
 @register("json_field", """
@@ -59,7 +59,7 @@ SELECT doc_id, replace(lower(regexp_replace(split_part(text, '(', 1), '^\\s+|\\s
 FROM documents
 """)
 def q_title_key(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", TX.title_key(F.col("text")).alias("title_key"))
 
 
@@ -76,7 +76,7 @@ SELECT doc_id, CASE
 FROM documents
 """)
 def q_annotation_trim(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", TX.annotation_trim(F.col("text")).alias("annotation"))
 
 
@@ -86,7 +86,7 @@ SELECT doc_id, replace(replace(replace(replace(replace(text, '(' || chr(10), '')
 FROM documents
 """)
 def q_bracket_repair(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", TX.bracket_repair(F.col("text")).alias("text"))
 
 
@@ -96,7 +96,7 @@ SELECT doc_id, array_to_string((string_split(text, chr(10)))[1:len(string_split(
 FROM documents
 """)
 def q_drop_last_line(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", TX.drop_last_line(F.col("text")).alias("text"))
 
 
@@ -104,7 +104,7 @@ def q_drop_last_line(spark, sf):
 SELECT doc_id, {_sql_c5('text')} AS answer_key, {_sql_c5('text', True)} AS corpus_key FROM documents
 """)
 def q_ngram_key(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", TX.ngram_key(F.col("text")).alias("answer_key"),
                     TX.ngram_key(F.col("text"), keep_brackets=True).alias("corpus_key"))
 
@@ -119,7 +119,7 @@ def _sql_prompt(lyrics: str, artist: str) -> str:
 SELECT doc_id, {_sql_prompt('text', 'source')} AS prompt FROM documents
 """)
 def q_prompt(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select("doc_id", C.render_prompt(F.col("text"), F.col("source")).alias("prompt"))
 
 
@@ -144,7 +144,7 @@ UNION ALL
 SELECT doc_id AS id, 1 AS idx, 'gpt' AS "from", md5(text) AS value_md5 FROM documents
 """)
 def q_chat(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     rec = d.select(F.col("doc_id").alias("id"),
                    C.chat_record(C.render_prompt(F.col("text"), F.col("source")), F.col("text")).alias("conv"))
     ex = rec.select("id", F.posexplode("conv").alias("idx", "t"))
@@ -156,7 +156,7 @@ WITH m AS (SELECT doc_id, regexp_extract_all(text, '.{{0,50}}{KWIC_PATTERN}.{{0,
 SELECT doc_id, unnest(range(len(ms)))::INT AS match_no, unnest(ms) AS context FROM m
 """)
 def q_kwic(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return keyword_in_context(d, "text", KWIC_PATTERN, ["doc_id"])
 
 
@@ -183,7 +183,7 @@ per_doc AS (SELECT mt.doc_id, mt.source, ns.n, coalesce(shared.c, 0)::BIGINT AS
 
 
 def _overlap(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "text").repartition("doc_id")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "source", "text").repartition("doc_id")
     b = table(spark, sf, "benchmark")
     return C.ngram_overlap(d, ["doc_id", "source"], "text", b, "text", NGRAM_NS)
 
@@ -226,7 +226,7 @@ WITH {_TERMS_SQL}
 SELECT model, term, n FROM cnt WHERE n > 0
 """)
 def q_term_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("model"), "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", F.col("source").alias("model"), "text")
     return C.term_counts(d, ["doc_id"], "model", "text", _terms(spark, sf))
 
 
@@ -235,5 +235,5 @@ WITH {_TERMS_SQL}
 SELECT model, sum(n)::BIGINT AS total FROM cnt WHERE n > 0 GROUP BY model
 """)
 def q_term_totals(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("model"), "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", F.col("source").alias("model"), "text")
     return C.term_totals(C.term_counts(d, ["doc_id"], "model", "text", _terms(spark, sf)), "model")

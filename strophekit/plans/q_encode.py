@@ -93,7 +93,7 @@ WITH w AS (SELECT DISTINCT unnest(regexp_extract_all({SQL_PREP.format(x='text')}
 SELECT word, {sql_syllable('word')} AS syllables FROM w
 """)
 def q_syllable_words(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     words = EN.distinct_words(d, "text")
     return words.select("word", SY.word_syllables(F.col("word")).alias("syllables"))
 
@@ -108,7 +108,7 @@ SELECT doc_id, line_no::INT AS line_no,
 FROM t
 """)
 def q_line_syllables(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     enc = EN.line_syllables(lines, ["doc_id", "line_no"], "line")
     return enc.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "syllables",
@@ -176,7 +176,7 @@ FROM w LEFT JOIN lex ON w.word = lex.word
 def q_lexicon_syllables(spark, sf):
     """Lexicon hit first, rule otherwise.  The lexicon here is built
     from the benchmark words (count = rule + 100, so hits are visible)."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     b = table(spark, sf, "benchmark")
     lex = EN.distinct_words(b, "text").select(
         "word", (SY.word_syllables(F.col("word")) + 100).alias("num_syllables"))

@@ -16,7 +16,7 @@ SELECT doc_id AS id, source AS artist, length(text)::BIGINT AS n_chars, md5(text
 FROM documents
 """)
 def q_jsonl(spark, sf):
-    d = table(spark, sf, "documents").select(
+    d = table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("song"),
         F.col("source").alias("artist"), F.col("text").alias("lyrics"), F.lit(None).cast("string").alias("prompt"))
     path = scratch_path(spark, "jsonl")
@@ -30,7 +30,7 @@ def q_jsonl(spark, sf):
 SELECT doc_id AS id, md5(text) AS lyrics_md5, lang AS annotation FROM documents
 """)
 def q_csv(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("lyrics"),
+    d = table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("lyrics"),
                                              F.col("lang").alias("annotation"))
     path = scratch_path(spark, "csv")
     IO.write_csv(d, path, ["id", "lyrics", "annotation"])
@@ -42,7 +42,7 @@ def q_csv(spark, sf):
 SELECT source AS model, doc_id AS id, length(text)::BIGINT AS n_chars FROM documents
 """)
 def q_model_outputs(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     base = scratch_path(spark, "outputs")
     d.select(F.col("doc_id").alias("id"), F.col("text").alias("model_response"), "source") \
      .write.partitionBy("source").json(base)

@@ -22,11 +22,11 @@ SQL_TRIM = """CASE
 
 
 def _parts(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("lyrics"),
+    d = table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("lyrics"),
                                              F.col("lang").alias("annotation"), F.lit(0).cast("long").alias("ord"))
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("lyrics"),
+    c = table(spark, sf, "conversations", spread=True).select(F.col("conv_id").alias("id"), F.col("text").alias("lyrics"),
                                                  F.col("role").alias("annotation"), (F.col("turn") + 1).alias("ord"))
-    meta = table(spark, sf, "pages").select(F.lit("site").alias("artist"), F.col("page_id").alias("artist_id"),
+    meta = table(spark, sf, "pages", spread=True).select(F.lit("site").alias("artist"), F.col("page_id").alias("artist_id"),
                                             F.col("url").alias("song"), F.col("page_id").alias("song_id"))
     return d, c, meta
 
@@ -50,7 +50,7 @@ def q_catalogue(spark, sf):
 
 
 def _songs(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").alias("id"), F.split_part("text", F.lit("."), F.lit(1)).alias("song"),
         F.col("source").alias("artist"))
 
@@ -87,6 +87,6 @@ good AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) AS rn FROM
 SELECT id, reason FROM bad UNION ALL SELECT id, 'duplicate' AS reason FROM good WHERE rn > 1
 """)
 def q_rejects(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", "text")
+    c = table(spark, sf, "conversations", spread=True).select(F.col("conv_id").alias("id"), "turn", "text")
     _, rejects = P.check_songs(c, ["id"], ["text"], ["turn"], refusal_col="text")
     return rejects

@@ -180,7 +180,7 @@ SELECT doc_id FROM documents
 WHERE {_sql_title_key('text')} NOT IN (SELECT {_sql_title_key('text')} FROM benchmark)
 """)
 def q_leak_guard(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "text")
     b = table(spark, sf, "benchmark")
     return R.leak_guard(d, b, title_key(F.col("text")), title_key(F.col("text"))).select("doc_id")
 
@@ -191,7 +191,7 @@ SELECT doc_id, source FROM (
   FROM documents) WHERE rn = 1
 """)
 def q_dedup_first(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", title_key(F.col("text")).alias("k"))
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "source", title_key(F.col("text")).alias("k"))
     return R.dedup_first(d, ["k"], ["doc_id"]).select("doc_id", "source")
 
 

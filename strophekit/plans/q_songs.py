@@ -17,7 +17,7 @@ KEYS = ["id"]
 def conversation_songs(spark: SparkSession, sf_dir: str):
     """One row per conversation with its ordered stanza array (the only
     shuffle of the song queries: turns grouped by conversation)."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = table(spark, sf_dir, "conversations", spread=True)
     return stanza_arrays_from_rows(conv.withColumnRenamed("conv_id", "id"), KEYS,
                                    "turn", "role", "text")
 
@@ -144,7 +144,7 @@ ROLE_KEYWORDS = {"user": "verse", "assistant": "chorus", "system": "intro"}
 def rebuilt_songs(spark, sf_dir):
     """One raw song text per conversation: a header per turn by role, turns
     joined by blank lines.  The group is one conversation."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = table(spark, sf_dir, "conversations", spread=True)
     hdr = F.create_map(*[x for k, v in ROLE_HEADERS.items() for x in (F.lit(k), F.lit(v))])
     piece = F.concat(hdr[F.col("role")], F.lit("\n"), F.col("text"))
     g = conv.groupBy(F.col("conv_id").alias("id")).agg(
