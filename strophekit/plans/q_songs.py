@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strophekit.operators import measures as M
 from strophekit.operators.structure import (matching_from_array, parse_songs,
                                             stanza_arrays_from_rows)
-from strophekit.plans.catalog import r6, register, table
+from strophekit.plans.catalog import ORACLES, r6, register, table
 
 KEYS = ["id"]
 
@@ -241,3 +241,50 @@ def q_scored_songs(spark, sf_dir):
 @register("diversity_avg_mtld_by_song")
 def q_diversity_avg_mtld(spark, sf_dir):
     return _scored(spark, sf_dir, "diversity_avg_mtld")
+
+
+# MTLD oracle: a recursive CTE walks every stanza's tokens forward and
+# backward with the same factor rule (threshold 0.72, segments of at least
+# 10 tokens, partial factor at the end).
+_MTLD_SQL = f"""
+WITH RECURSIVE {SQL_STANZAS},
+tok AS (
+  SELECT id, pos, list_filter(string_split_regex(lower(regexp_replace(
+           replace(strip_accents(array_to_string(lines, ' ')), 'ß', 'ss'),
+           '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~]', ' ', 'g')), '\\s+'), lambda w: w <> '') AS t
+  FROM st
+),
+dirs AS (SELECT id, pos, 'f' AS d, t FROM tok UNION ALL SELECT id, pos, 'b' AS d, list_reverse(t) FROM tok),
+r(id, pos, d, i, types, seg_n, factors, ttr, t) AS (
+  SELECT id, pos, d, 0, []::VARCHAR[], 0, 0.0::DOUBLE, 1.0::DOUBLE, t FROM dirs
+  UNION ALL
+  SELECT id, pos, d, i + 1,
+         CASE WHEN cl THEN []::VARCHAR[] ELSE nt END,
+         CASE WHEN cl THEN 0 ELSE nn END,
+         factors + CASE WHEN cl THEN 1.0 ELSE 0.0 END,
+         CASE WHEN cl THEN 1.0::DOUBLE ELSE nttr END,
+         t
+  FROM (SELECT *, nttr <= 0.72::DOUBLE AND nn >= 10 AS cl FROM (
+          SELECT r.*, list_distinct(list_append(types, t[i + 1])) AS nt, seg_n + 1 AS nn,
+                 len(list_distinct(list_append(types, t[i + 1])))::DOUBLE / (seg_n + 1) AS nttr
+          FROM r WHERE i < len(t)))
+),
+fin AS (
+  SELECT id, pos, d, len(t) AS n,
+         factors + (1.0::DOUBLE - ttr) / (1.0::DOUBLE - 0.72::DOUBLE) AS f
+  FROM r WHERE i = len(t)
+),
+per AS (
+  SELECT id, pos, CASE WHEN max(n) = 0 THEN 0.0
+                       ELSE avg(CASE WHEN f > 0 THEN n / f ELSE 0.0 END) END AS mtld
+  FROM fin GROUP BY id, pos
+),
+sc AS (SELECT id, -(mtld * (1.0::DOUBLE / 65)) AS s FROM per),
+agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM sc GROUP BY id)
+SELECT songs.id, 'diversity' AS measure,
+       round(coalesce(agg.score, 0.0), 6) AS score,
+       coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
+       round(100 * exp(coalesce(agg.score, 0.0)), 6) AS score_100
+FROM songs LEFT JOIN agg ON songs.id = agg.id
+"""
+ORACLES["diversity_mtld_by_song"] = _MTLD_SQL

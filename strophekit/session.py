@@ -50,6 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local "
+                               "folder does not survive executor loss")
         conf = tempfile.mkdtemp(prefix="strophekit-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
