@@ -33,7 +33,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from strophekit.session import get_spark
-    from strophekit.plans.catalog import QUERIES
+    from strophekit.plans.catalog import load
+    QUERIES = load()[0]
 
     spark = get_spark("strophekit-bench", cores=cpus)
     # Session warm-up (JVM JIT, Python workers); not a headline query.

@@ -49,7 +49,9 @@ def r6(c) -> F.Column:
     return F.round(c.cast("double"), 6)
 
 
-# Import the modules that register queries.
-from strophekit.plans import (  # noqa: E402,F401
-    q_songs, q_relational, q_corpus, q_embeddings, q_encode, q_compare, q_io, q_prep,
-)
+def load() -> tuple[dict, dict]:
+    """Import the modules that register queries; returns (queries, oracles)."""
+    from strophekit.plans import (  # noqa: F401
+        q_compare, q_corpus, q_embeddings, q_encode, q_io, q_prep, q_relational, q_songs,
+    )
+    return QUERIES, ORACLES
