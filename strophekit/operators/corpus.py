@@ -108,16 +108,22 @@ def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[
     later counts need no grid join."""
     from pyspark.ml.feature import NGram
     keys = list(keys)
-    lst = F.lit(sorted(set(common) | {"", " "})) if common else F.array().cast("array<string>")
     d = df.select(*keys, tokens.alias("_tok"))
-    d = d.withColumn("_c", F.transform("_tok", lambda w: F.when(F.array_contains(lst, w), "1").otherwise("0")))
+    if common:
+        lst = F.lit(sorted(set(common) | {"", " "}))
+        d = d.withColumn("_c", F.transform("_tok", lambda w: F.when(F.array_contains(lst, w), "1")
+                                           .otherwise("0")))
     for n in ns:
         d = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(d)
-        d = NGram(n=n, inputCol="_c", outputCol=f"_f{n}").transform(d)
+        if common:
+            d = NGram(n=n, inputCol="_c", outputCol=f"_f{n}").transform(d)
     per_n = []
     for n in ns:
-        kept = F.filter(F.zip_with(f"_g{n}", f"_f{n}", lambda g, f: F.when(f.contains("0"), g)),
-                        lambda g: g.isNotNull())
+        if common:
+            kept = F.filter(F.zip_with(f"_g{n}", f"_f{n}", lambda g, f: F.when(f.contains("0"), g)),
+                            lambda g: g.isNotNull())
+        else:
+            kept = F.col(f"_g{n}")
         arr = F.array_distinct(kept)
         if sentinel:
             arr = F.concat(arr, F.array(F.lit(None).cast("string")))
@@ -133,7 +139,10 @@ def ngram_overlap(texts: DataFrame, keys: Sequence[str], text_col: str, corpus:
     the corpus; texts without any shared gram get 0.  Corpus grams are
     formed inside each corpus text."""
     keys = list(keys)
-    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, common, sentinel=True)
+    # The common-word filter is applied to the corpus grams only: a text
+    # gram made of common words can never equal a kept corpus gram, so
+    # filtering the (much larger) text side as well changes no count.
+    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, None, sentinel=True)
     theirs = doc_ngrams(corpus.select(F.monotonically_increasing_id().alias("_cid"), corpus_text_col),
                         ["_cid"], gram_tokens(ngram_key(F.col(corpus_text_col), keep_brackets=True)),
                         ns, common).select("n", "gram").distinct().withColumn("_hit", F.lit(1))
