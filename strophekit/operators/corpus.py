@@ -183,6 +183,12 @@ def term_counts(texts: DataFrame, keys: Sequence[str], group: str, text_col: str
     tok = texts.select(*keys, group, F.split(F.col(text_col), " ", -1).alias("_tok"))
     parts = []
     for k in sizes:
+        if k == 1:
+            # single words: the gram is the token itself (codegen'd explode)
+            g = tok.select(*keys, group, F.size("_tok").alias("_T"), F.posexplode("_tok").alias("i", "gram"))
+            g = g.filter((F.col("i") >= 1) & (F.col("i") <= F.col("_T") - 2))
+            parts.append(g.select(*keys, group, F.lit(1).alias("k"), F.col("i").cast("int").alias("i"), "gram"))
+            continue
         starts = F.sequence(F.lit(1), F.size("_tok") - k - 1)  # 0-based start i in [1, T-k-1]
         grams = F.transform(starts, lambda i: F.struct(
             i.alias("i"), F.array_join(F.slice("_tok", i + 1, k), " ").alias("gram")))

@@ -260,3 +260,12 @@ def test_mtld_moving_average():
     # every start position closes a factor after exactly 10 tokens
     assert M.mtld_ma_wrap_value("a b a b a b a b a b a b".split()) == pytest.approx(10.0)
     assert M.mtld_ma_wrap_value([str(i) for i in range(12)]) == 0.0
+
+
+def test_term_count_multiword(spark):
+    texts = spark.createDataFrame([(1, "m", "x a b a b y"), (2, "m", "a b x a b z a b")],
+                                  "id long, model string, text string")
+    terms = spark.createDataFrame([(" a b ",), (" x ",)], "term string")
+    got = {r["term"]: r["n"] for r in term_counts(texts, ["id"], "model", "text", terms).collect()}
+    want = {t: "x a b a b y".count(t) + "a b x a b z a b".count(t) for t in (" a b ", " x ")}
+    assert got == {k: v for k, v in want.items() if v > 0}
