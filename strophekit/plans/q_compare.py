@@ -12,6 +12,7 @@ from strophekit.operators import measures as M
 from strophekit.operators import relational as R
 from strophekit.operators.structure import stanza_arrays_from_rows
 from strophekit.plans.catalog import r6, register, table
+from strophekit.session import cut_lineage
 from strophekit.plans.q_songs import _line_sql
 
 MODELS = ("assistant", "system", "user")
@@ -26,6 +27,10 @@ def model_scores(spark, sf):
     arrays = stanza_arrays_from_rows(conv.withColumn("keyword", F.col("model")), ["model", "id"],
                                      "turn", "keyword", "text")
     s = M.score_song_arrays(arrays, ["model", "id"], [m for m, _ in X4_MEASURES])
+    # The score table is read by the pruning count, the pruning join and
+    # every table built on top; one reliable checkpoint keeps the scoring
+    # from running again for each of them.
+    s = cut_lineage(s)
     s = R.prune_to_common(s, "id", "model")
     return s.withColumn("scaled", M.scale_score(F.col("measure"), F.col("score")))
 
