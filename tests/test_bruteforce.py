@@ -75,3 +75,40 @@ def test_pca_similarity_brute_force(spark):
         l2 = np.mean([np.linalg.norm(a - b) for a, b in pairs])
         assert got[label][0] == pytest.approx(cos, abs=1e-5)
         assert got[label][1] == pytest.approx(l2, abs=1e-5)
+
+
+def test_pc_window_centroids_brute_force(spark):
+    t = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
+    X0 = np.stack(t[t.label == 0].embedding.to_numpy()).astype(np.float64)
+    mu = X0.mean(axis=0)
+    w, v = np.linalg.eigh(np.cov(X0 - mu, rowvar=False))
+    comps = v[:, np.argsort(w)[::-1][:10]]
+    got = {r["label"]: r["centroid"] for r in E.queries()["pc_window_centroids"](spark, SF).collect()}
+    for label, g in t.groupby("label"):
+        P = (np.stack(g.embedding.to_numpy()).astype(np.float64) - mu) @ comps
+        want = P[:, 3:6].mean(axis=0)
+        # a component's sign is free: compare absolute values
+        assert np.abs(got[label]) == pytest.approx(np.abs(want), abs=1e-5)
+
+
+def _mtld_ma(tokens):
+    n = len(tokens)
+    lengths = []
+    for s in range(n):
+        seen = set()
+        for j in range(n):
+            seen.add(tokens[(s + j) % n])
+            if len(seen) / (j + 1) <= 0.72 and j + 1 >= 10:
+                lengths.append(j + 1)
+                break
+    return sum(lengths) / len(lengths) if lengths else 0.0
+
+
+def test_diversity_avg_mtld_brute_force(spark):
+    songs = conversation_songs(spark, SF)
+    toks = songs.select("id", F.transform("stanzas", lambda s: M.diversity_tokens(s["lines"])).alias("t")).collect()
+    want = {r["id"]: (sum(-_mtld_ma(list(x)) / 65 for x in r["t"]) / len(r["t"]) if r["t"] else 0.0)
+            for r in toks}
+    got = {r["id"]: r["score"] for r in E.queries()["diversity_avg_mtld_by_song"](spark, SF).collect()}
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-6)
