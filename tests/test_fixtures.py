@@ -269,3 +269,25 @@ def test_term_count_multiword(spark):
     got = {r["term"]: r["n"] for r in term_counts(texts, ["id"], "model", "text", terms).collect()}
     want = {t: "x a b a b y".count(t) + "a b x a b z a b".count(t) for t in (" a b ", " x ")}
     assert got == {k: v for k, v in want.items() if v > 0}
+
+
+def test_row_api_pairs_and_stanzas(spark):
+    from strophekit.operators.structure import stanzas_from_rows
+    rows = spark.createDataFrame([(1, 0, "v", "Red sky"), (1, 1, "c", "sing"), (1, 2, "v", "red sea"),
+                                  (1, 3, "c", "  "), (2, 0, "v", "x")],
+                                 "id long, turn long, role string, text string")
+    st = stanzas_from_rows(rows, ["id"], "turn", "role", "text")
+    got = sorted((r["id"], r["pos"], r["keyword"], tuple(r["lines"])) for r in st.collect())
+    assert got == [(1, 0, "v", ("red sky",)), (1, 1, "c", ("sing",)), (1, 2, "v", ("red sea",)),
+                   (2, 0, "v", ("x",))]
+    pairs = M.build_pairs(st, ["id"]).collect()
+    assert [(r["pos1"], r["pos2"]) for r in pairs] == [(0, 2)]
+
+
+def test_line_phonetics(spark):
+    from strophekit.operators.encode import line_phonetics
+    pron = spark.createDataFrame([("red", ["R", "EH1", "D"]), ("sky", ["S", "K", "AY1"])],
+                                 "word string, phonemes array<string>")
+    lines = spark.createDataFrame([(1, "Red, sky! blue")], "id long, line string")
+    r = line_phonetics(lines, ["id"], "line", pron).first()
+    assert list(r["phonemes"]) == ["REH1", "D", "SKAY1"]
