@@ -49,3 +49,23 @@ def q_model_outputs(spark, sf):
     models = [r["source"] for r in d.select("source").distinct().collect()]  # model names only
     back = IO.read_model_outputs(spark, {m: f"{base}/source={m}" for m in models}, multiline=False)
     return back.select("model", "id", F.length("model_response").cast("long").alias("n_chars"))
+
+
+def _streamed_sql() -> str:
+    from strophekit.plans.q_songs import _x1_sql
+    return f"SELECT id, side, measure, score, n_pairs FROM ({_x1_sql()})"
+
+
+@register("streamed_song_scores", _streamed_sql())
+def q_streamed(spark, sf):
+    """The streaming scorer end to end: every conversation, rebuilt as a
+    song text, lands as JSON files in a fresh folder; the file stream
+    scores them (availableNow) into a parquet sink, which is read back."""
+    from strophekit.plans.q_songs import rebuilt_songs
+    from strophekit.streaming.incremental import score_stream
+    src, sink, ckpt = (scratch_path(spark, x) for x in ("stream-in", "stream-out", "stream-ckpt"))
+    rebuilt_songs(spark, sf).select("id", F.col("text").alias("model_response")).write.json(src)
+    q = score_stream(spark, src, sink, ckpt, sides={"pred": "model_response"}, once=True)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("id", "side", "measure", F.round("score", 6).alias("score"), "n_pairs")
