@@ -41,7 +41,7 @@ def _x4_cte() -> str:
         a, b = _line_sql(ctx, "l1[i]"), _line_sql(ctx, "l2[i]")
         sims.append(f"""
 SELECT model, id, pos1, pos2, '{m}' AS measure,
-       avg(levenshtein({a}, {b})::DOUBLE / least(length({a}), length({b}))) AS s
+       list_sum(list(levenshtein({a}, {b})::DOUBLE / least(length({a}), length({b})) ORDER BY i)) / count(*) AS s
 FROM li GROUP BY model, id, pos1, pos2""")
     return f"""
 st0 AS (
@@ -55,7 +55,8 @@ pairs AS (SELECT a.model, a.id, a.pos AS pos1, b.pos AS pos2, a.lines AS l1, b.l
           FROM st a JOIN st b ON a.model = b.model AND a.id = b.id AND a.pos < b.pos),
 li AS (SELECT model, id, pos1, pos2, l1, l2, unnest(range(1, least(len(l1), len(l2)) + 1)) AS i FROM pairs),
 ps AS ({' UNION ALL '.join(sims)}),
-agg AS (SELECT model, id, measure, avg(s) AS score FROM ps GROUP BY model, id, measure),
+agg AS (SELECT model, id, measure, list_sum(list(s ORDER BY pos1, pos2)) / count(*) AS score
+        FROM ps GROUP BY model, id, measure),
 songs AS (SELECT DISTINCT role AS model, conv_id AS id FROM conversations),
 grid AS (SELECT songs.model, songs.id, m.measure FROM songs,
          (SELECT unnest({[m for m, _ in X4_MEASURES]}) AS measure) m),

@@ -10,7 +10,7 @@ from strophekit.functions.text import prep_encoding
 from strophekit.operators import encode as EN
 from strophekit.operators import measures as M
 from strophekit.plans.catalog import r6, register, table
-from strophekit.plans.q_songs import SQL_STANZAS, conversation_songs
+from strophekit.plans.q_songs import SONG_MEAN, SQL_STANZAS, conversation_songs
 
 _V = "('e', 'a', 'o', 'u', 'i')"
 
@@ -123,10 +123,10 @@ _STRESS_LINE = (f"array_to_string(list_transform(CASE WHEN translate({SQL_PREP.f
 
 ORACLES_METER = f"""
 WITH {SQL_STANZAS},
-ps AS (SELECT id, array_to_string(list_transform(l1, lambda ln: {_STRESS_LINE}), '') AS s1,
+ps AS (SELECT id, pos1, pos2, array_to_string(list_transform(l1, lambda ln: {_STRESS_LINE}), '') AS s1,
               array_to_string(list_transform(l2, lambda ln: {_STRESS_LINE}), '') AS s2 FROM pairs),
-pscore AS (SELECT id, levenshtein(s1, s2)::DOUBLE / least(length(s1), length(s2)) AS s FROM ps),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM pscore GROUP BY id)
+pscore AS (SELECT id, pos1, pos2, levenshtein(s1, s2)::DOUBLE / least(length(s1), length(s2)) AS s FROM ps),
+agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
 SELECT songs.id, 'meter' AS measure,
        round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
@@ -149,9 +149,10 @@ sums AS (SELECT id, pos1, pos2,
        '\\b\\w+\\b'), lambda w: {sql_syllable('w')})), 0)) AS a,
    list_transform(l2, lambda ln: coalesce(list_sum(list_transform(regexp_extract_all({SQL_PREP.format(x='ln')},
        '\\b\\w+\\b'), lambda w: {sql_syllable('w')})), 0)) AS b FROM pairs),
-pscore AS (SELECT id, list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: abs(a[k] - b[k])))::DOUBLE
+pscore AS (SELECT id, pos1, pos2,
+                  list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: abs(a[k] - b[k])))::DOUBLE
                   * (1.0::DOUBLE / 8) / least(len(a), len(b)) AS s FROM sums),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM pscore GROUP BY id)
+agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
 SELECT songs.id, 'syllable_offset0' AS measure, round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
        round(100 * exp(-coalesce(agg.score, 0.0)), 6) AS score_100

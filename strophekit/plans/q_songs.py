@@ -50,6 +50,11 @@ songs AS (SELECT DISTINCT conv_id AS id FROM conversations)
 """
 
 SQL_WORDS = "list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+# Song means are summed in pair order (pos1, pos2) or stanza order, as the
+# Spark side does, so both produce the same double (an unordered parallel
+# average can differ in the last bit and flip a 6-place rounding).
+SONG_MEAN = "list_sum(list(s ORDER BY pos1, pos2)) / count(*) AS score, count(*) AS n_pairs"
+STANZA_MEAN = "list_sum(list(s ORDER BY pos)) / count(*) AS score, count(*) AS n_pairs"
 
 
 def _line_sql(ctx: int, x: str) -> str:
@@ -69,14 +74,14 @@ li AS (
   SELECT id, pos1, pos2, l1, l2, unnest(range(1, least(len(l1), len(l2)) + 1)) AS i FROM pairs
 ),
 ld AS (
-  SELECT id, pos1, pos2, {a} AS a, {b} AS b FROM li
+  SELECT id, pos1, pos2, i, {a} AS a, {b} AS b FROM li
 ),
 pscore AS (
   SELECT id, pos1, pos2,
-         avg(levenshtein(a, b)::DOUBLE / least(length(a), length(b))) AS s
+         list_sum(list(levenshtein(a, b)::DOUBLE / least(length(a), length(b)) ORDER BY i)) / count(*) AS s
   FROM ld GROUP BY id, pos1, pos2
 ),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM pscore GROUP BY id)
+agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
 SELECT songs.id, '{measure}' AS measure,
        round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
@@ -174,8 +179,8 @@ def q_parsed_stanzas(spark, sf_dir):
 # --- meter / syllable / phonetics / diversity on conversation stanzas --------
 @register("phonetics_by_song", f"""
 WITH {SQL_STANZAS},
-pscore AS (SELECT id, abs(len(l1) - len(l2))::DOUBLE / least(len(l1), len(l2)) AS s FROM pairs),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM pscore GROUP BY id)
+pscore AS (SELECT id, pos1, pos2, abs(len(l1) - len(l2))::DOUBLE / least(len(l1), len(l2)) AS s FROM pairs),
+agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
 SELECT songs.id, 'phonetics' AS measure,
        round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
@@ -205,9 +210,9 @@ tok AS (
   FROM st
 ),
 sc AS (
-  SELECT id, -((len(list_distinct(t))::DOUBLE / len(t)) / len(t)) * (1.0::DOUBLE / 65) AS s FROM tok
+  SELECT id, pos, -((len(list_distinct(t))::DOUBLE / len(t)) / len(t)) * (1.0::DOUBLE / 65) AS s FROM tok
 ),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM sc GROUP BY id)
+agg AS (SELECT id, {STANZA_MEAN} FROM sc GROUP BY id)
 SELECT songs.id, 'diversity_avg_ttr' AS measure,
        round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
@@ -276,11 +281,13 @@ fin AS (
 ),
 per AS (
   SELECT id, pos, CASE WHEN max(n) = 0 THEN 0.0
-                       ELSE avg(CASE WHEN f > 0 THEN n / f ELSE 0.0 END) END AS mtld
+                       ELSE (max(CASE WHEN d = 'f' THEN (CASE WHEN f > 0 THEN n / f ELSE 0.0 END) END)
+                             + max(CASE WHEN d = 'b' THEN (CASE WHEN f > 0 THEN n / f ELSE 0.0 END) END)) / 2.0
+                  END AS mtld
   FROM fin GROUP BY id, pos
 ),
-sc AS (SELECT id, -(mtld * (1.0::DOUBLE / 65)) AS s FROM per),
-agg AS (SELECT id, avg(s) AS score, count(*) AS n_pairs FROM sc GROUP BY id)
+sc AS (SELECT id, pos, -(mtld * (1.0::DOUBLE / 65)) AS s FROM per),
+agg AS (SELECT id, {STANZA_MEAN} FROM sc GROUP BY id)
 SELECT songs.id, 'diversity' AS measure,
        round(coalesce(agg.score, 0.0), 6) AS score,
        coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
