@@ -73,8 +73,8 @@ def list_bucket(value: Column, base: int, width: int, names: Sequence[str]) -> C
 def classify_model_file(path: Column) -> tuple[Column, Column]:
     """Model family and checkpoint from an output file name, rules in
     the reference's order; an unmatched checkpoint is NULL."""
-    family = (F.when(path.contains("temp-1"), "lyre-chat-temp-1")
-              .when(path.contains("chat"), "lyre-chat").otherwise("lyre"))
+    family = (F.when(path.contains("temp-1"), "tuned-chat-temp-1")
+              .when(path.contains("chat"), "tuned-chat").otherwise("tuned"))
     ckpt = (F.when(path.contains("llama"), 0).when(path.contains("-50-"), 50)
             .when(path.contains("-100-"), 100).when(path.contains("-150-"), 150))
     return family, ckpt

@@ -48,22 +48,22 @@ def test_scored_records(spark):
 
 
 def test_vote_study(spark):
-    votes = spark.createDataFrame([(1, "lyre"), (2, "llama"), (1, "lyre")], "id long, chosen_model string")
+    votes = spark.createDataFrame([(1, "tuned"), (2, "base"), (1, "tuned")], "id long, chosen_model string")
     outs = spark.createDataFrame([(1, "Ann"), (2, "Ann")], "id long, artist string")
-    rates, overall = P.vote_study(votes, outs, "lyre", "llama", min_votes=1)
+    rates, overall = P.vote_study(votes, outs, "tuned", "base", min_votes=1)
     r = rates.first()
-    assert (r["lyre"], r["llama"], r["num_votes"]) == (2, 1, 3)
+    assert (r["tuned"], r["base"], r["num_votes"]) == (2, 1, 3)
     assert abs(overall.first()["win_rate"] - 2 / 3) < 1e-12
 
 
 def test_counts_by_checkpoint(spark):
     df = spark.createDataFrame(
-        [("lyre-chat-small-batch-checkpoint-100-temp-1-test-outputs.json", 3),
-         ("lyre-chat-small-batch-checkpoint-50-test-outputs.json", 2),
-         ("llama-2-7b-chat-test-outputs.json", 5), ("lyre-checkpoint-150-test-outputs.json", 1)],
+        [("tuned-chat-checkpoint-100-temp-1-test-outputs.json", 3),
+         ("tuned-chat-checkpoint-50-test-outputs.json", 2),
+         ("llama-2-7b-chat-test-outputs.json", 5), ("tuned-checkpoint-150-test-outputs.json", 1)],
         "path string, n long")
     got = [tuple(r) for r in P.counts_by_checkpoint(df).collect()]
-    assert got == [("lyre", 150, 1), ("lyre-chat", 0, 5), ("lyre-chat", 50, 2), ("lyre-chat-temp-1", 100, 3)]
+    assert got == [("tuned", 150, 1), ("tuned-chat", 0, 5), ("tuned-chat", 50, 2), ("tuned-chat-temp-1", 100, 3)]
 
 
 def test_curves_long(spark):

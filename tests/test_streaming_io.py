@@ -47,7 +47,7 @@ def test_readers(spark):
     assert sorted(r["word"] for r in IO.read_word_list(spark, words, pad=True).collect()) == [" cold ", " hot "]
     votes = os.path.join(root, "votes.txt")
     with open(votes, "w") as f:
-        f.write('[{"1": "lyre", "2": "llama"}, {"1": "llama"}]')
+        f.write('[{"1": "tuned", "2": "base"}, {"1": "base"}]')
     v = IO.read_votes(spark, votes)
     assert v.count() == 3
     csv = os.path.join(root, "c")
