@@ -52,3 +52,13 @@ def test_dedup_is_partial_aggregation(spark):
 def test_term_counts_no_cross_join(spark):
     plan = _plan(E.queries()["term_counts"](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_bounded_broadcast_respects_bound(spark):
+    from strophekit.session import bounded_broadcast
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert "ResolvedHint" in small.transform(lambda d: bounded_broadcast(d, 100))._jdf.queryExecution() \
+        .analyzed().toString() or "broadcast" in str(bounded_broadcast(small, 100)._jdf.queryExecution().logical())
+    # beyond the bound the frame is returned unchanged (no broadcast hint)
+    assert bounded_broadcast(big, 100) is big
