@@ -27,3 +27,9 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, BYTE_BPE, end_id=2)
     return digests(read_chunks(spark, path))
+
+
+@query
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
