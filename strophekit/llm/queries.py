@@ -33,3 +33,9 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophekit.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.neardup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
