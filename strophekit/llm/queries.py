@@ -39,3 +39,10 @@ def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophekit.llm.neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.viterbi import piece_vocabulary, token_counts
+    vocabulary, _ = piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary)
