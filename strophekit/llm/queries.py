@@ -46,3 +46,9 @@ def op4_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophekit.llm.viterbi import piece_vocabulary, token_counts
     vocabulary, _ = piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.embdup import near_duplicate_vectors
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
