@@ -52,3 +52,12 @@ def op4_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophekit.llm.embdup import near_duplicate_vectors
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the test items it holds: ``doc_id, contaminated, n_items, item_ids, least_errors``."""
+    from strophekit.llm.decontam import with_leaks
+    docs = with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
+                       F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.errors").alias("least_errors"))
