@@ -107,3 +107,36 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(esc) + CASE WHEN opens THEN length(role) + {len("<|im_start|>") + len("<|im_end|>") + 2} ELSE {len("<|turn|>")} END)::BIGINT AS formatted_chars
 FROM w GROUP BY conv_id
 """
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.licenses import with_licenses
+    docs = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+                       F.array_join("licenses.name", ",").alias("licenses"),
+                       F.round(F.array_min("licenses.containment"), 6).alias("least_containment"))
+
+
+def _license_sql() -> str:
+    """Every shingle of every template looked up in every text."""
+    import re
+
+    from strophekit.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
+    cells = []
+    for name, text in sorted(TEMPLATES.items()):
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        runs = sorted({" ".join(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
+        held = " + ".join(f"(contains(t, ' {r} '))::INT" for r in runs)
+        cells.append(f"SELECT doc_id, '{name}' AS name, ({held}) / {len(runs)}.0::DOUBLE AS c FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS t FROM documents),
+m AS ({" UNION ALL ".join(cells)})
+SELECT doc_id, count(*) FILTER (c >= {CONTAINMENT}) AS n_licenses,
+       coalesce(string_agg(name, ',' ORDER BY name) FILTER (c >= {CONTAINMENT}), '') AS licenses,
+       round(min(c) FILTER (c >= {CONTAINMENT}), 6) AS least_containment
+FROM m GROUP BY doc_id
+"""
+
+
+ORACLES["op6_license_scan"] = _license_sql()
