@@ -10,7 +10,7 @@ averaged.  The sample is chosen by a hash of the id and holds about
 sparse dot product; scoring is one narrow pass over all documents.
 
 Null or empty text, or white space only: the score of the intercept.  Labels that are null or
-without a document are not used; with no usable label every score is 0.5.  Repeated rows
+without a document are not used; with no usable label every score is 1.  Repeated rows
 are rows of their own.  Empty table: empty result.  Other columns are ignored.
 """
 
@@ -29,6 +29,7 @@ SHARDS = 4
 EPOCHS = 3
 RATE, BETA, L1, L2 = 10.0, 1.0, 0.05, 0.0
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
+NO_LABELS = 35.0  # the intercept when nothing tells documents apart: all are kept
 # 0 white space, 1 letters, digits and all beyond ASCII, 2 the rest
 KIND = np.where(IS_SPACE, 0, [1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)])
 
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
     for r in shards:
         w[np.array(r["places"], np.int64)] += np.array(r["weights"], float) * (r["rows"] / total)
     at = np.flatnonzero(w)
-    return at, w[at], sum(r["bias"] * r["rows"] for r in shards) / total if total else 0.0
+    return at, w[at], sum(r["bias"] * r["rows"] for r in shards) / total if total else NO_LABELS
 
 
 def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
