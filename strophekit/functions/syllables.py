@@ -85,9 +85,12 @@ SMALL_NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven",
                  "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
                  "seventeen", "eighteen", "nineteen")
 TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
-SCALES = ((10 ** 15, "quadrillion"), (10 ** 12, "trillion"), (10 ** 9, "billion"),
-          (10 ** 6, "million"), (10 ** 3, "thousand"))
-MAX_SPELLED_DIGITS = 18
+# The stems from which names of powers of a thousand are built.
+FIRST_STEMS = ("m", "b", "tr", "quadr", "quint", "sext", "sept", "oct", "non")
+UNIT_STEMS = ("", "un", "duo", "tre", "quattuor", "quin", "sex", "sept", "octo", "novem")
+TEN_STEMS = ("dec", "vigint", "trigint", "quadragint", "quinquagint", "sexagint", "septuagint", "octogint", "nonagint")
+POWERS = ("", "thousand", *[stem + "illion" for stem in (
+    *FIRST_STEMS, *[unit + ten for ten in TEN_STEMS for unit in UNIT_STEMS], "cent")])
 
 
 def _spell_below_100(n: Column) -> Column:
@@ -109,29 +112,32 @@ def _spell_below_1000(n: Column) -> Column:
 
 def spell_number(digits: Column) -> Column:
     """An all-digit token as English words ('one thousand, two hundred
-    and thirty-four'); tokens over 18 digits are left as they are."""
-    return _spell_guarded(digits)
-
-
-def _spelled(n: Column) -> Column:
-    parts = []
-    for scale, name in SCALES:
-        g = F.floor(n / scale) % 1000
-        parts.append(F.when(g != 0, F.concat(_spell_below_1000(g), F.lit(" " + name))))
-    head = F.concat_ws(", ", *parts)  # NULL parts are skipped
-    last = n % 1000
-    return (F.when(n < 1000, _spell_below_1000(n))
+    and thirty-four'), by groups of three digits, so of any length that number
+    names reach (306 digits; the names end there, and longer tokens stay as they are)."""
+    plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    size = F.ceil(F.length(plain) / 3).cast("int")
+    padded = F.lpad(plain, size * 3, "0")
+    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(padded, i * 3 + 1, F.lit(3)).cast("int"))
+    # bound once: the spelling refers to the groups many times
+    spelled = F.element_at(F.transform(F.array(values), _spelled), 1)
+    named = digits.rlike("^[0-9]+$") & (F.length(plain) <= 3 * len(POWERS))
+    return F.when(named, spelled).otherwise(digits)
+
+
+def _spelled(groups: Column) -> Column:
+    """Words of groups of three digits, highest first."""
+    n = F.size(groups)
+    powers = F.array(*[F.lit(p) for p in POWERS])
+    high = F.filter(
+        F.transform(F.slice(groups, F.lit(1), n - 1), lambda g, i: F.when(g != 0, F.concat(
+            _spell_below_1000(g), F.lit(" "), F.get(powers, n - 1 - i)))), lambda w: w.isNotNull())
+    head, last = F.array_join(high, ", "), F.element_at(groups, -1)
+    return (F.when(n == 1, _spell_below_1000(last))
             .when(last == 0, head)
             .when(last < 100, F.concat(head, F.lit(" and "), _spell_below_100(last)))
             .otherwise(F.concat(head, F.lit(", "), _spell_below_1000(last))))
 
 
-def _spell_guarded(digits: Column) -> Column:
-    ok = digits.rlike("^[0-9]+$") & (F.length(digits) <= MAX_SPELLED_DIGITS)
-    return F.when(ok, F.element_at(F.transform(F.array(digits.cast("long")), lambda v: _spelled(v)), 1)
-                  ).otherwise(digits)
-
-
 def word_syllables(word: Column) -> Column:
     """E2 + E3: numbers are spelled before the rule.
 

@@ -14,12 +14,14 @@ def _col(c) -> Column:
 
 
 # --- ASCII folding (T1) -----------------------------------------------------
-# One-to-one part: built by rule from Unicode decomposition of the Latin
+# One-to-one part: built by rule from Unicode decomposition of all Latin
 # blocks (a letter whose canonical decomposition starts with an ASCII letter
-# maps to that letter).
+# maps to that letter).  Combining marks are dropped, so composed and
+# decomposed spellings fold alike; letters of other scripts stay as they are
+# and count as word characters.
 def _build_fold_table() -> tuple[str, str]:
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
         base = unicodedata.normalize("NFD", ch)[0]
         if base != ch and base.isascii() and base.isalpha():
@@ -43,7 +45,7 @@ MULTI_CHAR_FOLDS = {
 
 def fold_ascii(c) -> Column:
     """Fold Latin letters with accents to ASCII (T1, without the trim)."""
-    out = F.translate(_col(c), _FOLD_SRC, _FOLD_DST)
+    out = F.regexp_replace(F.translate(_col(c), _FOLD_SRC, _FOLD_DST), r"\p{Mn}+", "")
     for k, v in MULTI_CHAR_FOLDS.items():
         out = F.replace(out, F.lit(k), F.lit(v))
     return out

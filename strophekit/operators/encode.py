@@ -18,7 +18,7 @@ from strophekit.functions.syllables import word_syllables as syllable_rule
 from strophekit.functions.text import prep_encoding
 from strophekit.session import bounded_broadcast
 
-WORD_RX = r"\b\w+\b"
+WORD_RX = r"(?U)\b\w+\b"
 MAX_LEXICON_BROADCAST = 2_000_000
 
 

@@ -208,12 +208,9 @@ def pivot_agg(df: DataFrame, group: Sequence[str], pivot_col: str, values: Seque
 
 
 # --- A: aggregates -----------------------------------------------------------------
-SMALL_GROUP_ROWS = 2_000_000
-
-
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, buckets: int = 64,
-                    accuracy: int = 10000, small_group_rows: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    accuracy: int = 10000) -> DataFrame:
     """Exact quantiles with linear interpolation (``percentile`` /
     ``quantile_cont``) per group, without holding a group's values in one
     task.
@@ -224,18 +221,10 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     only the buckets holding the needed ranks are ranked exactly (a window
     keyed by group and bucket); a bucket whose min equals its max needs no
     ranking (ties such as many songs scoring exactly 100).  Output: group
-    columns, ``n`` and one column per probability.
-
-    When the largest group holds at most ``small_group_rows`` rows (one
-    scalar job decides), the built-in exact ``percentile`` is used: its
-    per-group buffer is then bounded."""
+    columns, ``n`` and one column per probability."""
     group = list(group)
     names = list(names) if names else [f"q_{p}" for p in probs]
     d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    largest = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= small_group_rows:
-        return d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[
-            F.percentile("_v", F.lit(float(p))).alias(nm) for p, nm in zip(probs, names)])
     fr = [i / buckets for i in range(1, buckets)]
     stats = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
                                   F.percentile_approx("_v", fr, accuracy).alias("_b"))
@@ -263,7 +252,8 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     hi = vals.select(*group, F.col("_r").alias("_rh"), F.col("_x").alias("_xh"))
     q = need.withColumn("_rl", F.floor("_h").cast("long")).withColumn("_rh", F.ceil("_h").cast("long"))
     q = q.join(lo, on=group + ["_rl"]).join(hi, on=group + ["_rh"])
-    q = q.withColumn("_q", F.col("_xl") + (F.col("_h") - F.col("_rl")) * (F.col("_xh") - F.col("_xl")))
+    q = q.withColumn("_q", F.when(F.col("_rl") == F.col("_rh"), F.col("_xl")).otherwise(
+        (F.col("_rh") - F.col("_h")) * F.col("_xl") + (F.col("_h") - F.col("_rl")) * F.col("_xh")))
     wide = q.groupBy(*group, "_n").agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
     return wide.withColumnRenamed("_n", "n")

@@ -74,13 +74,13 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model_outputs(spark: SparkSession, paths: Mapping[str, str], schema: str = SONGS_SCHEMA,
-                       skip: str | None = "lora", multiline: bool = True) -> DataFrame:
-    """Many model output files, each tagged with its model name; paths
-    containing ``skip`` are left out.  One scan per model, unioned (the plan
-    grows with the number of models, not with the data)."""
+                       skip: str | None = None, multiline: bool = True) -> DataFrame:
+    """Many model output files, each tagged with its model name; files whose own
+    name contains ``skip`` are left out (default: none).  One scan per model, unioned
+    (the plan grows with the number of models, not with the data)."""
     frames = []
     for model, path in paths.items():
-        if skip and skip in path:
+        if skip and skip in path.rstrip("/").rsplit("/", 1)[-1]:
             continue
         df = spark.read.schema(schema).option("multiLine", multiline).json(path)
         frames.append(df.withColumn("model", F.lit(model)))

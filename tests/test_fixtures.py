@@ -179,7 +179,12 @@ def test_measure_names():
         M.resolve_measures(["nonsense"])
 
 
-NUMBERS = {"0": "zero", "7": "seven", "007": "seven", "21": "twenty-one", "100": "one hundred",
+NUMBERS = {"999999999999999999": "nine hundred and ninety-nine quadrillion, nine hundred and ninety-nine trillion, "
+                                 "nine hundred and ninety-nine billion, nine hundred and ninety-nine million, "
+                                 "nine hundred and ninety-nine thousand, nine hundred and ninety-nine",
+           "1000000000000000000000002": "one septillion and two", "000": "zero", "5" + "0" * 33: "five decillion",
+           "1" + "0" * 303: "one centillion",
+           "0": "zero", "7": "seven", "007": "seven", "21": "twenty-one", "100": "one hundred",
            "101": "one hundred and one", "555": "five hundred and fifty-five",
            "1000": "one thousand", "1001": "one thousand and one", "1100": "one thousand, one hundred",
            "1234": "one thousand, two hundred and thirty-four", "1000000": "one million",
@@ -267,7 +272,7 @@ def test_exact_quantiles_bucket_path(spark):
            [("b", float(i) / 7) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    fast = R.exact_quantiles(df, ["g"], "v", probs, small_group_rows=10, buckets=16)
+    fast = R.exact_quantiles(df, ["g"], "v", probs, buckets=16)
     ref = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(f"q_{p}") for p in probs])
     a = {r["g"]: [r[f"q_{p}"] for p in probs] for r in fast.collect()}
     b = {r["g"]: [r[f"q_{p}"] for p in probs] for r in ref.collect()}
@@ -310,3 +315,21 @@ def test_line_phonetics(spark):
     lines = spark.createDataFrame([(1, "Red, sky! blue")], "id long, line string")
     r = line_phonetics(lines, ["id"], "line", pron).first()
     assert list(r["phonemes"]) == ["REH1", "D", "SKAY1"]
+
+
+def test_letters_beyond_the_basic_blocks(spark):
+    from strophekit.operators.encode import tokens
+    texts = ["caf\u00e9 noir", "cafe\u0301 noir", "đường đi về", "мир и война", "日本語 の 歌"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["w"] for r in df.select("i", tokens(F.col("t")).alias("w")).collect()}
+    assert got == {0: ["cafe", "noir"], 1: ["cafe", "noir"], 2: ["duong", "di", "ve"], 3: ["мир", "и", "война"], 4: ["日本語", "の", "歌"]}
+
+
+def test_model_outputs_skip_nothing_by_default(spark, tmp_path):
+    from strophekit.sources.io import read_model_outputs
+    path = f"{tmp_path}/explorations/a_lora.json"
+    spark.createDataFrame([(1, "x")], "id long, model_response string").write.json(path)
+    read = lambda **k: read_model_outputs(spark, {"a": path}, schema="id long, model_response string", multiline=False, **k)
+    assert read().count() == 1 and read(skip="explorations").count() == 1
+    with pytest.raises(ValueError):
+        read(skip="lora")
