@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophekit.functions.text import ngram_key
-from strophekit.session import bounded_broadcast
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -33,8 +32,6 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------
 
-MAX_BROADCAST_GRAMS = 20_000_000
-MAX_BROADCAST_TERMS = 1_000_000
 
 
 # --- C6 -------------------------------------------------------------------------
@@ -146,7 +143,6 @@ def ngram_overlap(texts: DataFrame, keys: Sequence[str], text_col: str, corpus:
     theirs = doc_ngrams(corpus.select(F.monotonically_increasing_id().alias("_cid"), corpus_text_col),
                         ["_cid"], gram_tokens(ngram_key(F.col(corpus_text_col), keep_brackets=True)),
                         ns, common).select("n", "gram").distinct().withColumn("_hit", F.lit(1))
-    theirs = bounded_broadcast(theirs, MAX_BROADCAST_GRAMS)
     # Left join + sum: the NULL sentinel gram keeps texts without any shared
     # gram (count 0) without a second scan or a grid join.
     j = mine.join(theirs, on=["n", "gram"], how="left")
@@ -179,7 +175,6 @@ def term_counts(texts: DataFrame, keys: Sequence[str], group: str, text_col: str
     t = t.select("term", F.split(F.expr("substring(term, 2, length(term) - 2)"), " ", -1).alias("_w"))
     t = t.select("term", F.size("_w").alias("k"), F.array_join("_w", " ").alias("gram")).distinct()
     sizes = [r["k"] for r in t.select("k").distinct().collect()]  # a few small ints
-    t = bounded_broadcast(t, MAX_BROADCAST_TERMS)
     tok = texts.select(*keys, group, F.split(F.col(text_col), " ", -1).alias("_tok"))
     parts = []
     for k in sizes:

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from strophekit.functions.syllables import word_syllables as syllable_rule
 from strophekit.functions.text import prep_encoding
-from strophekit.session import bounded_broadcast
 
 WORD_RX = r"(?U)\b\w+\b"
-MAX_LEXICON_BROADCAST = 2_000_000
 
 
 def tokens(line: Column) -> Column:
@@ -37,8 +35,7 @@ def syllables_with_lexicon(words: DataFrame, word_col: str, lexicon: DataFrame |
     if lexicon is None:
         return words.withColumn("syllables", syllable_rule(F.col(word_col))) \
                     .withColumn("from_lexicon", F.lit(False))
-    lex = bounded_broadcast(lexicon.select(F.col("word").alias("_lw"), F.col("num_syllables").alias("_ls")),
-                            MAX_LEXICON_BROADCAST)
+    lex = lexicon.select(F.col("word").alias("_lw"), F.col("num_syllables").alias("_ls"))
     j = words.join(lex, words[word_col] == F.col("_lw"), "left")
     return j.select(*words.columns,
                     F.coalesce(F.col("_ls"), syllable_rule(F.col(word_col))).cast("int").alias("syllables"),
@@ -97,8 +94,7 @@ def line_phonetics(lines: DataFrame, keys: Sequence[str], line_col: str, lexicon
     clean = F.regexp_replace(F.translate(clean, ",.!", ""), r"^\s+|\s+$", "")
     tok = lines.select(*keys, F.posexplode_outer(F.split(clean, " ", -1)).alias("_p", "_w"))
     tok = tok.withColumn("word", F.lower("_w"))
-    pron = bounded_broadcast(pronunciation_table(lexicon).select("word", "phon_syllables"),
-                             MAX_LEXICON_BROADCAST)
+    pron = pronunciation_table(lexicon).select("word", "phon_syllables")
     j = tok.join(pron, on="word", how="left")
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.when(F.col("phon_syllables").isNotNull(), F.struct("_p", "phon_syllables")))).alias("_s"))
@@ -114,22 +110,19 @@ def _meter_token_table(lines: DataFrame, keys: list[str], pron: DataFrame | None
     from strophekit.operators.measures import stress_tokens
     t = lines.select(*keys, "si", "li", F.posexplode_outer(stress_tokens(F.col("line"))).alias("ti", "tok"))
     if stem is not None:
-        st = bounded_broadcast(stem.select(F.col("word").alias("tok"), F.col("value").alias("_stem")),
-                               MAX_LEXICON_BROADCAST)
+        st = stem.select(F.col("word").alias("tok"), F.col("value").alias("_stem"))
         t = t.join(st, on="tok", how="left")
         keep = F.col("tok").endswith("ing") | F.col("tok").endswith("ly")
         t = t.withColumn("w", F.when(keep, F.col("tok")).otherwise(F.coalesce("_stem", "tok")))
     else:
         t = t.withColumn("w", F.col("tok"))
     if pron is not None:
-        pt = bounded_broadcast(pronunciation_table(pron).select(F.col("word").alias("w"), "stress"),
-                               MAX_LEXICON_BROADCAST)
+        pt = pronunciation_table(pron).select(F.col("word").alias("w"), "stress")
         t = t.join(pt, on="w", how="left")
     else:
         t = t.withColumn("stress", F.lit(None).cast("string"))
     if syl is not None:
-        sl = bounded_broadcast(syl.select(F.col("word").alias("w"), F.col("num_syllables").alias("_n")),
-                               MAX_LEXICON_BROADCAST)
+        sl = syl.select(F.col("word").alias("w"), F.col("num_syllables").alias("_n"))
         t = t.join(sl, on="w", how="left")
     else:
         t = t.withColumn("_n", F.lit(None).cast("int"))
@@ -142,8 +135,7 @@ def _meter_token_table(lines: DataFrame, keys: list[str], pron: DataFrame | None
 def _syllable_token_table(lines: DataFrame, keys: list[str], syl: DataFrame | None) -> DataFrame:
     t = lines.select(*keys, "si", "li", F.posexplode_outer(tokens(F.col("line"))).alias("ti", "tok"))
     if syl is not None:
-        sl = bounded_broadcast(syl.select(F.col("word").alias("tok"), F.col("num_syllables").alias("_n")),
-                               MAX_LEXICON_BROADCAST)
+        sl = syl.select(F.col("word").alias("tok"), F.col("num_syllables").alias("_n"))
         t = t.join(sl, on="tok", how="left")
     else:
         t = t.withColumn("_n", F.lit(None).cast("int"))
@@ -156,7 +148,7 @@ def _phonetic_token_table(lines: DataFrame, keys: list[str], pron: DataFrame) ->
     clean = F.regexp_replace(F.col("line"), r"[^\w\s']", "")
     clean = F.regexp_replace(F.translate(clean, ",.!", ""), r"^\s+|\s+$", "")
     t = lines.select(*keys, "si", "li", F.posexplode_outer(F.split(clean, " ", -1)).alias("ti", "tok"))
-    pt = bounded_broadcast(pronunciation_table(pron).select("word", "phon_syllables"), MAX_LEXICON_BROADCAST)
+    pt = pronunciation_table(pron).select("word", "phon_syllables")
     t = t.withColumn("word", F.lower("tok")).join(pt, on="word", how="left")
     return t.select(*keys, "si", "li", F.lit("p").alias("kind"), "ti", F.lit(None).cast("string").alias("s_val"),
                     F.lit(None).cast("int").alias("i_val"), F.col("phon_syllables").alias("a_val"))
@@ -166,8 +158,7 @@ def _diversity_token_table(st: DataFrame, keys: list[str], lemma: DataFrame | No
     from strophekit.operators.measures import diversity_tokens
     t = st.select(*keys, "si", F.posexplode_outer(diversity_tokens(F.col("s.lines"))).alias("ti", "tok"))
     if lemma is not None:
-        lm = bounded_broadcast(lemma.select(F.col("word").alias("tok"), F.col("value").alias("_lem")),
-                               MAX_LEXICON_BROADCAST)
+        lm = lemma.select(F.col("word").alias("tok"), F.col("value").alias("_lem"))
         t = t.join(lm, on="tok", how="left").withColumn("tok", F.coalesce("_lem", "tok"))
     return t.select(*keys, "si", "ti", "tok")
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophekit.session import bounded_broadcast, cut_lineage
+from strophekit.session import cut_lineage
 
 
 # --- P: projection and predicates ---------------------------------------------
@@ -25,12 +25,10 @@ def with_constant(df: DataFrame, name: str, value) -> DataFrame:
     return df.withColumn(name, F.lit(value))
 
 
-def apply_corrections(df: DataFrame, fixes: DataFrame, key: str, col: str,
-                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def apply_corrections(df: DataFrame, fixes: DataFrame, key: str, col: str) -> DataFrame:
     """Replace ``col`` where a corrections table ``(key, col)`` has an
     entry.  One correction per key (first by value) keeps rows whole."""
     fx = fixes.groupBy(key).agg(F.min(col).alias("_fix"))
-    fx = bounded_broadcast(fx, max_broadcast_rows)
     out = df.join(fx, on=key, how="left")
     return out.withColumn(col, F.coalesce(F.col("_fix"), F.col(col))).drop("_fix")
 

@@ -183,7 +183,7 @@ per_doc AS (SELECT mt.doc_id, mt.source, ns.n, coalesce(shared.c, 0)::BIGINT AS
 
 
 def _overlap(spark, sf):
-    d = table(spark, sf, "documents", spread=True).select("doc_id", "source", "text").repartition("doc_id")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "source", "text")
     b = table(spark, sf, "benchmark")
     return C.ngram_overlap(d, ["doc_id", "source"], "text", b, "text", NGRAM_NS)
 

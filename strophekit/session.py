@@ -1,5 +1,6 @@
-"""Session helpers: a tuned local session for tests/bench, the shared
-checkpoint folder, and a size-checked broadcast."""
+"""Session helpers: a tuned local session for tests/bench, and the shared
+checkpoint folder.  Which side of a join is broadcast is left to the planner, which
+goes by bytes."""
 
 from __future__ import annotations
 
@@ -8,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "strophekit", cores: int | None = None,
@@ -70,17 +70,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check is one small job (``limit(max_rows + 1).count()``) that returns
-    a number, never rows.  Beyond the bound the frame is returned as is and
-    the planner uses a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
     """Input-parallelism guard for text-heavy stages.
 

@@ -54,11 +54,16 @@ def test_term_counts_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
-def test_bounded_broadcast_respects_bound(spark):
-    from strophekit.session import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "ResolvedHint" in small.transform(lambda d: bounded_broadcast(d, 100))._jdf.queryExecution() \
-        .analyzed().toString() or "broadcast" in str(bounded_broadcast(small, 100)._jdf.queryExecution().logical())
-    # beyond the bound the frame is returned unchanged (no broadcast hint)
-    assert bounded_broadcast(big, 100) is big
+def test_ngram_overlap_ships_no_text(spark):
+    """Grams are formed in the scan's own tasks; nothing is hinted to be broadcast."""
+    from strophekit.operators import corpus as C
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    b = spark.read.parquet(f"{SF}/benchmark.parquet")
+    df = C.ngram_overlap(d, ["doc_id", "source"], "text", b, "text")
+    assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    lines = text.split("\n")
+    docs = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "doc_id" in line)
+    above = lines[:docs]
+    generate = max(i for i, line in enumerate(above) if "Generate" in line)
+    assert not any("Exchange hashpartitioning" in line for line in above[generate:])
