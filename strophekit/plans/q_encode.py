@@ -187,12 +187,90 @@ def q_lexicon_syllables(spark, sf):
     return out.select("word", "syllables", "from_lexicon")
 
 
-@register("meter_lexicon_by_song", ORACLES_METER.replace("'meter' AS measure", "'meter_lexicon' AS measure"))
-def q_meter_lexicon(spark, sf_dir):
-    """M6 through the lexicon-join path (tokens exploded, lexica joined,
-    regrouped by song); with no lexicon given it must equal the rule path."""
-    from strophekit.operators.encode import with_lexicon_encodings
-    enc = with_lexicon_encodings(conversation_songs(spark, sf_dir), ["id"])
-    s = M.score_song_arrays(enc, ["id"], ["meter_lexicon"])
+# --- lexica derived from the benchmark words, by rules both engines state -----
+# Hits and misses: words whose length divides by 3 are in no pronunciation lexicon,
+# those whose length is even in no syllable lexicon.
+_VOWEL_DIGITS = ("aeiouy", "110200")
+
+
+def _lexicon_words(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.lower("text").alias("text"))
+    return EN.distinct_words(b, "text").filter(F.col("word").rlike("^[a-z]+$"))
+
+
+def derived_lexica(spark, sf) -> dict:
+    """``pron``: each vowel a vowel phoneme with a digit, each other letter a
+    consonant; ``syl``: twice the letters; ``stem``: words in 'e' without it; ``lemma``:
+    the first three letters of longer words."""
+    words = _lexicon_words(spark, sf)
+    phoneme = lambda c: F.concat(F.upper(c), F.when(c.rlike("[aeiouy]"), F.translate(c, *_VOWEL_DIGITS)).otherwise(F.lit("")))
+    letters = F.regexp_extract_all("word", F.lit("[a-z]"), 0)
+    return {
+        "pron": words.filter(F.length("word") % 3 != 0).select("word", F.transform(letters, phoneme).alias("phonemes")),
+        "syl": words.filter(F.length("word") % 2 == 1).select("word", (2 * F.length("word")).alias("num_syllables")),
+        "stem": words.filter(F.col("word").endswith("e") & (F.length("word") > 3)).select("word", F.expr("left(word, length(word) - 1)").alias("value")),
+        "lemma": words.filter(F.length("word") > 4).select("word", F.expr("left(word, 3)").alias("value")),
+    }
+
+
+_LEXICA_SQL = f"""
+lexw AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all({SQL_PREP.format(x='lower(text)')}, '\\b\\w+\\b')) AS word FROM benchmark)
+         WHERE regexp_full_match(word, '[a-z]+')),
+pron AS (SELECT map(list(word ORDER BY word), list(translate(regexp_replace(word, '[^aeiouy]', '', 'g'), '{_VOWEL_DIGITS[0]}', '{_VOWEL_DIGITS[1]}') ORDER BY word)) AS pm,
+                map(list(word ORDER BY word), list(array_to_string(regexp_extract_all(word, '[^aeiouy]*[aeiouy]|[^aeiouy]+$'), '|') ORDER BY word)) AS hm
+         FROM lexw WHERE length(word) % 3 <> 0),
+syl AS (SELECT map(list(word ORDER BY word), list(2 * length(word) ORDER BY word)) AS sm FROM lexw WHERE length(word) % 2 = 1),
+stem AS (SELECT map(list(word ORDER BY word), list(word[:-2] ORDER BY word)) AS tm FROM lexw WHERE word LIKE '%e' AND length(word) > 3)
+"""
+
+
+def _scored_with_lexica(spark, sf_dir, measure):
+    enc = EN.with_lexicon_encodings(conversation_songs(spark, sf_dir), ["id"], **derived_lexica(spark, sf_dir))
+    s = M.score_song_arrays(enc, ["id"], [measure])
     return s.select("id", "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
+
+
+def _song_sql(measure: str, ctes: str) -> str:
+    """``ctes`` end with ``pscore (id, pos1, pos2, s)``."""
+    return f"""
+WITH {SQL_STANZAS}, {_LEXICA_SQL}, {ctes},
+agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
+SELECT songs.id, '{measure}' AS measure, round(coalesce(agg.score, 0.0), 6) AS score,
+       coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
+       round(100 * exp(-coalesce(agg.score, 0.0)), 6) AS score_100
+FROM songs LEFT JOIN agg ON songs.id = agg.id
+"""
+
+
+_METER_WORDS = (f"CASE WHEN translate({SQL_PREP.format(x='ln')}, '{_PUNCT_SQL}', '') = '' THEN []::VARCHAR[] "
+                f"ELSE string_split_regex(translate({SQL_PREP.format(x='ln')}, '{_PUNCT_SQL}', ''), '[\\s-]+') END")
+_STEMMED = "CASE WHEN w LIKE '%ing' OR w LIKE '%ly' THEN w ELSE coalesce(tm[w], w) END"
+_METER_LINE = (f"array_to_string(list_transform(list_transform({_METER_WORDS}, lambda w: {_STEMMED}), "
+               f"lambda w: coalesce(pm[w], repeat('0', greatest(coalesce(sm[w], {sql_syllable('w')}), 0)))), '')")
+
+
+@register("meter_lexicon_by_song", _song_sql("meter_lexicon", f"""
+ps AS (SELECT id, pos1, pos2, array_to_string(list_transform(l1, lambda ln: {_METER_LINE}), '') AS s1,
+              array_to_string(list_transform(l2, lambda ln: {_METER_LINE}), '') AS s2 FROM pairs, pron, syl, stem),
+pscore AS (SELECT id, pos1, pos2, levenshtein(s1, s2)::DOUBLE / least(length(s1), length(s2)) AS s FROM ps)"""))
+def q_meter_lexicon(spark, sf_dir):
+    """M6 over lexica: stems, pronunciations, syllable counts, then the rule."""
+    return _scored_with_lexica(spark, sf_dir, "meter_lexicon")
+
+
+_PHON_LINE = ("array_to_string(list_filter(list_transform(string_split(trim(translate(regexp_replace(ln, '[^\\w\\s'']', '', 'g'), ',.!', '')), ' '), "
+              "lambda w: hm[lower(w)]), lambda x: x IS NOT NULL), '|')")
+# Lines of a pair become letters (33 on), so that the string distance is the distance of line sequences.
+_PHON_CODE = "array_to_string(list_transform({x}, lambda v: chr(32 + list_position(u, v)::INT)), '')"
+
+
+@register("phonetics_by_song", _song_sql("phonetics", f"""
+ph AS (SELECT id, pos1, pos2, list_transform(l1, lambda ln: {_PHON_LINE}) AS p1,
+              list_transform(l2, lambda ln: {_PHON_LINE}) AS p2 FROM pairs, pron),
+pu AS (SELECT *, list_sort(list_distinct(list_concat(p1, p2))) AS u FROM ph),
+pscore AS (SELECT id, pos1, pos2, levenshtein({_PHON_CODE.format(x='p1')}, {_PHON_CODE.format(x='p2')})::DOUBLE
+                  / least(len(p1), len(p2)) AS s FROM pu)"""))
+def q_phonetics(spark, sf_dir):
+    """Edit distance of the lines' phoneme syllables."""
+    return _scored_with_lexica(spark, sf_dir, "phonetics")

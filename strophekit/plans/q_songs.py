@@ -151,7 +151,8 @@ def rebuilt_songs(spark, sf_dir):
     joined by blank lines.  The group is one conversation."""
     conv = table(spark, sf_dir, "conversations", spread=True)
     hdr = F.create_map(*[x for k, v in ROLE_HEADERS.items() for x in (F.lit(k), F.lit(v))])
-    piece = F.concat(hdr[F.col("role")], F.lit("\n"), F.col("text"))
+    header = F.coalesce(hdr[F.col("role")], F.concat(F.lit("["), F.coalesce("role", F.lit("none")), F.lit("]")))
+    piece = F.concat(header, F.lit("\n"), F.coalesce("text", F.lit("")))
     g = conv.groupBy(F.col("conv_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("_p"))
     return g.select("id", F.array_join(F.transform("_p", lambda s: s["p"]), "\n\n").alias("text"))
@@ -177,20 +178,6 @@ def q_parsed_stanzas(spark, sf_dir):
 
 
 # --- meter / syllable / phonetics / diversity on conversation stanzas --------
-@register("phonetics_by_song", f"""
-WITH {SQL_STANZAS},
-pscore AS (SELECT id, pos1, pos2, abs(len(l1) - len(l2))::DOUBLE / least(len(l1), len(l2)) AS s FROM pairs),
-agg AS (SELECT id, {SONG_MEAN} FROM pscore GROUP BY id)
-SELECT songs.id, 'phonetics' AS measure,
-       round(coalesce(agg.score, 0.0), 6) AS score,
-       coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
-       round(100 * exp(-coalesce(agg.score, 0.0)), 6) AS score_100
-FROM songs LEFT JOIN agg ON songs.id = agg.id
-""")
-def q_phonetics(spark, sf_dir):
-    return _scored(spark, sf_dir, "phonetics")
-
-
 @register("syllable_by_song")
 def q_syllable(spark, sf_dir):
     return _scored(spark, sf_dir, "syllable")
@@ -243,6 +230,49 @@ def q_scored_songs(spark, sf_dir):
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
 
 
+def _songs_to_reject(spark, sf_dir):
+    """Every third song comes twice, every fifth has eleven labels more, every
+    seventh has no text on the second side."""
+    songs = rebuilt_songs(spark, sf_dir)
+    many = "[Intro]\nla la\n\n" + "\n\n".join(f"[label{chr(97 + i)}]\nla la" for i in range(11))
+    text = F.when(F.col("id") % 5 == 0, F.concat(F.lit(many + "\n\n"), "text")).otherwise(F.col("text"))
+    songs = songs.select("id", F.lit(1).alias("seen"), text.alias("text"), F.when(F.col("id") % 7 != 0, F.col("text")).alias("other"))
+    return songs.unionByName(songs.filter("id % 3 = 0").withColumn("seen", F.lit(2)))
+
+
+@register("scored_songs_rejects", """
+WITH s AS (SELECT DISTINCT conv_id AS id FROM conversations)
+SELECT id, 'missing:other' AS reason FROM s WHERE id % 7 = 0
+UNION ALL SELECT id, 'missing:other' FROM s WHERE id % 7 = 0 AND id % 3 = 0
+UNION ALL SELECT id, 'duplicate' FROM s WHERE id % 3 = 0 AND id % 7 <> 0
+UNION ALL SELECT id, 'labels:pred' FROM s WHERE id % 5 = 0 AND id % 7 <> 0
+""")
+def q_scored_songs_rejects(spark, sf_dir):
+    """X1's input rules: the reject table."""
+    from strophekit.plans.scoring import score_checked_songs
+    return score_checked_songs(_songs_to_reject(spark, sf_dir), KEYS, {"pred": "text", "target": "other"}, ["string_similarity"],
+                               ["seen"], ["text", "other"])[1]
+
+
+def _checked_sql() -> str:
+    parts = []
+    for side, rule in (("pred", "id % 7 <> 0 AND id % 5 <> 0"), ("target", "id % 7 <> 0")):
+        for m, ctx in (("string_similarity", 0), ("head_similarity", 2), ("tail_similarity", -2)):
+            parts.append(f"SELECT id, '{side}' AS side, measure, score, n_pairs FROM ({similarity_sql(m, ctx)}) WHERE {rule}")
+        parts.append(f"SELECT id, '{side}' AS side, measure, score, n_pairs FROM ({ORACLES['diversity_avg_ttr_by_song']}) WHERE {rule}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("scored_songs_checked", _checked_sql())
+def q_scored_songs_checked(spark, sf_dir):
+    """X1 with its input rules, both sides: every accepted side scored once."""
+    from strophekit.plans.scoring import score_checked_songs
+    names = ["string_similarity", "head_similarity", "tail_similarity", "diversity_avg_ttr"]
+    s = score_checked_songs(_songs_to_reject(spark, sf_dir), KEYS, {"pred": "text", "target": "other"}, names,
+                            ["seen"], ["text", "other"])[0]
+    return s.select("id", "side", "measure", r6(F.col("score")).alias("score"), "n_pairs")
+
+
 @register("diversity_avg_mtld_by_song")
 def q_diversity_avg_mtld(spark, sf_dir):
     return _scored(spark, sf_dir, "diversity_avg_mtld")

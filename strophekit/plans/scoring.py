@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophekit.operators import measures as M
-from strophekit.operators.structure import parse_song_arrays
+from strophekit.operators.structure import matching_from_array, parse_song_arrays
 
 REFUSAL_SENTENCES = ("I apologize, but I cannot fulfill your request",)  # fixed value
 
@@ -49,10 +49,33 @@ def score_songs(songs: DataFrame, keys: Sequence[str], sides: dict[str, str],
     names = M.resolve_measures(measure_names)  # fail before any job
     if refusal_col:
         songs = refuse_filter(songs, refusal_col)
+    skeys = keys + ["side"]
+    arrays = parse_song_arrays(_sides(songs, keys, sides), "text", skeys)
+    return M.score_song_arrays(arrays, skeys, names, "stanzas", empty)
+
+
+def _sides(songs: DataFrame, keys: Sequence[str], sides: dict[str, str]) -> DataFrame:
+    """One row per song and side that has a text."""
     stack = F.inline_outer(F.array(*[
         F.struct(F.lit(s).alias("side"), F.col(c).cast("string").alias("text"))
         for s, c in sides.items()]))
-    long = songs.select(*keys, stack).filter(F.col("text").isNotNull())
+    return songs.select(*keys, stack).filter(F.col("text").isNotNull())
+
+
+def score_checked_songs(songs: DataFrame, keys: Sequence[str], sides: dict[str, str], measure_names: Sequence[str],
+                        order: Sequence[str], required: Sequence[str] = (), refusal_col: str | None = None,
+                        empty: str = "zero") -> tuple[DataFrame, DataFrame]:
+    """X1 with its input rules: ``(scores, rejects)``.  Rows with a missing required
+    field or a refusal, further rows of an id (the first by ``order`` counts), and sides
+    with too many labels (T9) go to ``rejects`` as ``(keys, reason)``; all others are
+    scored as by ``score_songs``."""
+    from strophekit.plans.prep import check_songs
+    keys = list(keys)
+    names = M.resolve_measures(measure_names)
+    good, rejects = check_songs(songs, keys, required, order, refusal_col)
     skeys = keys + ["side"]
-    arrays = parse_song_arrays(long, "text", skeys)
-    return M.score_song_arrays(arrays, skeys, names, "stanzas", empty)
+    arrays = parse_song_arrays(_sides(good, keys, sides), "text", skeys)
+    arrays = arrays.withColumn("_error", matching_from_array(F.col("stanzas"))[1])
+    labels = arrays.filter(F.col("_error").isNotNull()).select(*keys, F.concat_ws(":", "_error", "side").alias("reason"))
+    scores = M.score_song_arrays(arrays.filter(F.col("_error").isNull()).drop("_error"), skeys, names, "stanzas", empty)
+    return scores, rejects.unionByName(labels)

