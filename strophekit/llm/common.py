@@ -27,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python a few at a time, so that a worker's
+    memory does not depend on Spark's default of 10,000 rows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def task_cache() -> dict:
     """A dictionary that lives as long as the Python worker process, for
     automata and memo tables that are costly to build."""

@@ -27,12 +27,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from strophekit.llm.common import POSITION_FACTOR, mix64, written
+from strophekit.llm.common import POSITION_FACTOR, mix64, small_batches, written
 from strophekit.llm.tokens import encode_texts
 
 WINDOW = 1024
-SHARD_DOCS = 4096
+SHARD_DOCS = 2048
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -135,6 +137,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
          shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces of all documents, ``PIECES``."""
     from tokenizers import Tokenizer
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vocab = Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True)
     leads = np.zeros(max(*vocab.values(), end_id) + 1, bool)
@@ -143,17 +146,20 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
         shared = sc.broadcast((f.read(), leads))  # one vocabulary file
     shards = max(1, -(-docs.count() // shard_docs))
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in ENCODED.split(", ")]
+    kinds = to_arrow_schema(_parse_datatype_string(ENCODED))
+
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
         base, row_no, sequence = TaskContext.get().partitionId() << 33, 0, 0
         end = np.array([end_id], "<u4")
-        columns = [c.split()[0] for c in ENCODED.split(", ")]
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                some = frame.iloc[at:at + 512]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
                 rows = []
-                for doc_id, ids in zip(some["doc_id"], encode_texts(shared.value[0], some["text"].tolist())):
-                    ids, doc_id = np.concatenate((ids, end)), None if pd.isna(doc_id) else int(doc_id)
+                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts)):
+                    ids = np.concatenate((ids, end))
                     full = len(ids) // window * window
                     for start in range(0, full, window):
                         crc = zlib.crc32(ids[start:start + window].tobytes())
@@ -165,9 +171,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
                         data, wide = ids_bytes(ids[full:])
                         rows.append((doc_id, full, len(ids) - full, 0, len(ids), 0, 0, shard, own, data, wide))
                     row_no += 1
-                out = pd.DataFrame(rows, columns=columns)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], columns)
 
     def pack_group(key, frame):
         frame = frame.sort_values("row_no")
@@ -181,7 +185,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
         return out
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    encoded = written(texts.mapInPandas(encode, ENCODED), "encoded")
+    encoded = written(texts.mapInArrow(encode, ENCODED), "encoded")
     names = [c.split()[0] for c in PIECES.split(", ")]
     alone = encoded.filter("shard < 0").select(names)
     return alone.unionByName(encoded.filter("shard >= 0").groupBy("shard").applyInPandas(pack_group, PIECES))

@@ -8,90 +8,130 @@ this only avoids asking it the same question again.
 
 from __future__ import annotations
 
-from itertools import accumulate, compress
+from array import array
 
 import numpy as np
 
 from strophekit.llm.common import task_cache
 
-MEMO_CHUNKS = 300_000  # per generation and worker; two generations are kept
+MEMO_CHUNKS = 250_000  # per generation and worker; two generations are kept
+TEXT_BYTES = 8 << 20  # of texts and their ids kept per worker
 # White space besides the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
-
-
-class Memo:
-    """Ids of chunks already encoded.  Two bounded generations: what is used
-    moves to the young one, and when that is full the old one is dropped."""
-
-    def __init__(self, tok):
-        self.tok, self.young, self.old = tok, {}, {}
-        vocab = tok.get_vocab(with_added_tokens=True)
-        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space or line feed
-        self.leads[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        """A chunk that starts with a line feed or NUL (the mark of a text's
-        first chunk) stands at a line's or text's start, any other one after
-        a space."""
-        if len(self.young) > MEMO_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        got = list(map(young.get, chunks))
-        need = set(compress(chunks, [g is None for g in got]))
-        if not need:
-            return got
-        for chunk in need & old.keys():
-            young[chunk] = old[chunk]
-        fresh = list(need - old.keys())
-        young.update((c, self._encode(c[1:]).tobytes()) for c in fresh if c[:1] == "\0")
-        rest = [c for c in fresh if c[:1] != "\0"]
-        if rest:  # in one call; each chunk's first token is known by its first byte
-            all_ids = self._encode("".join([c if c[:1] == "\n" else " " + c for c in rest]))
-            cuts = np.flatnonzero(self.leads[all_ids])
-            data, ends = all_ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(all_ids)]
-            if len(cuts) != len(rest):
-                raise RuntimeError("chunk starts and encoded chunks differ")
-            young.update(zip(rest, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends))))
-        return list(map(young.__getitem__, chunks))
-
-
-def load_tokenizer(spec: str):
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
+TAIL = ".,;:!?)]}\"'*%$&#|-"
+
+
+def byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: itself if
+    it is a printable Latin-1 character, else the next from U+0100 on."""
+    out, spare = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+class Memo(dict):
+    """Ids of chunks, as bytes; a chunk not held is encoded.  Two bounded
+    generations: what is used moves to the young one, and when that is full the old one
+    is dropped.
+
+    A chunk that starts with a line feed or NUL (the mark of a text's first chunk) stands at a
+    line's or text's start, any other one after a space.  A word of letters is one
+    pre-token, and punctuation behind it is another, so such words go to the library's
+    model directly and are shared by all chunks that hold them; other chunks go
+    through the whole library."""
+
+    def __init__(self, tok, size: int):
+        super().__init__()
+        self.tok, self.tokenize, self.size, self.old = tok, tok.model.tokenize, size, {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.line_feed = self.encode("\n")
+        self.texts: dict[str, bytes] = {}
+        self.held = 0
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text; copies that come soon after it are not encoded again."""
+        ids = self.texts.get(text)
+        if ids is None:
+            if crowded(text):
+                ids = self.encode(text)
+            else:
+                self.renew()
+                ids = b"".join(map(self.__getitem__, ("\0" + text).replace("\n", " \n").split(" "))) if text else b""
+            if self.held > TEXT_BYTES:
+                self.texts, self.held = {}, 0
+            self.texts[text] = ids
+            self.held += len(text) + len(ids)
+        return ids
+
+    def renew(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def word(self, mark: str, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(mark + spelt)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha():
+                ids = self.word("\u0120", chunk)
+            else:
+                ids = self.parts(chunk)
+        self[chunk] = ids
+        return ids
+
+    def parts(self, chunk: str) -> bytes:
+        first = chunk[0]
+        if first > "\n":
+            word = chunk.rstrip(TAIL)
+            if word.isalpha():
+                return self[word] + self["\1" + chunk[len(word):]]
+            return self.encode(" " + chunk)
+        body = chunk[1:]
+        if first == "\1":  # a tail
+            return self.encode(body)
+        if first == "\n":
+            return self.line_feed + self["\0" + body]
+        word = body.rstrip(TAIL)
+        if word.isalpha():
+            ids = self.word("", word)
+            return ids + self["\1" + body[len(word):]] if len(word) < len(body) else ids
+        return self.encode(body)
+
+
+def load_tokenizer(spec: str, memo_chunks: int = MEMO_CHUNKS):
     """The tokenizer of a JSON ``spec`` and its memo, once per worker process.
     Control strings inside a text are ordinary text, never control ids."""
     cache = task_cache()
-    key = ("tokenizer", hash(spec))
+    key = ("tokenizer", hash(spec), memo_chunks)
     if key not in cache:
         from tokenizers import Tokenizer
         tok = Tokenizer.from_str(spec)
         tok.encode_special_tokens = True
-        cache[key] = (tok, Memo(tok))
+        cache[key] = (tok, Memo(tok, memo_chunks))
     return cache[key]
 
 
 def crowded(text: str) -> bool:
-    """Whether white space stands beside white space or at an end, or white
-    space occurs that is neither a space nor a line feed."""
-    return (text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text
-            or "\n\n" in text or "\0" in text or any(c in text for c in OTHER_SPACE))
+    """Whether white space stands beside white space or at an end, or control
+    marks or white space occur besides the space and the line feed."""
+    return (text[:1].isspace() or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+            or "\0" in text or "\1" in text or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)))
 
 
-def encode_texts(spec: str, texts: list[str]) -> list[np.ndarray]:
+def encode_texts(spec: str, texts: list[str], memo_chunks: int = MEMO_CHUNKS) -> list[np.ndarray]:
     """Ids of each text as ``uint32`` arrays, equal to encoding whole texts."""
-    tok, memo = load_tokenizer(spec)
-    chunks, counts, whole = [], [], []
-    for text in texts:
-        if crowded(text):
-            whole.append(text)
-            counts.append(-1)
-            continue
-        own = ("\0" + text).replace("\n", " \n").split(" ") if text else []
-        chunks += own
-        counts.append(len(own))
-    parts = memo.ids(chunks)
-    rest = iter(tok.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-    ends = accumulate(max(c, 0) for c in counts)
-    return [np.array(next(rest).ids, "<u4") if c < 0 else np.frombuffer(b"".join(parts[end - c:end]), "<u4")
-            for c, end in zip(counts, ends)]
+    memo = load_tokenizer(spec, memo_chunks)[1]
+    return [np.frombuffer(memo.whole(text), "<u4") for text in texts]

@@ -9,7 +9,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars int, score
 
 def odd_documents():
     """Nulls in every column, empty and white texts, ties, repeats, a very long text."""
-    long = " ".join(f"word{i % 977} and, then" for i in range(60_000))
+    long = " ".join(f"word{i % 977} and, then" for i in range(20_000))
     texts = [(1, "One two three four five six."), (2, None), (3, ""), (4, "  \t\n "), (5, "One two three four five six."),
              (5, "One two three four five six."), (None, "A text without an id"), (None, None), (6, long), (7, "x"),
              (8, "tabs\tand\r\nlines  and   gaps "), (9, "日本語 ünïcode 😀 <|endoftext|> \u0000 ́"), (10, "a" * 5000)]
