@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import task_cache
+from strophekit.llm.common import small_batches, task_cache
 
 ERROR_PERCENT = 8
 BLOCK_ITEMS = 2_000
@@ -145,6 +145,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", per
                block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``docs`` with one more column: the test items that each text holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
         "item_id is not null and text is not null and length(text) > 0")
     blocks = max(1, -(-items.count() // block_items))

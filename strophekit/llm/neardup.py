@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import mix64, shingle_hashes, word_hashes, written
+from strophekit.llm.common import mix64, shingle_hashes, small_batches, word_hashes, written
 from strophekit.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -231,6 +231,7 @@ def _grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = LINK_PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    small_batches(docs.sparkSession)
     feats = written(features(docs, size), "features")
     classes = written(feats.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")

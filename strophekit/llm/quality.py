@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import IS_SPACE, crc_fold, mix64, run_hashes, space_blocks
+from strophekit.llm.common import IS_SPACE, crc_fold, mix64, run_hashes, small_batches, space_blocks
 
 BITS = 20
 TRAIN_DOCS = 16_000
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
 
 def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
     """A column function: the score of a text."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^20 weights at most
 
     def score(texts: pd.Series) -> pd.Series:

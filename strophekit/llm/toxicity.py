@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import crc_fold, mix64, run_hashes, space_blocks, written
+from strophekit.llm.common import crc_fold, mix64, run_hashes, small_batches, space_blocks, written
 
 FOLDS, HELD_OUT, TOXIC = 5, 0, 0.5
 LEXICON_FOLDS = (1, 2)
@@ -55,7 +55,7 @@ you your yours yourself thou thee du dich dir dein deine ihr euch euer sie tu te
 tú ti tuyo usted ustedes vosotros
 """.split()
 # Characters written in place of letters.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 FEATURES = ("insults", "insults_near_you", "learned", "learned_weight", "learned_top", "learned_near_you", "hidden",
             "you", "capitals", "capital_words", "exclamations", "punctuation", "symbols", "mixed", "repeats", "digits",
@@ -152,10 +152,10 @@ class Extractor:
                 weight = np.maximum(weight, np.where(hit, self.weight[at], 0))
             # spellings: words with look-alikes inside, undone
             data = lower.tobytes()
-            spaced = np.flatnonzero(~((_SYMBOL | _DIGIT)[lower] | _LETTER[lower] | (lower == 33)))
+            spaced = np.flatnonzero(~(_SYMBOL | _LETTER)[lower])
             cut = np.concatenate(([-1], spaced, [len(lower)]))
             s, e = cut[:-1] + 1, cut[1:]
-            odd = np.add.reduceat(np.concatenate((((_SYMBOL | _DIGIT)[lower] | (lower == 33)).astype(np.int64), [0])), s) if len(lower) else np.zeros(len(s))
+            odd = np.add.reduceat(np.concatenate(((_SYMBOL | _DIGIT)[lower].astype(np.int64), [0])), s) if len(lower) else np.zeros(len(s))
             letters = np.add.reduceat(np.concatenate(((_LETTER & ~_DIGIT)[lower].astype(np.int64), [0])), s) if len(lower) else np.zeros(len(s))
             some = (e > s) & (odd > 0) & (letters > 1)
             if some.any():
@@ -195,6 +195,7 @@ def _sample(docs: DataFrame, labels: DataFrame, folds, bound: int, salt: str) ->
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes and weights (log odds) that mark toxic documents."""
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels, LEXICON_FOLDS, LEXICON_DOCS, "lexicon")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,6 +226,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
 
 
 def _features(spark, lexicon):
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # LEXICON_TERMS entries at most
 
     def run(texts: pd.Series) -> pd.Series:

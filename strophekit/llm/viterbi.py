@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import task_cache
+from strophekit.llm.common import small_batches, task_cache
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -122,6 +122,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool = True) -> DataFrame:
     """``doc_id, n_tokens`` for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
