@@ -29,6 +29,8 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 # One random constant per permutation: the order of hashes after exclusive or.
 PERMUTATIONS = (0x1B873593CC9E2D51, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x4F1BBCDCBFA53E0A, 0x7C0FFEE123456789, 0x3C6EF372FE94F82B)
 
+FOUND = "array<struct<name: string, containment: double>>"
+
 # Notices by name.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -52,42 +54,45 @@ TEMPLATES = {
 }
 
 
-def with_word_hashes(rows: DataFrame, text: str) -> DataFrame:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
-    return rows.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.  A bound variable stays one
+    when a filter is pushed below a projection; a column would be copied into
+    every place that reads it, and so into lambdas that run once per word."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _runs(size: int) -> Column:
-    """Hashes of the runs of ``size`` words; ``_hashes`` is read several times, so that
-    it stays a column of its own."""
-    n = F.size("_hashes")
-    return F.transform(F.slice("_hashes", F.lit(1), F.greatest(n - (size - 1), F.lit(0))),
-                       lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, size)]))
+def word_hashes(text: Column) -> Column:
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _window_minima(permutation: int, stride: int) -> Column:
-    """The least pair hash of each window under one permutation."""
-    column = f"_p{permutation}"
-    # Read twice, so that it stays a column of its own and is not put into the lambda.
-    starts = F.when(F.size(column) > 0, F.sequence(F.lit(1), F.size(column), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_min(F.slice(column, s, WINDOW - 1)))
+def runs(hashes: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words."""
+    return F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (size - 1), F.lit(0))),
+                       lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, size)]))
 
 
-def _with_permuted(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("_pairs", _runs(2))
-    def permuted(p: int) -> Column:
-        return F.transform("_pairs", lambda x: x.bitwiseXOR(F.lit(p)))
+def window_minima(pairs: Column, permutation: int, stride: int) -> Column:
+    """The least pair hash of each window under one permutation."""
+    def minima(permuted: Column) -> Column:
+        n = F.size(permuted)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_min(F.slice(permuted, s, WINDOW - 1)))
 
-    return rows.select("*", *[permuted(p).alias(f"_p{p}") for p in PERMUTATIONS])
+    return let(F.transform(pairs, lambda x: x.bitwiseXOR(F.lit(permutation))), minima)
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     """Per template its shingles, and its windows' minima under each permutation."""
     rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
-    rows = _with_permuted(with_word_hashes(rows, "text"))
-    rows = rows.select("name", F.array_distinct(_runs(SHINGLE)).alias("shingles"),
-                       *[F.array_distinct(F.slice(_window_minima(p, 1), F.lit(1), F.greatest(F.size("_pairs") - (WINDOW - 2), F.lit(1)))).alias(f"m{i}")
-                         for i, p in enumerate(PERMUTATIONS)])
+
+    def described(hashes: Column) -> Column:
+        pairs = runs(hashes, 2)
+        full = F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(1))  # windows that are not cut off at the end
+        minima = [F.array_distinct(F.slice(window_minima(pairs, p, 1), F.lit(1), full)).alias(f"m{i}") for i, p in enumerate(PERMUTATIONS)]
+        return F.struct(F.array_distinct(runs(hashes, SHINGLE)).alias("shingles"), *minima)
+
+    rows = rows.select("name", let(word_hashes(F.col("text")), described).alias("d")).select("name", "d.*")
     out = [r.asDict() for r in rows.collect()]
     for r in out:
         if not r["shingles"]:
@@ -99,29 +104,32 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     """``docs`` with ``column``: names and containments of the templates present,
     ascending by name."""
     known = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    rows = _with_permuted(with_word_hashes(docs, text))
+    wanted = [sorted({v for t in known for v in t[f"m{i}"]}) for i in range(len(PERMUTATIONS))]
 
-    def longs(values):
+    def longs(values) -> Column:
         return F.array(*[F.lit(v) for v in values])
 
-    def hits_of(i: int, p: int) -> Column:
-        of_templates = sorted({v for t in known for v in t[f"m{i}"]})
-        return F.filter(_window_minima(p, STRIDE), lambda m: m.isin(of_templates))
-
-    hits = [hits_of(i, p) for i, p in enumerate(PERMUTATIONS)]
-    rows = rows.select(*docs.columns, "_hashes", *[h.alias(f"_h{i}") for i, h in enumerate(hits)])
-    some = F.lit(False)
-    for i in range(len(PERMUTATIONS)):
-        some = some | (F.size(f"_h{i}") > 0)
-    shingles = F.when(some, F.array_distinct(_runs(SHINGLE)))
-    rows = rows.withColumn("_shingles", shingles)
-    matches = []
-    for t in known:
-        retrieved = F.lit(False)
-        for i in range(len(PERMUTATIONS)):
-            retrieved = retrieved | F.arrays_overlap(f"_h{i}", longs(t[f"m{i}"]))
-        share = F.size(F.array_intersect("_shingles", longs(t["shingles"]))) / F.lit(float(len(t["shingles"])))
-        matches.append(F.when(some & retrieved, F.struct(F.lit(t["name"]).alias("name"), share.alias("containment"))))
-    found = F.filter(F.array(*matches), lambda m: m.isNotNull() & (m["containment"] >= CONTAINMENT))
-    found = F.when(some, found).otherwise(F.array().cast("array<struct<name: string, containment: double>>"))
-    return rows.select(*docs.columns, found.alias(column))
+    def hits(pairs: Column) -> Column:
+        """Per permutation the window minima that some template has too."""
+        def one(i: int, p: int) -> Column:
+            return F.filter(window_minima(pairs, p, STRIDE), lambda m: m.isin(wanted[i]))
+        return F.array(*[one(i, p) for i, p in enumerate(PERMUTATIONS)])
+
+    def matches(hashes: Column) -> Column:
+        return let(let(runs(hashes, 2), hits), lambda found: F.when(
+            F.exists(found, lambda h: F.size(h) > 0), verified(hashes, found)).otherwise(F.array().cast(FOUND)))
+
+    def verified(hashes: Column, found: Column) -> Column:
+        def present(shingles: Column) -> Column:
+            cells = []
+            for t in known:
+                retrieved = F.lit(False)
+                for i in range(len(PERMUTATIONS)):
+                    retrieved = retrieved | F.arrays_overlap(F.get(found, F.lit(i)), longs(t[f"m{i}"]))
+                share = F.size(F.array_intersect(shingles, longs(t["shingles"]))) / F.lit(float(len(t["shingles"])))
+                cells.append(F.when(retrieved, F.struct(F.lit(t["name"]).alias("name"), share.alias("containment"))))
+            return F.filter(F.array(*cells), lambda m: m.isNotNull() & (m["containment"] >= CONTAINMENT))
+
+        return let(F.array_distinct(runs(hashes, SHINGLE)), present)
+
+    return docs.withColumn(column, let(word_hashes(F.col(f"`{text}`")), matches))

@@ -69,7 +69,7 @@ def test_every_template_at_every_offset(spark, name):
     template = licenses.TEMPLATES[name]
     rows = [(i, " ".join(f"pad{j}" for j in range(i)) + " \n" + template.upper() + ", and" * (i % 3), *[None] * 8) for i in range(9)]
     rows.append((99, "unrelated words only, licensed to nobody at all", *[None] * 8))
-    got = {r["doc_id"]: [m["name"] for m in r["licenses"]] for r in licenses.with_licenses(frame(spark, rows).drop("licenses")).collect()}
+    got = {r["doc_id"]: [m["name"] for m in r["licenses"]] for r in licenses.with_licenses(frame(spark, rows)).collect()}
     assert all(name in got[i] for i in range(9)) and got[99] == []
 
 
