@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophekit.llm.common import let
+
 START, END, TURN = "<|im_start|>", "<|im_end|>", "<|turn|>"
 LEARNED_ROLE = "assistant"
 
@@ -52,13 +54,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                             escaped(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
-    # Merge: the index of each turn that opens a message, then the turns up to the next one.
-    n = F.size("turns")
-    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
-    merged = sorted_turns.withColumn("opens", opens)
-    messages = merged.withColumn("messages", F.transform("opens", lambda i, k: F.struct(
-        F.get("turns", i)["role"].alias("role"),
-        F.transform(F.slice("turns", i + 1, F.coalesce(F.get("opens", k + 1), n) - i), lambda t: t["text"]).alias("texts"))))
+    def merged(turns: Column) -> Column:
+        """Messages: the turns from each that opens one up to the next such."""
+        n = F.size(turns)
+        opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+        return let(opens, lambda first: F.transform(first, lambda i, k: F.struct(
+            F.get(turns, i)["role"].alias("role"),
+            F.transform(F.slice(turns, i + 1, F.coalesce(F.get(first, k + 1), n) - i), lambda t: t["text"]).alias("texts"))))
+
+    messages = sorted_turns.select("conv_id", let(F.col("turns"), merged).alias("messages"))
 
     def written(m):
         return F.concat(F.lit(START), m["role"], F.lit("\n"), F.array_join(m["texts"], TURN), F.lit(END + "\n"))
@@ -91,9 +95,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     bodies = F.transform(messages, lambda m: F.substring_index(m, END, 1))
 
     def turns_of(body):
-        role = F.substring_index(body, "\n", 1)
-        texts = F.split(F.substring(body, F.char_length(role) + 2, F.char_length(body)), r"<\|turn\|>", -1)
-        return F.transform(texts, lambda t: F.struct(unescaped_role(role).alias("role"), unescaped(t).alias("text")))
+        def of_role(role):
+            texts = F.split(F.substring(body, F.char_length(role) + 2, F.char_length(body)), r"<\|turn\|>", -1)
+            return let(unescaped_role(role), lambda plain: F.transform(
+                texts, lambda t: F.struct(plain.alias("role"), unescaped(t).alias("text"))))
+        return let(F.substring_index(body, "\n", 1), of_role)
 
     loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(bodies, turns_of)).alias("turns"), loss.alias("loss_texts"))

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophekit.llm.common import let
+
 WINDOW, STRIDE = 6, 2
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -54,13 +56,6 @@ TEMPLATES = {
 }
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once.  A bound variable stays one
-    when a filter is pushed below a projection; a column would be copied into
-    every place that reads it, and so into lambdas that run once per word."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def word_hashes(text: Column) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
     return F.transform(words, lambda w: F.xxhash64(w))
