@@ -26,13 +26,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from strophekit.llm.common import small_batches
 from strophekit.llm.tokens import encode_texts
 
 BLOCK_IDS = 1 << 16
+MEMO_CHUNKS = 350_000
 CHUNKS = ("part int, chunk long, first_id long, n_ids int, plane_kind string, planes array<binary>, "
-          "doc_ids array<long>, doc_rows array<long>, doc_offsets array<long>, doc_lengths array<long>")
-PIECES = "part int, doc_row long, doc_id long, first_id long, offset long, length long, crc long"
+          "doc_ids array<long>, doc_rows array<long>, doc_offsets array<long>, doc_lengths array<long>, doc_totals array<long>")
+PIECES = "part int, doc_row long, doc_id long, first_id long, offset long, length long, total long, crc long"
 
 
 # ------------------------------------------------------------- one block
@@ -80,7 +84,7 @@ class Blocks:
         at = 0
         while True:
             take = min(self.size - self.n, len(ids) - at)
-            self.spans.append((doc_id, self.row, at, take))
+            self.spans.append((doc_id, self.row, at, take, len(ids)))
             self.arrays.append(ids[at:at + take])
             self.n, at = self.n + take, at + take
             if self.n == self.size:
@@ -92,15 +96,15 @@ class Blocks:
     def close(self) -> None:
         if not self.spans:
             return
-        docs, rows, offsets, lengths = (list(x) for x in zip(*self.spans))
+        docs, rows, offsets, lengths, totals = (list(x) for x in zip(*self.spans))
         planes = to_planes(np.concatenate(self.arrays), self.kind)
-        self.done.append((self.part, self.chunk, self.first, self.n, self.kind, planes, docs, rows, offsets, lengths))
+        self.done.append((self.part, self.chunk, self.first, self.n, self.kind, planes, docs, rows, offsets, lengths, totals))
         self.chunk, self.first = self.chunk + 1, self.first + self.n
         self._clear()
 
-    def taken(self) -> pd.DataFrame:
+    def taken(self) -> list[tuple]:
         rows, self.done = self.done, []
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+        return rows
 
 
 # ------------------------------------------------------------- writing
@@ -108,28 +112,32 @@ class Blocks:
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = None,
               block_ids: int = BLOCK_IDS, kind: str = "byte") -> None:
     """Encode ``docs`` (``doc_id``, ``text``) and write the chunk table."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
-    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = _kinds(CHUNKS)
+
+    def chunks(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
         blocks = Blocks(TaskContext.get().partitionId(), block_ids, kind)
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                some = frame.iloc[at:at + 512]
-                ids = encode_texts(spec.value, some["text"].tolist())
-                for doc_id, got in zip(some["doc_id"], ids):
-                    blocks.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((got, tail)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                for doc_id, got in zip(ids, encode_texts(spec.value, texts, MEMO_CHUNKS)):
+                    blocks.add(doc_id, np.concatenate((got, tail)))
                 if blocks.done:
-                    yield blocks.taken()
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in blocks.taken()], kinds)
         blocks.close()
-        yield blocks.taken()
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in blocks.taken()], kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInPandas(chunks, CHUNKS).write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(chunks, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
 # ------------------------------------------------------------- reading
@@ -145,43 +153,44 @@ def part_starts(chunks: DataFrame) -> DataFrame:
     return sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
 
 
-def _decoded(frames: Iterator[pd.DataFrame], emit: Callable) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for c in frame.itertuples(index=False):
-            ids = from_planes(list(c.planes), c.n_ids, c.plane_kind)
-            at = 0
-            docs = [None if pd.isna(d) else int(d) for d in c.doc_ids]
-            for doc, row, off, n in zip(docs, c.doc_rows, c.doc_offsets, c.doc_lengths):
-                rows.append(emit(c, doc, int(row), int(off), at, ids[at:at + int(n)]))
-                at += int(n)
-        yield rows
+def _kinds(schema: str):
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _decoded(batches: Iterator, value: Callable, kinds) -> Iterator:
+    """Per document and block the place of its ids, and ``value`` of them."""
+    import pyarrow as pa
+    for batch in batches:
+        cell = {n: batch.column(n) for n in batch.schema.names}
+        spans = cell["doc_rows"].value_lengths().to_numpy(zero_copy_only=False)
+        flat = {n: cell[n].flatten() for n in ("doc_rows", "doc_ids", "doc_offsets", "doc_lengths", "doc_totals")}
+        offsets, lengths = (flat[n].to_numpy(zero_copy_only=False) for n in ("doc_offsets", "doc_lengths"))
+        values, places, at = [], [], 0
+        for i, n in enumerate(spans.tolist()):
+            ids = from_planes(cell["planes"][i].as_py(), cell["n_ids"][i].as_py(), cell["plane_kind"][i].as_py())
+            cuts = np.concatenate(([0], np.cumsum(lengths[at:at + n])))
+            places.append(cell["first_id"][i].as_py() + cuts[:-1] - offsets[at:at + n])
+            cuts = cuts.tolist()
+            values += [value(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+            at += n
+        parts = np.repeat(cell["part"].to_numpy(zero_copy_only=False), spans)
+        columns = [parts, flat["doc_rows"], flat["doc_ids"], np.concatenate(places) if places else [], flat["doc_offsets"],
+                   flat["doc_lengths"], flat["doc_totals"], values]
+        yield pa.RecordBatch.from_arrays(
+            [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
 
 def read_pieces(chunks: DataFrame) -> DataFrame:
     """Per document and block: its ids' place and crc32, from the planes."""
-    columns = [c.split()[0] for c in PIECES.split(", ")]
-
-    def pieces(frames):
-        for rows in _decoded(frames, lambda c, doc, row, off, at, ids: (
-                c.part, row, doc, int(c.first_id) + at - off, off, len(ids), zlib.crc32(ids.tobytes()))):
-            out = pd.DataFrame(rows, columns=columns)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return chunks.mapInPandas(pieces, PIECES)
+    kinds = _kinds(PIECES)
+    return chunks.mapInArrow(lambda batches: _decoded(batches, lambda ids: zlib.crc32(ids.tobytes()), kinds), PIECES)
 
 
 def read_documents(chunks: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``start``, ``ids`` (array)."""
-    def pieces(frames):
-        for rows in _decoded(frames, lambda c, doc, row, off, at, ids: (
-                c.part, row, doc, int(c.first_id) + at - off, off, ids.astype(np.int64))):
-            out = pd.DataFrame(rows, columns=["part", "doc_row", "doc_id", "first_id", "offset", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    got = chunks.mapInPandas(pieces, "part int, doc_row long, doc_id long, first_id long, offset long, ids array<long>")
+    schema = PIECES.replace("crc long", "ids array<long>")
+    kinds = _kinds(schema)
+    got = chunks.mapInArrow(lambda batches: _decoded(batches, lambda ids: ids.astype(np.int64), kinds), schema)
     whole = got.groupBy("part", "doc_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("first_id").alias("first_id"),
         F.flatten(F.sort_array(F.collect_list(F.struct("offset", "ids")))["ids"]).alias("ids"))
@@ -229,8 +238,10 @@ def digests(chunks: DataFrame) -> DataFrame:
 
     join_crcs = F.pandas_udf(joined, "long")
     docs = read_pieces(chunks).groupBy("part", "doc_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("first_id").alias("first_id"), F.sum("length").alias("n_tokens"),
+        F.first("first_id").alias("first_id"), F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("offset", "crc", "length"))).alias("p"))
-    return docs.join(part_starts(chunks), "part").select(
-        "doc_id", (F.col("part_start") + F.col("first_id")).alias("start"), "n_tokens",
-        join_crcs(F.col("p")["crc"], F.col("p")["length"]).alias("ids_crc32"))
+    # One exchange serves both; only documents over several blocks go to Python.
+    alone = docs.filter(F.size("p") == 1).withColumn("ids_crc32", F.col("p")[0]["crc"])
+    cut = docs.filter(F.size("p") > 1).withColumn("ids_crc32", join_crcs(F.col("p")["crc"], F.col("p")["length"]))
+    return alone.unionByName(cut).join(part_starts(chunks), "part").select(
+        "doc_id", (F.col("part_start") + F.col("first_id")).alias("start"), "n_tokens", "ids_crc32")

@@ -15,7 +15,7 @@ import numpy as np
 from strophekit.llm.common import task_cache
 
 MEMO_CHUNKS = 250_000  # per generation and worker; two generations are kept
-TEXT_BYTES = 8 << 20  # of texts and their ids kept per worker
+TEXT_BYTES = 24 << 20  # of texts and their ids kept per worker
 # White space besides the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
 ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
