@@ -27,7 +27,7 @@ def test_song_scoring_has_no_shuffle(spark):
                     ["string_similarity", "meter", "diversity_avg_ttr"])
     plan = _plan(s)
     assert "Exchange" not in plan and "Join" not in plan
-    assert s.count() == 2 * 4
+    assert s.count() == 2 * 3
 
 
 def test_filter_reaches_scan_without_shuffle(spark):
