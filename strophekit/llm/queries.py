@@ -140,3 +140,15 @@ FROM m GROUP BY doc_id
 
 
 ORACLES["op6_license_scan"] = _license_sql()
+
+
+ORACLES["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.c FROM r JOIN l ON r.vec_id = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN m ON v.vec_id = m.vec_id LEFT JOIN n ON v.vec_id = n.x
+"""
