@@ -36,6 +36,7 @@ from strophekit.llm.tokens import encode_texts
 WINDOW = 1024
 SHARD_DOCS = 2048
 QUERY_TERMS = 24
+MEMO_CHUNKS = 350_000
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ENCODED = PIECES + ", shard long, row_no long, ids binary, wide boolean"
@@ -158,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
             for at in range(0, batch.num_rows, 512):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
                 rows = []
-                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts)):
+                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts, MEMO_CHUNKS)):
                     ids = np.concatenate((ids, end))
                     full = len(ids) // window * window
                     for start in range(0, full, window):
