@@ -2,17 +2,21 @@
 
 Every document is encoded once.  Its full windows become sequences of their
 own where they are made; only the rest of each document, shorter than a window,
-still needs company.  The rests are dealt evenly over shards of about
-``SHARD_DOCS`` documents, whatever their ids, sources or copies, so a shard is
-bounded.  A shard holds a BM25 inverted index over the words of its rests.
-The first unused rest seeds a window; its best scored unused neighbours are
-appended until the window is full.  The one that overflows is cut, and what is left
-of it seeds the next window; rests that share no rare word with a seed follow in
-order.  So only the last window of a shard is padded.
+still needs company.  Statistics cover all rests: the document frequency of every
+word, their number and mean length are counted in Spark before anything is packed.
+Each rest is routed by content: by its rarest word that at least ``shard_docs`` / 16 rests
+share, then by its rarest word that any other rest shares, so that copies and rests on one
+subject stand side by side.  A range exchange cuts that order into shards of about
+``SHARD_DOCS`` rests; many rests with the same words fill several shards, so a shard
+is bounded.  A shard holds a BM25 inverted index over the words of its rests, weighed by
+the statistics of all rests.  The first unused rest seeds a window; its best scored
+unused neighbours are appended until the window is full.  The one that overflows is
+cut, and what is left of it seeds the next window; rests that share no word with a
+seed follow in order.  So only the last window of a shard is padded.
 
 Words are read from the ids: an id whose token begins with a space or line
-feed starts a word.  Queries use a seed's ``QUERY_TERMS`` rarest words that other rests
-share, which sets the ranking only; no document is left out.
+feed starts a word.  All words of a seed are scored.  A neighbour that shares neither
+routing word can still stand in another shard; no document is left out.
 
 Null or empty text: just the end id.  Null ids and repeated rows: each row is a
 document of its own.  An empty table gives no rows.  Other columns are ignored.
@@ -24,8 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -35,11 +38,18 @@ from strophekit.llm.tokens import encode_texts
 
 WINDOW = 1024
 SHARD_DOCS = 2048
-QUERY_TERMS = 24
+BLOCK_DOCS = 2048  # rests whose words are counted together
 MEMO_CHUNKS = 350_000
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-ENCODED = PIECES + ", shard long, row_no long, ids binary, wide boolean"
+FULL, REST, VOCABULARY = 0, 1, 2  # kinds of encoded rows
+REST_COLUMNS = "doc_id long, start long, length long, doc_tokens long, row_no long, ids binary, wide boolean"
+ENCODED = PIECES + ", kind int, block long, row_no long, ids binary, wide boolean, counts binary, words long"
+ROUTED = REST_COLUMNS + ", frequencies binary, subject long, word long"
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def ids_bytes(ids: np.ndarray) -> tuple[bytes, bool]:
@@ -55,44 +65,78 @@ def word_terms(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(ids.astype(np.uint64) + np.uint64(1)) * powers[within], starts))
 
 
+def rest_terms(rests: list[np.ndarray], leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(rest, term, times)`` of each distinct term, ascending by rest and term,
+    and the words of each rest."""
+    lens = np.array([len(r) for r in rests])
+    ids = np.concatenate(rests)
+    begins = leads[ids]
+    begins[np.cumsum(lens) - lens] = True
+    starts = np.flatnonzero(begins)
+    doc, term = np.repeat(np.arange(len(rests)), lens)[starts], word_terms(ids, starts)
+    words = np.bincount(doc, minlength=len(rests))
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))))
+    return doc[first], term[first], np.diff(np.append(first, len(doc))), words
+
+
+def routing_word(doc: np.ndarray, term: np.ndarray, frequency: np.ndarray, n: int, least: int) -> list[int | None]:
+    """Per rest its rarest term that ``least`` rests hold, the smaller hash first."""
+    held = np.flatnonzero(frequency >= least)
+    held = held[np.lexsort((term[held], frequency[held], doc[held]))]
+    rest, first = np.unique(doc[held], return_index=True)
+    out: list[int | None] = [None] * n
+    for d, t in zip(rest.tolist(), term[held[first]].view(np.int64).tolist()):
+        out[d] = t
+    return out
+
+
 class Index:
-    """BM25 inverted index of one shard."""
+    """BM25 inverted index of one shard.  ``frequencies`` are those of the terms of
+    ``rest_terms`` among all ``total`` rests of ``mean_words`` words; without
+    them the given rests are all."""
 
-    def __init__(self, rests: list[np.ndarray], leads: np.ndarray):
+    def __init__(self, rests: list[np.ndarray], leads: np.ndarray, frequencies: np.ndarray | None = None,
+                 total: int = 0, mean_words: float = 0):
         n = self.n = len(rests)
-        ids = np.concatenate(rests)
-        at = np.cumsum([len(r) for r in rests]) - np.array([len(r) for r in rests])
-        begins = leads[ids]
-        begins[at] = True
-        starts = np.flatnonzero(begins)
-        doc = np.repeat(np.arange(n), [len(r) for r in rests])[starts]
-        _, term = np.unique(word_terms(ids, starts), return_inverse=True)
-        pairs, tf = np.unique(term * np.int64(n) + doc, return_counts=True)
-        term, self.docs = pairs // n, pairs % n
-        n_terms = int(term[-1]) + 1
-        df = np.bincount(term, minlength=n_terms)
-        self.first = np.concatenate(([0], np.cumsum(df)))
-        words = np.bincount(doc, minlength=n)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[self.docs] / words.mean()))
-        # rarest shared terms of each document
-        shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((term[shared], df[term[shared]], self.docs[shared]))]
-        self.by_doc, self.term_of = np.searchsorted(self.docs[order], np.arange(n + 1)), term[order]
+        doc, term, tf, words = rest_terms(rests, leads)
+        _, code = np.unique(term, return_inverse=True)
+        held = np.bincount(code)
+        if frequencies is None:
+            frequencies, total, mean_words = held[code], n, words.mean()
+        idf = np.log1p((total - frequencies + 0.5) / (frequencies + 0.5))
+        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / mean_words))
+        self.by_doc, self.code = np.searchsorted(doc, np.arange(n + 1)), code
+        # terms of a quarter of the rests as rows of a matrix, the others as postings
+        self.dense = np.full(len(held), -1)
+        common = np.flatnonzero(4 * held > n)
+        self.dense[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n))
+        row = self.dense[code]
+        self.matrix[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        order = np.argsort(code, kind="stable")
+        self.docs, self.weight = doc[order], weight[order]
+        self.held, self.first = held, np.cumsum(held) - held
 
     def scores(self, doc: int) -> np.ndarray:
-        terms = self.term_of[self.by_doc[doc]:self.by_doc[doc + 1]][:QUERY_TERMS]
-        if not len(terms):
-            return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        return np.bincount(self.docs[at], self.weight[at], self.n)
+        """Of every rest, by all terms of one."""
+        terms = self.code[self.by_doc[doc]:self.by_doc[doc + 1]]
+        row = self.dense[terms]
+        asked = np.zeros(len(self.matrix))
+        asked[row[row >= 0]] = 1
+        terms = terms[(row < 0) & (self.held[terms] > 1)]
+        lens = self.held[terms]
+        at = np.repeat(self.first[terms] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        return asked @ self.matrix + np.bincount(self.docs[at], self.weight[at], self.n)
 
 
-def pack_shard(rests: list[np.ndarray], leads: np.ndarray, window: int = WINDOW) -> list[tuple]:
-    """``(rest, start, length, sequence, offset)`` for each piece."""
+def pack_shard(rests: list[np.ndarray], leads: np.ndarray, window: int = WINDOW, *statistics) -> list[tuple]:
+    """``(rest, start, length, sequence, offset)`` for each piece; ``statistics``
+    as for the index."""
     if not rests:
         return []
-    index, used = Index(rests, leads), np.zeros(len(rests), bool)
+    index, used = Index(rests, leads, *statistics), np.zeros(len(rests), bool)
     pieces, sequence, next_free = [], 0, 0
     seed, seed_at = -1, 0
     while True:
@@ -145,48 +189,111 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
     leads[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = sc.broadcast((f.read(), leads))  # one vocabulary file
-    shards = max(1, -(-docs.count() // shard_docs))
+    least = max(2, shard_docs // 16)
 
-    columns = [c.split()[0] for c in ENCODED.split(", ")]
-    kinds = to_arrow_schema(_parse_datatype_string(ENCODED))
+    kinds = {s: to_arrow_schema(_parse_datatype_string(s)) for s in (PIECES, ENCODED, ROUTED)}
 
-    def encode(batches: Iterator) -> Iterator:
+    def batch_of(rows, schema):
         import pyarrow as pa
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds[schema])], names(schema))
+
+    def ids_of(data, wides):
+        return [np.frombuffer(d, "<u4" if w else "<u2").astype("<u4") for d, w in zip(data, wides)]
+
+    def vocabulary_row(block, terms):
+        term, held = np.unique(np.concatenate(terms), return_counts=True)
+        return (None, 0, 0, 0, 0, 0, 0, VOCABULARY, block, 0, term.tobytes(), False, held.astype("<i8").tobytes(), 0)
+
+    def encode(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-        base, row_no, sequence = TaskContext.get().partitionId() << 33, 0, 0
+        base, row_no, sequence, rest_no = TaskContext.get().partitionId() << 33, 0, 0, 0
         end = np.array([end_id], "<u4")
+        block, block_terms = base, []
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                rows = []
+                rows, rests = [], []
                 for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts, MEMO_CHUNKS)):
                     ids = np.concatenate((ids, end))
                     full = len(ids) // window * window
                     for start in range(0, full, window):
                         crc = zlib.crc32(ids[start:start + window].tobytes())
-                        rows.append((doc_id, start, window, crc, len(ids), 2 * (base + sequence), 0, -1, 0, None, False))
+                        rows.append((doc_id, start, window, crc, len(ids), 2 * (base + sequence), 0, FULL, -1, 0, None, False, None, 0))
                         sequence += 1
                     if full < len(ids):
-                        own = base + row_no
-                        shard = int(mix64(np.array([own], np.uint64))[0] % np.uint64(shards))
-                        data, wide = ids_bytes(ids[full:])
-                        rows.append((doc_id, full, len(ids) - full, 0, len(ids), 0, 0, shard, own, data, wide))
+                        rests.append((doc_id, full, len(ids), base + row_no, ids[full:]))
                     row_no += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], columns)
-
-    def pack_group(key, frame):
-        frame = frame.sort_values("row_no")
-        rests = [np.frombuffer(d, "<u4" if w else "<u2").astype("<u4") for d, w in zip(frame["ids"], frame["wide"])]
-        ids, starts, totals = (frame[c].tolist() for c in ("doc_id", "start", "doc_tokens"))
-        rows = [(None if pd.isna(ids[d]) else int(ids[d]), starts[d] + at, n, zlib.crc32(rests[d][at:at + n].tobytes()), totals[d],
-                 2 * ((int(key[0]) << 33) + seq) + 1, offset)
-                for d, at, n, seq, offset in pack_shard(rests, shared.value[1], window)]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+                if rests:
+                    _, term, _, words = rest_terms([r[-1] for r in rests], shared.value[1])
+                    for (doc_id, full, total, own, ids), n in zip(rests, words.tolist()):
+                        data, wide = ids_bytes(ids)
+                        rows.append((doc_id, full, len(ids), 0, total, 0, 0, REST, block, own, data, wide, None, n))
+                    block_terms.append(term)
+                    rest_no += len(rests)
+                    if rest_no >= BLOCK_DOCS:
+                        rows.append(vocabulary_row(block, block_terms))
+                        block, block_terms, rest_no = block + 1, [], 0
+                yield batch_of(rows, ENCODED)
+        if block_terms:
+            yield batch_of([vocabulary_row(block, block_terms)], ENCODED)
+
+    def unpack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            for block, terms, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                term, held = np.frombuffer(terms, "<i8"), np.frombuffer(counts, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), block)), pa.array(term), pa.array(held)], ["block", "term", "held"])
+
+    def route(rests, vocabulary):
+        """Rests of a block with the frequencies of their terms and their routing words."""
+        import pyarrow as pa
+        if not rests.num_rows:
+            return pa.Table.from_batches([], kinds[ROUTED])
+        columns = [rests[c].to_pylist() for c in names(REST_COLUMNS)]
+        doc, term, _, _ = rest_terms(ids_of(columns[5], columns[6]), shared.value[1])
+        known = vocabulary["term"].to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, often = known[order], vocabulary["frequency"].to_numpy()[order]
+        frequency = np.ones(len(term), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+            frequency = np.where(known[at] == term, often[at], 1)
+        n = rests.num_rows
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        data = frequency.astype("<u4")
+        columns.append([data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+        columns += [routing_word(doc, term, frequency, n, k) for k in (least, 2)]
+        return pa.Table.from_batches([batch_of(zip(*columns), ROUTED)])
+
+    def pack_part(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if not rows:
+            return
+        none = (1 << 63) - 1
+        rows.sort(key=lambda r: (none if r[8] is None else r[8], none if r[9] is None else r[9], r[4]))
+        cuts = max(1, len(rows) // (2 * shard_docs))  # a part far above the mean
+        sequence, base = 0, TaskContext.get().partitionId() << 33
+        for k in range(cuts):
+            some = rows[k * len(rows) // cuts:(k + 1) * len(rows) // cuts]
+            doc_ids, starts, _, totals, _, data, wides, frequencies, _, _ = zip(*some)
+            rests = ids_of(data, wides)
+            pieces = pack_shard(rests, shared.value[1], window, np.frombuffer(b"".join(frequencies), "<u4").astype(np.int64), total, mean_words)
+            yield batch_of([(doc_ids[d], starts[d] + at, n, zlib.crc32(rests[d][at:at + n].tobytes()), totals[d],
+                             2 * (base + sequence + seq) + 1, offset) for d, at, n, seq, offset in pieces], PIECES)
+            sequence += pieces[-1][3] + 1
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     encoded = written(texts.mapInArrow(encode, ENCODED), "encoded")
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    alone = encoded.filter("shard < 0").select(names)
-    return alone.unionByName(encoded.filter("shard >= 0").groupBy("shard").applyInPandas(pack_group, PIECES))
+    rests = encoded.filter(F.col("kind") == REST)
+    total, all_words = rests.agg(F.count("*"), F.sum("words")).first()
+    mean_words = (all_words or 0) / max(1, total)
+    counted = (encoded.filter(F.col("kind") == VOCABULARY).select("block", "ids", "counts")
+               .mapInArrow(unpack, "block long, term long, held long")
+               .withColumn("frequency", F.sum("held").over(Window.partitionBy("term")))
+               .filter("frequency > 1").select("block", "term", "frequency"))
+    routed = written(rests.select("block", *names(REST_COLUMNS)).groupBy("block").cogroup(counted.groupBy("block"))
+                     .applyInArrow(route, ROUTED), "routed")
+    shards = max(1, -(-total // shard_docs))
+    packed = routed.repartitionByRange(shards, "subject", "word", "row_no").mapInArrow(pack_part, PIECES)
+    return encoded.filter(F.col("kind") == FULL).select(names(PIECES)).unionByName(packed)

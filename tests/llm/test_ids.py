@@ -145,3 +145,34 @@ def test_neighbours_share_a_window():
         windows[sequence].append((rest % 4, n))
     same = sum(max(collections.Counter({s: sum(n for x, n in some if x == s) for s, _ in some}).values()) for some in windows.values())
     assert same / (40 * 250) > 0.8
+
+
+def test_copies_meet_in_any_shard(spark):
+    """Near copies far apart in the table share a shard and a window."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(120)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[:40] + ["changed"] + words[41:]))]
+    rows.sort()
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), FILE, 0, shard_docs=16).collect()
+    check_packing(pieces, rows, 1023 * 40)
+    windows = collections.defaultdict(set)
+    for p in pieces:
+        windows[p["doc_id"]].add(p["sequence_id"])
+    assert sum(bool(windows[i] & windows[1000 + i]) for i in range(160)) >= 110  # a shard border parts some
+
+
+def test_statistics_cover_all_rests():
+    """Weights follow the frequencies among all rests, and every term of a seed counts."""
+    leads = np.ones(5000, bool)
+    rests = [np.array([1, 2], "<u4"), np.array([1, 3], "<u4"), np.array([2, 4], "<u4")]
+    doc, term, _, _ = packing.rest_terms(rests, leads)
+    one, two = (packing.rest_terms([np.array([i], "<u4")], leads)[1][0] for i in (1, 2))
+    for rare in (one, two):
+        often = np.where(term == rare, 2, 900)
+        scores = packing.Index(rests, leads, often, 1000, 2.0).scores(0)
+        assert (scores[1] > scores[2]) == (rare == one)
+    seed = np.arange(100, 140, dtype="<u4")
+    scores = packing.Index([seed, *(seed[i:i + 1] for i in range(40))], leads).scores(0)
+    assert (scores[1:] > 0).all()
