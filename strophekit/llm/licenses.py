@@ -12,8 +12,10 @@ distinct shingles of five words, by their exact hashes.
 Everything happens inside the row: no join, no shuffle, nothing is dropped.
 Templates are an argument of the program and so of bounded size.
 
-Null or empty text, fewer than five words: no license.  A template of fewer
-than five words is refused.  Repeated rows and null ids give a row each; an empty table
+Notices of fewer than five words (``brief``) have their whole word run as only shingle and
+are searched at every place, so none is missed.  Among ``templates`` they are refused.
+
+Null or empty text: no license.  Repeated rows and null ids give a row each; an empty table
 gives none; other columns are ignored.
 """
 
@@ -55,6 +57,9 @@ TEMPLATES = {
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software""",
 }
 
+# Notices of fewer than five words.
+BRIEF_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
+
 
 def word_hashes(text: Column) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
@@ -95,10 +100,39 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> list[dict]
     return out
 
 
-def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", column: str = "licenses") -> DataFrame:
-    """``docs`` with ``column``: names and containments of the templates present,
-    ascending by name."""
+def brief_runs(spark: SparkSession, templates: dict[str, str]) -> dict[str, list[int]]:
+    """The word hashes of each brief notice."""
+    if not templates:
+        return {}
+    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string")
+    out = {r["name"]: r["run"] for r in rows.select("name", word_hashes(F.col("text")).alias("run")).collect()}
+    for name, run in out.items():
+        if not 0 < len(run) < SHINGLE:
+            raise ValueError(f"brief notice {name} has {len(run)} words")
+    return out
+
+
+def holds_run(hashes: Column, run: list[int]) -> Column:
+    """Whether the words ``run`` stand next to each other in a text."""
+    there = F.lit(True)
+    for v in run:
+        there = there & F.array_contains(hashes, F.lit(v))
+
+    def starts(h: Column, i: Column) -> Column:
+        here = h == F.lit(run[0])
+        for k, v in enumerate(run[1:], 1):
+            here = here & F.coalesce(F.get(hashes, i + k) == F.lit(v), F.lit(False))
+        return here
+
+    return there & (F.size(F.filter(hashes, starts)) > 0)
+
+
+def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", column: str = "licenses",
+                  brief: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``column``: names and containments of the templates and
+    ``brief`` notices present, ascending by name."""
     known = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
+    short = brief_runs(docs.sparkSession, brief or {})
     wanted = [sorted({v for t in known for v in t[f"m{i}"]}) for i in range(len(PERMUTATIONS))]
 
     def longs(values) -> Column:
@@ -111,8 +145,13 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
         return F.array(*[one(i, p) for i, p in enumerate(PERMUTATIONS)])
 
     def matches(hashes: Column) -> Column:
-        return let(let(runs(hashes, 2), hits), lambda found: F.when(
+        long = let(let(runs(hashes, 2), hits), lambda found: F.when(
             F.exists(found, lambda h: F.size(h) > 0), verified(hashes, found)).otherwise(F.array().cast(FOUND)))
+        if not short:
+            return long
+        cells = [F.when(holds_run(hashes, run), F.struct(F.lit(name).alias("name"), F.lit(1.0).alias("containment")))
+                 for name, run in sorted(short.items())]
+        return F.array_sort(F.concat(long, F.filter(F.array(*cells), lambda m: m.isNotNull()).cast(FOUND)))
 
     def verified(hashes: Column, found: Column) -> Column:
         def present(shingles: Column) -> Column:

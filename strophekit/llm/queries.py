@@ -112,7 +112,17 @@ FROM w GROUP BY conv_id
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophekit.llm.licenses import with_licenses
-    docs = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _license_columns(with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op6_license_scan_with_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the notices of fewer than five words besides."""
+    from strophekit.llm.licenses import BRIEF_TEMPLATES, with_licenses
+    return _license_columns(with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), brief=BRIEF_TEMPLATES))
+
+
+def _license_columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
                        F.array_join("licenses.name", ",").alias("licenses"),
                        F.round(F.array_min("licenses.containment"), 6).alias("least_containment"))
@@ -142,6 +152,29 @@ FROM m GROUP BY doc_id
 ORACLES["op6_license_scan"] = _license_sql()
 
 
+def _brief_sql() -> str:
+    """The brief notices, as whole word runs, beside the result of the other scan."""
+    import re
+
+    from strophekit.llm.licenses import BRIEF_TEMPLATES
+    cells = []
+    for name, text in sorted(BRIEF_TEMPLATES.items()):
+        run = " ".join(w for w in re.split(r"[\W_]+", text.lower()) if w)
+        cells.append(f"SELECT doc_id, '{name}' AS name FROM e WHERE contains(t, ' {run} ')")
+    return f"""
+WITH old AS ({ORACLES["op6_license_scan"]}),
+e AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS t FROM documents),
+b AS (SELECT doc_id, list(DISTINCT name) AS more FROM ({" UNION ALL ".join(cells)}) GROUP BY doc_id)
+SELECT old.doc_id, n_licenses + coalesce(len(more), 0) AS n_licenses,
+       array_to_string(list_sort(list_concat(list_filter(string_split(licenses, ','), lambda x: x <> ''), coalesce(more, []))), ',') AS licenses,
+       CASE WHEN more IS NULL THEN least_containment ELSE coalesce(least_containment, 1.0) END AS least_containment
+FROM old LEFT JOIN b ON old.doc_id = b.doc_id
+"""
+
+
+ORACLES["op6_license_scan_with_brief"] = _brief_sql()
+
+
 ORACLES["op7_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b

@@ -157,3 +157,18 @@ def test_leaks_odd_tables_and_blocks(spark):
     assert kept.columns == frame(spark).columns and kept.count() == len(odd_documents()) - 4
     assert decontam.clean(frame(spark), bench.limit(0)).count() == len(odd_documents())
     assert decontam.clean(frame(spark, []), bench).count() == 0
+
+
+def test_brief_notices(spark):
+    """A notice of fewer than five words is found as a whole word run only."""
+    texts = ["All rights reserved.", "(c) 2020 X. ALL RIGHTS\nRESERVED! Released under the MIT License.", "all rights are reserved", "all rights", "rights reserved all",
+             "all all rights reserved", None, ""]
+    rows = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
+    out = licenses.with_licenses(frame(spark, rows), brief=licenses.BRIEF_TEMPLATES).collect()
+    got = {r["doc_id"]: [(m["name"], m["containment"]) for m in r["licenses"]] for r in out}
+    brief = ("all-rights-reserved", 1.0)
+    assert got == {0: [brief], 1: [brief, ("mit-notice", 1.0)], 2: [], 3: [], 4: [], 5: [brief], 6: [], 7: []}
+    with pytest.raises(ValueError):
+        licenses.with_licenses(frame(spark), brief={"none": "..."})
+    told = queries.op6_license_scan_with_brief(spark, "/root/testdata/sf0.1").filter("licenses = 'all-rights-reserved'")
+    assert told.count() == 66
