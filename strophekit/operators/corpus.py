@@ -9,10 +9,13 @@ joins on equality (broadcast when its size is checked to be small).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from strophekit.functions.text import ngram_key
 
@@ -27,7 +30,7 @@ PROMPT_INSTRUCTION = (
 # Extra common words appended to the common-word list of the n-gram study.
 COMMON_EXTRAS = ("didnt", "wont", "shouldnt", "wouldnt", "couldnt", "cant", "im", "youre",
                  "hes", "shes", "thats", "its", "ive")
-# HTML entities unescaped after tag stripping ('&amp;' last).
+# HTML entities as the oracle unescapes them ('&amp;' last).
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------
@@ -35,30 +38,93 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 
 # --- C6 -------------------------------------------------------------------------
-def unescape_entities(c: Column) -> Column:
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class Containers(HTMLParser):
+    """Text nodes of a page and the span of each ``(tag, class)`` container.
+
+    An end tag closes the innermost open element of its name and what was left open
+    inside; elements never closed end with the page."""
+
+    def __init__(self, wanted: Sequence[tuple[str, str | None]]):
+        super().__init__(convert_charrefs=True)
+        self.wanted = [(t.lower(), c) for t, c in wanted]
+        self.nodes: list[str] = []
+        self.spans: list[list[list]] = [[] for _ in wanted]
+        self.open: list[tuple[str, list[list]]] = []
+        self.names: Counter = Counter()
+        self.fresh = True
+
+    def handle_starttag(self, tag, attrs):
+        self.fresh = True
+        if tag in VOID_TAGS:
+            return
+        value = next((v or "" for k, v in attrs if k == "class"), "")
+        mine = []
+        for (name, css_class), spans in zip(self.wanted, self.spans):
+            if name == tag and (css_class is None or css_class in value.split()):
+                spans.append([len(self.nodes), None])
+                mine.append(spans[-1])
+        self.open.append((tag, mine))
+        self.names[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self.fresh = True
+        while self.names[tag]:
+            name, mine = self.open.pop()
+            self.names[name] -= 1
+            for span in mine:
+                span[1] = len(self.nodes)
+            if name == tag:
+                break
+
+    def handle_data(self, data):
+        if self.names["script"]:
+            return
+        if self.fresh:
+            self.nodes.append(data)
+            self.fresh = False
+        else:
+            self.nodes[-1] += data
+
+    def other(self, _):
+        self.fresh = True
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = other
 
 
-def container_text(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """Text of every ``<tag class=css_class>`` container (scripts removed,
-    text nodes joined by '\\n'), containers joined by a space."""
-    no_script = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", "")
-    attr = f"""[^>]*class="{css_class}"[^>]*""" if css_class else r"[^>]*"
-    blocks = F.regexp_extract_all(no_script, F.lit(f"(?s)<{tag}{attr}>(.*?)</{tag}>"), 1)
-    texts = F.transform(blocks, lambda b: F.array_join(
-        F.filter(F.split(b, r"<[^>]*>", -1), lambda p: p != ""), "\n"))
-    return unescape_entities(F.array_join(texts, " "))
+def container_texts(html: str | None, wanted: Sequence[tuple[str, str | None]]) -> list[str | None]:
+    """For each ``(tag, class)`` the text of every such container, nested ones
+    included (scripts removed, text nodes joined by '\n'), containers joined by a space."""
+    if html is None:
+        return [None] * len(wanted)
+    page = Containers(wanted)
+    page.feed(html.replace("&nbsp;", " "))
+    page.close()
+    return [" ".join("\n".join(page.nodes[a:b]) for a, b in spans) for spans in page.spans]
 
 
 def extract_page_text(pages: DataFrame, html_col: str = "html", keys: Sequence[str] = ("page_id",),
                       lyric_tag: str = "article", desc_tag: str = "div",
                       desc_class: str | None = "ad") -> DataFrame:
     """Lyrics and description out of raw HTML pages."""
-    h = F.col(html_col)
-    return pages.select(*keys, container_text(h, lyric_tag).alias("lyrics"),
-                        container_text(h, desc_tag, desc_class).alias("description"))
+    wanted, keys = [(lyric_tag, None), (desc_tag, desc_class)], list(keys)
+    schema = StructType(pages.select(*keys).schema.fields).add("lyrics", StringType()).add("description", StringType())
+
+    def extract(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            texts = [container_texts(h, wanted) for h in batch.column(len(keys)).to_pylist()]
+            columns = [pa.array([t[i] for t in texts], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(keys)] + columns, schema.names)
+
+    return pages.select(*keys, html_col).mapInArrow(extract, schema)
 
 
 # --- C7 -------------------------------------------------------------------------

@@ -336,3 +336,19 @@ def test_model_outputs_skip_nothing_by_default(spark, tmp_path):
     assert read().count() == 1 and read(skip="explorations").count() == 1
     with pytest.raises(ValueError):
         read(skip="lora")
+
+
+def test_containers_nested_and_class_lists(spark):
+    """Nested containers, class lists, quotes, entities, unclosed elements."""
+    from strophekit.operators.corpus import extract_page_text
+    pages = [
+        ("<article>a<article>b</article>c</article>", "a\nb\nc b", ""),  # every container, as find_all has it
+        ('<div class="ad"><div>x</div>y</div>z', "", "x\ny"),
+        ("<div class='ad'>p</div><DIV id=1 class=\"big ad\">q<br>r</DIV><div class=bad>s</div>", "", "p q\nr"),
+        ("<article>&#x41;&eacute;&amp;lt; 1 < 2<script>if (a</article>b) x;</script><!-- </article> -->d</article>", "A\u00e9&lt; 1 < 2\nd", ""),
+        ("<section><article>e<p>f</section>g", "e\nf", ""),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pages)], "page_id long, html string")
+    got = {r["page_id"]: (r["lyrics"], r["description"]) for r in extract_page_text(df).collect()}
+    assert got == {i: p[1:] for i, p in enumerate(pages)}
