@@ -133,6 +133,21 @@ def json_field(c: Column, path: str, dtype: str) -> Column:
     return F.get_json_object(c, path).cast(dtype)
 
 
+SONG_LIST = "struct<response: struct<songs: array<struct<id: bigint, title: string, annotation_count: bigint>>>>"
+
+
+def response_songs(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """A row ``(keys, song_id, song)`` for each song of ``response.songs``
+    with annotations; null or malformed responses and empty lists give none."""
+    songs = df.select(*keys, F.explode(F.from_json(F.col(col), SONG_LIST)["response"]["songs"]).alias("_s"))
+    return songs.filter(F.col("_s.annotation_count") > 0).select(*keys, F.col("_s.id").alias("song_id"), F.col("_s.title").alias("song"))
+
+
+def first_hit_artist(c: Column) -> Column:
+    """The artist id of the first search hit; null without a hit."""
+    return json_field(c, "$.response.hits[0].result.primary_artist.id", "long")
+
+
 # --- C10-C12 ----------------------------------------------------------------------
 def render_prompt(lyrics: Column, artist: Column) -> Column:
     """Instruction + artist + song + prompt marker (``concat``, not a

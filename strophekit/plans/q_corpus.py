@@ -53,6 +53,37 @@ def q_json(spark, sf):
     return e.select("event_id", C.json_field(F.col("props"), "$.k", "long").alias("k"))
 
 
+def _responses(spark, sf):
+    """API responses made of events: up to four songs and two hits each; no list
+    in every seventh."""
+    e = table(spark, sf, "events")
+    n = (F.col("event_id") % 5).cast("int")
+    song = lambda i: F.struct((F.col("event_id") * 4 + i).alias("id"),
+                              F.concat("event_type", F.lit(" \""), i.cast("string")).alias("title"),
+                              ((F.col("event_id") + i) % 3).alias("annotation_count"))
+    songs = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), n), song)
+    hit = lambda a: F.struct(F.struct(F.struct(a.alias("id")).alias("primary_artist")).alias("result"))
+    hits = F.when(n > 0, F.array(hit(F.col("user_id")), hit(F.lit(-1).cast("long"))))
+    hits = F.struct(songs.alias("songs"), F.coalesce(hits, F.slice(F.array(hit(F.lit(-1).cast("long"))), 1, 0)).alias("hits"))
+    return e.select("event_id", F.to_json(F.struct(F.when(F.col("event_id") % 7 > 0, hits).alias("response"))).alias("body"))
+
+
+@register("response_songs", """
+SELECT event_id, event_id * 4 + i AS song_id, event_type || ' "' || i AS song
+FROM events, (SELECT unnest(range(4)) AS i)
+WHERE event_id % 7 > 0 AND i < event_id % 5 AND (event_id + i) % 3 > 0
+""")
+def q_response_songs(spark, sf):
+    return C.response_songs(_responses(spark, sf), ["event_id"], "body")
+
+
+@register("first_hit_artist", """
+SELECT event_id, CASE WHEN event_id % 7 > 0 AND event_id % 5 > 0 THEN user_id END AS artist_id FROM events
+""")
+def q_first_hit(spark, sf):
+    return _responses(spark, sf).select("event_id", C.first_hit_artist(F.col("body")).alias("artist_id"))
+
+
 @register("title_key", """
 SELECT doc_id, replace(lower(regexp_replace(split_part(text, '(', 1), '^\\s+|\\s+$', '', 'g')),
                        chr(8203), '') AS title_key

@@ -352,3 +352,14 @@ def test_containers_nested_and_class_lists(spark):
     df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pages)], "page_id long, html string")
     got = {r["page_id"]: (r["lyrics"], r["description"]) for r in extract_page_text(df).collect()}
     assert got == {i: p[1:] for i, p in enumerate(pages)}
+
+
+def test_response_songs_and_first_hit(spark):
+    """Every annotated song of a list, and the first hit's artist."""
+    from strophekit.operators.corpus import first_hit_artist, response_songs
+    songs = '{"response": {"songs": [{"id": 1, "title": "a", "annotation_count": 2}, {"id": 2, "title": "b", "annotation_count": 0}, {"id": 3, "title": "c", "annotation_count": 1, "x": []}], "next_page": 2}}'
+    hits = '{"response": {"hits": [{"result": {"primary_artist": {"id": 7}}}, {"result": {"primary_artist": {"id": 8}}}]}}'
+    df = spark.createDataFrame([(1, songs), (2, hits), (3, '{"response": {"songs": [], "hits": []}}'), (4, "{oops"), (5, None)], "k long, body string")
+    assert sorted(tuple(r) for r in response_songs(df, ["k"], "body").collect()) == [(1, 1, "a"), (1, 3, "c")]
+    got = {r["k"]: r["a"] for r in df.select("k", first_hit_artist(df["body"]).alias("a")).collect()}
+    assert got == {1: None, 2: 7, 3: None, 4: None, 5: None}
