@@ -138,39 +138,63 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return g.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
 
 
-def global_row_index(df: DataFrame, order: str, name: str = "row_no",
-                     n_buckets: int | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """1-based row number by one orderable column (inside each ``group``,
-    or over the whole table), without a window that holds a whole group.
-
-    Rows are bucketed by approximate quantiles of the order column (a
-    bounded sketch: ``n_buckets`` boundaries per group), numbered inside
-    each bucket with a window keyed by (group, bucket), and shifted by the
-    row count of all earlier buckets of their group (a small table with one
-    row per bucket).  Buckets come from values, not partition ids, so the
-    numbering is stable under AQE coalescing and task retries.
+def _row_hash(df: DataFrame) -> Column:
+    """One number per row content; columns that cannot be hashed (maps) are left out."""
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def _n_below(bounds: Column, x: Column, steps: int) -> Column:
+    """How many elements of a sorted array lie below ``x`` (binary search)."""
+    powers = F.array(*[F.lit(1 << s) for s in reversed(range(steps))])
+    return F.aggregate(powers, F.lit(0), lambda lo, st: F.when(
+        F.get(bounds, lo + st - 1) < x, lo + st).otherwise(lo))
+
+
+ROWS_PER_BOUND = 32
+
+
+def global_row_index(df: DataFrame, order: str | Sequence[str], name: str = "row_no",
+                     n_buckets: int | None = None, group: Sequence[str] = (),
+                     tie: Sequence[str] | None = None) -> DataFrame:
+    """1-based row number by columns of any orderable type (inside each
+    ``group``, or over the whole table), NULLs first, without a window that
+    holds a whole group and without a job while the plan is built.
+
+    The key of a row is (group, order, tie); ``tie`` names columns that make
+    rows distinct, by default a hash of the whole row, so a value held by half
+    of the table is still cut.  A sample of keys drawn by hash (its expected
+    size is ``ROWS_PER_BOUND`` per bucket, whatever the table's) gives the
+    bucket bounds as one scalar subquery.  Rows are counted per bucket, the
+    running sum of these counts is the bucket's offset, and a window numbers
+    the rows inside a bucket.  Everything depends on values only, so the
+    numbers hold under column pruning, AQE coalescing and task retries.  Rows
+    equal in all columns are numbered in any order, inside one bucket.
     """
     spark = df.sparkSession
-    group = list(group)
+    group, order = list(group), [order] if isinstance(order, str) else list(order)
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fr = [i / n for i in range(1, n)]
-    if group:
-        bounds = df.groupBy(*group).agg(F.percentile_approx(order, fr, 10000).alias("_bd"))
-        b = df.join(bounds, on=group)
-        b = b.withColumn("_bkt", F.size(F.filter("_bd", lambda x: x < F.col(order)))).drop("_bd")
-    else:
-        vals = df.agg(F.percentile_approx(order, fr, 10000).alias("b")).first()["b"] if fr else []
-        vals = sorted(set(v for v in (vals or []) if v is not None))
-        typ = df.schema[order].dataType.simpleString()
-        barr = F.array(*[F.lit(v) for v in vals]).cast(f"array<{typ}>") if vals else F.array().cast(f"array<{typ}>")
-        b = df.withColumn("_bkt", F.size(F.filter(barr, lambda x: x < F.col(order))))
-    local = b.withColumn("_ln", F.row_number().over(Window.partitionBy(*group, "_bkt").orderBy(order)))
-    counts = b.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy("_bkt").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select(*group, "_bkt", "_off")
-    out = local.join(offs if group else F.broadcast(offs), on=group + ["_bkt"])
-    return out.withColumn(name, (F.col("_off") + F.col("_ln")).cast("long")).drop("_bkt", "_ln", "_off")
+    ties = [F.col(c) for c in tie] if tie else [_row_hash(df)]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(group + order)],
+                   *[c.alias(f"t{i}") for i, c in enumerate(ties)])
+    keyed = df.withColumn("_key", key)
+    # about n * ROWS_PER_BOUND keys: one of every ``step``, drawn by hash
+    step = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / (n * ROWS_PER_BOUND))).alias("s")).scalar()
+    sample = keyed.select("_key").filter(F.pmod(F.xxhash64("_key"), step) == 0).distinct()
+    bounds = sample.agg(F.sort_array(F.collect_list("_key")).alias("b"))
+    bounds = bounds.select(F.expr(f"transform(filter(sequence(1, {n}), i -> i * {ROWS_PER_BOUND} < size(b)), "
+                                  f"i -> b[i * {ROWS_PER_BOUND}])").alias("b")).scalar()
+    b = keyed.withColumn("_bounds", bounds).withColumn(
+        "_bkt", F.get(F.transform(F.array("_key"), lambda k: _n_below(F.col("_bounds"), k, n.bit_length())), 0)).drop("_bounds")
+    cells = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)] + [F.col("_bkt").alias("_ob")]
+    seen = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_ob")
+    offs = b.groupBy(*cells).agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_off", F.sum("_c").over(seen.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
+    local = b.withColumn("_ln", F.row_number().over(Window.partitionBy("_bkt", *group).orderBy("_key"))).drop("_key")
+    same = F.col("_bkt") == F.col("_ob")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = local.join(offs, same)
+    return out.select(*df.columns, (F.col("_off") + F.col("_ln")).cast("long").alias(name))
 
 
 def row_slice(df: DataFrame, order: str, start: int, count: int | None) -> DataFrame:
