@@ -185,3 +185,45 @@ m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
 FROM v JOIN m ON v.vec_id = m.vec_id LEFT JOIN n ON v.vec_id = n.x
 """
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.vectorcodes import vector_codes
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql() -> str:
+    """Plain squared distances to every entry, one table of codebooks per round."""
+    from strophekit.llm.vectorcodes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    def assigned(k: int) -> str:
+        return f"""d{k} AS MATERIALIZED (
+  SELECT x.r, x.part, b.entry, sum((x.x - b.x) * (x.x - b.x))::BIGINT AS dist
+  FROM x JOIN b{k} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT r, part, min(dist) AS dist, arg_min(entry, dist * {ENTRIES} + entry) AS entry FROM d{k} GROUP BY ALL)"""
+
+    rounds = []
+    for k in range(ROUNDS):
+        rounds.append(assigned(k))
+        rounds.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.pos, b.entry, CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END::BIGINT AS x
+  FROM b{k} b LEFT JOIN (SELECT a.part, a.entry, x.pos, sum(x.x)::BIGINT AS s, count(*) AS n FROM a{k} a JOIN x ON a.r = x.r AND a.part = x.part GROUP BY ALL) m
+  ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+f AS (SELECT r, unnest(v) AS e, unnest(range(len(v))) AS i, len(v) // {PARTS} AS w FROM k),
+x AS MATERIALIZED (SELECT r, i // w AS part, i % w AS pos, floor({SCALE} * e)::BIGINT AS x FROM f),
+b0 AS MATERIALIZED (SELECT part, pos, r AS entry, x FROM x WHERE r < {ENTRIES}),
+{", ".join(rounds)},
+{assigned(ROUNDS)},
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM k JOIN c USING (r)
+"""
+
+
+ORACLES["op13_vector_codes"] = _vector_codes_sql()
