@@ -227,3 +227,52 @@ FROM k JOIN c USING (r)
 
 
 ORACLES["op13_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.resample import importance_sample
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _resampling_sql() -> str:
+    """crc32 byte by byte over the distinct features."""
+    def features(name: str, key: str) -> str:
+        return f"""
+{name}w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, {key} AS doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM {"documents" if name == "d" else "benchmark"}),
+{name}p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM {name}w),
+{name}f AS MATERIALIZED (
+  SELECT r, w[i] AS f FROM {name}p UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM {name}p WHERE i < len(w)
+  UNION ALL SELECT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM {name}p WHERE i + 1 < len(w))"""
+
+    return f"""
+WITH RECURSIVE bits(i, k, x) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8),
+{features("d", "doc_id")},
+{features("b", "0")},
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+y AS (SELECT f, list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda j:
+        (instr('0123456789ABCDEF', h[2 * j + 1]) * 16 + instr('0123456789ABCDEF', h[2 * j + 2]) - 17)::BIGINT)) AS l FROM u),
+z AS MATERIALIZED (SELECT f, xor(list_reduce(l, lambda c, e: xor(c >> 8, t[(xor(c, e) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN z USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN z USING (f) GROUP BY bucket),
+g AS MATERIALIZED (
+  SELECT i AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE
+                       / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) q(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM df JOIN z USING (f) JOIN g USING (bucket) GROUP BY r),
+o AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM dw LEFT JOIN m USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS p, count(*) FILTER (n_words >= 20) OVER () AS long FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND p <= 5 * long // 100 THEN p END AS rank FROM k
+"""
+
+
+ORACLES["op12_importance_resampling"] = _resampling_sql()
