@@ -276,3 +276,9 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND p <= 5 * l
 
 
 ORACLES["op12_importance_resampling"] = _resampling_sql()
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophekit.llm.langid import language_predictions
+    return language_predictions(table(spark, sf_dir, "documents"))
