@@ -153,6 +153,23 @@ def _n_below(bounds: Column, x: Column, steps: int) -> Column:
 ROWS_PER_BOUND = 32
 
 
+def _bucketed(df: DataFrame, columns: Sequence[str], n: int, tie: Sequence[str] | None) -> DataFrame:
+    """``df`` with ``_key`` (columns, then tie) and ``_bkt``, one of about ``n``
+    ranges of it that hold even shares of the rows."""
+    ties = [F.col(c) for c in tie] if tie else [_row_hash(df)]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)],
+                   *[c.alias(f"t{i}") for i, c in enumerate(ties)])
+    keyed = df.withColumn("_key", key)
+    # about n * ROWS_PER_BOUND keys: one of every ``step``, drawn by hash
+    step = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / (n * ROWS_PER_BOUND))).alias("s")).scalar()
+    sample = keyed.select("_key").filter(F.pmod(F.xxhash64("_key"), step) == 0).distinct()
+    bounds = sample.agg(F.sort_array(F.collect_list("_key")).alias("b"))
+    bounds = bounds.select(F.expr(f"array_distinct(transform(filter(sequence(1, {n}), i -> i < {n} and size(b) > 0), "
+                                  f"i -> b[cast(i * size(b) div {n} as int)]))").alias("b")).scalar()
+    return keyed.withColumn("_bounds", bounds).withColumn(
+        "_bkt", F.get(F.transform(F.array("_key"), lambda k: _n_below(F.col("_bounds"), k, n.bit_length())), 0)).drop("_bounds")
+
+
 def global_row_index(df: DataFrame, order: str | Sequence[str], name: str = "row_no",
                      n_buckets: int | None = None, group: Sequence[str] = (),
                      tie: Sequence[str] | None = None) -> DataFrame:
@@ -170,21 +187,9 @@ def global_row_index(df: DataFrame, order: str | Sequence[str], name: str = "row
     numbers hold under column pruning, AQE coalescing and task retries.  Rows
     equal in all columns are numbered in any order, inside one bucket.
     """
-    spark = df.sparkSession
     group, order = list(group), [order] if isinstance(order, str) else list(order)
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ties = [F.col(c) for c in tie] if tie else [_row_hash(df)]
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(group + order)],
-                   *[c.alias(f"t{i}") for i, c in enumerate(ties)])
-    keyed = df.withColumn("_key", key)
-    # about n * ROWS_PER_BOUND keys: one of every ``step``, drawn by hash
-    step = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / (n * ROWS_PER_BOUND))).alias("s")).scalar()
-    sample = keyed.select("_key").filter(F.pmod(F.xxhash64("_key"), step) == 0).distinct()
-    bounds = sample.agg(F.sort_array(F.collect_list("_key")).alias("b"))
-    bounds = bounds.select(F.expr(f"transform(filter(sequence(1, {n}), i -> i * {ROWS_PER_BOUND} < size(b)), "
-                                  f"i -> b[i * {ROWS_PER_BOUND}])").alias("b")).scalar()
-    b = keyed.withColumn("_bounds", bounds).withColumn(
-        "_bkt", F.get(F.transform(F.array("_key"), lambda k: _n_below(F.col("_bounds"), k, n.bit_length())), 0)).drop("_bounds")
+    n = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = _bucketed(df, group + order, n, tie)
     cells = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)] + [F.col("_bkt").alias("_ob")]
     seen = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_ob")
     offs = b.groupBy(*cells).agg(F.count(F.lit(1)).alias("_c")).withColumn(

@@ -70,3 +70,12 @@ def test_numbers_hold_when_columns_are_pruned(spark):
     df = spark.createDataFrame(_rows(), "s string, t timestamp, i long, g string").repartition(7)
     numbers = [r[0] for r in R.global_row_index(df, "s").select("row_no").collect()]
     assert sorted(numbers) == list(range(1, 3001))
+
+
+def test_buckets_are_even(spark):
+    """No bucket holds much more than its share, the last one included."""
+    n = 64 * 32 * 2 - 100  # nearly two rows for every sampled key
+    df = spark.range(n).withColumn("s", F.format_string("%05d", "id")).repartition(4)
+    keyed = R._bucketed(df, ["s"], 64, None)
+    sizes = [r["count"] for r in keyed.groupBy("_bkt").count().collect()]
+    assert len(sizes) > 48 and max(sizes) < 3 * n / 64
