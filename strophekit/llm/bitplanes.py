@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from strophekit.llm.common import small_batches
+from strophekit.llm.common import small_batches, task
 from strophekit.llm.tokens import encode_texts
 
 BLOCK_IDS = 1 << 16
-MEMO_CHUNKS = 350_000
 CHUNKS = ("part int, chunk long, first_id long, n_ids int, plane_kind string, planes array<binary>, "
           "doc_ids array<long>, doc_rows array<long>, doc_offsets array<long>, doc_lengths array<long>, doc_totals array<long>")
 PIECES = "part int, doc_row long, doc_id long, first_id long, offset long, length long, total long, crc long"
@@ -120,6 +119,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = _kinds(CHUNKS)
 
+    @task("tokens")
     def chunks(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -127,7 +127,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                for doc_id, got in zip(ids, encode_texts(spec.value, texts, MEMO_CHUNKS)):
+                for doc_id, got in zip(ids, encode_texts(spec.value, texts)):
                     blocks.add(doc_id, np.concatenate((got, tail)))
                 if blocks.done:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in blocks.taken()], kinds)

@@ -3,6 +3,7 @@ and vectorised word hashing."""
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Iterator
 
@@ -38,10 +39,45 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def task_cache() -> dict:
-    """A dictionary that lives as long as the Python worker process, for
-    automata and memo tables that are costly to build."""
-    return sys.__dict__.setdefault("_strophekit_task_cache", {})
+def task_cache(owner: str) -> dict:
+    """A dictionary that a Python worker process keeps for its next tasks, for
+    automata and memo tables that are costly to build.  It holds one operator's
+    entries: when another operator's task comes, they go."""
+    held = sys.__dict__.setdefault("_strophekit_task_cache", {})
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+        release()
+    return held
+
+
+def release() -> None:
+    """Memory that is no longer used goes back to the system, so that a worker
+    which waits for its next task does not hold it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task(owner: str):
+    """Decorator of functions from an iterator of batches to one of results:
+    what other operators left in the worker goes first, and what this task used
+    goes at its end, but for its entries in ``task_cache``."""
+    def around(run):
+        @functools.wraps(run)
+        def wrapped(batches):
+            task_cache(owner)
+            yield from run(batches)
+            release()
+        return wrapped
+    return around
 
 
 def let(value: Column, body) -> Column:

@@ -10,27 +10,29 @@ Myers' bit-parallel algorithm gives the least edit distance of the item to any p
 of that place.
 
 The document side is one narrow pass without a shuffle; all other columns stay in
-the JVM.  Items are sent to the executors in blocks of bounded size, one
-pass per block, so the test set may grow without limit.
+the JVM.  Items are sent to the executors in blocks bounded in number and bytes; with
+several blocks there is one written pass for each, and its finds are united by text.
 
 Null or empty text: no leak.  Null or empty items, also those of punctuation only, match
-nothing.  Repeated items are each reported.  Empty tables on either side: no leak.
+nothing.  An item without an id is reported with a null id.  Repeated items are each reported; so are
+items of one letter, inside any word.  Empty tables on either side: no leak.
 The added column is ``leaks`` (name is a parameter): ``item_id`` and ``errors``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import small_batches, task_cache
+from strophekit.llm.common import small_batches, task, task_cache, written
 
 ERROR_PERCENT = 8
 BLOCK_ITEMS = 2_000
-KEPT_MATCHERS = 4  # automata a worker holds at once
+BLOCK_BYTES = 2 << 20  # of items in one automaton
 LEAKS = "array<struct<item_id: long, errors: int>>"
 PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -122,39 +124,54 @@ class Matcher:
                     begin, end = s - budget, s + len(item) + budget
             if best <= budget:
                 found.append((item_id, best))
-        return sorted(found)
+        return sorted(found, key=lambda f: (f[0] is not None, f))
 
 
 def _leaks_udf(shared, percent: int):
     name = uuid.uuid4().hex
 
-    def leaks(texts: pd.Series) -> pd.Series:
-        cache = task_cache()
-        key = ("matcher", name)
-        if key not in cache:
-            held = [k for k in cache if k[0] == "matcher"]
-            for old in held[:len(held) - KEPT_MATCHERS + 1]:
-                del cache[old]
-            cache[key] = Matcher(shared.value, percent)
-        return pd.Series([[{"item_id": i, "errors": e} for i, e in cache[key].leaks(t)] for t in texts], dtype=object)
+    @task("decontamination")
+    def leaks(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = task_cache("decontamination")
+        if cache.get("name") != name:
+            cache["name"], cache["matcher"] = name, Matcher(shared.value, percent)
+        matcher = cache["matcher"]
+        for texts in columns:
+            yield pd.Series([[{"item_id": i, "errors": e} for i, e in matcher.leaks(t)] for t in texts], dtype=object)
 
     return F.pandas_udf(leaks, LEAKS)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", percent: int = ERROR_PERCENT,
-               block_items: int = BLOCK_ITEMS) -> DataFrame:
+               block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one more column: the test items that each text holds."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
-        "item_id is not null and text is not null and length(text) > 0")
-    blocks = max(1, -(-items.count() // block_items))
-    found = []
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and length(text) > 0")
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-n // block_items), -(-(size or 0) // block_bytes))
+
+    def matched(block: int) -> Column:
+        # about block_items rows and block_bytes at most, besides a single item longer than that
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        return _leaks_udf(spark.sparkContext.broadcast([tuple(r) for r in some.collect()]), percent)(F.col("text"))
+
+    if blocks == 1:
+        return docs.withColumn(column, matched(0))
+    # One written pass for each block, of the texts that hold something; what is found depends on
+    # the text alone, so it is brought back by the text's hash.
+    name = uuid.uuid4().hex
+    keys = [F.xxhash64("text").alias(f"a_{name}"), F.xxhash64(F.lit(name), "text").alias(f"b_{name}")]
+    ids = [f"a_{name}", f"b_{name}"]
+    found = None
     for block in range(blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)  # about block_items rows
-        shared = spark.sparkContext.broadcast([tuple(r) for r in some.collect()])
-        found.append(_leaks_udf(shared, percent)(F.col("text")))
-    return docs.withColumn(column, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+        some = docs.select(*keys, "text").withColumn("leak", matched(block)).filter(F.size("leak") > 0).select(*ids, "leak")
+        some = written(some.distinct(), "leaks")
+        found = some if found is None else found.unionByName(some)
+    found = found.groupBy(*ids).agg(F.array_sort(F.flatten(F.collect_list("leak"))).alias(f"l_{name}"))
+    none = F.array().cast(found.schema[f"l_{name}"].dataType)
+    out = docs.select("*", *keys).join(found, ids, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(f"l_{name}"), none).alias(column))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import mix64, shingle_hashes, small_batches, word_hashes, written
+from strophekit.llm.common import mix64, shingle_hashes, small_batches, task, word_hashes, written
 from strophekit.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -87,6 +87,7 @@ def sketch(members: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    @task("near_duplicates")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             counts, ids, signatures = [], [], []
@@ -118,6 +119,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 def index_rows(classes: DataFrame) -> DataFrame:
     """``key, slot, doc``: one row per class and key; the slot says which chunk
     and which left-out value the key stands for."""
+    @task("near_duplicates")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             s = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, VALUES)
@@ -129,6 +131,7 @@ def index_rows(classes: DataFrame) -> DataFrame:
 
 def signature_words(classes: DataFrame) -> DataFrame:
     """``doc, n`` and the signature as one long per chunk."""
+    @task("near_duplicates")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             s = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, VALUES).astype(np.uint64)
@@ -172,6 +175,7 @@ def _slot_columns(rows: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
+    @task("near_duplicates")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = []
@@ -202,6 +206,7 @@ def _sketch_distance(percent: int) -> int:
 
 def _sketches(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """``doc`` and the sketch, for the documents of ``rows``."""
+    @task("near_duplicates")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             words = [sketch(np.frombuffer(m, np.uint64)) for m in frame["members"]]

@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from strophekit.llm.common import POSITION_FACTOR, mix64, small_batches, written
+from strophekit.llm.common import POSITION_FACTOR, mix64, small_batches, task, written
 from strophekit.llm.tokens import encode_texts
 
 WINDOW = 1024
 SHARD_DOCS = 2048
 BLOCK_DOCS = 2048  # rests whose words are counted together
-MEMO_CHUNKS = 350_000
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FULL, REST, VOCABULARY = 0, 1, 2  # kinds of encoded rows
@@ -204,6 +203,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
         term, held = np.unique(np.concatenate(terms), return_counts=True)
         return (None, 0, 0, 0, 0, 0, 0, VOCABULARY, block, 0, term.tobytes(), False, held.astype("<i8").tobytes(), 0)
 
+    @task("tokens")
     def encode(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
         base, row_no, sequence, rest_no = TaskContext.get().partitionId() << 33, 0, 0, 0
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
             for at in range(0, batch.num_rows, 512):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
                 rows, rests = [], []
-                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts, MEMO_CHUNKS)):
+                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts)):
                     ids = np.concatenate((ids, end))
                     full = len(ids) // window * window
                     for start in range(0, full, window):
@@ -265,6 +265,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
         columns += [routing_word(doc, term, frequency, n, k) for k in (least, 2)]
         return pa.Table.from_batches([batch_of(zip(*columns), ROUTED)])
 
+    @task("packing")
     def pack_part(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]

@@ -16,12 +16,14 @@ are rows of their own.  Empty table: empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import IS_SPACE, crc_fold, mix64, run_hashes, small_batches, space_blocks
+from strophekit.llm.common import IS_SPACE, crc_fold, mix64, release, run_hashes, small_batches, space_blocks, task, task_cache
 
 BITS = 20
 TRAIN_DOCS = 16_000
@@ -101,9 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
     sample = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        task_cache("quality")
         frame = frame.sort_values("doc_id", key=lambda ids: mix64(ids.to_numpy(np.int64).view(np.uint64)), kind="stable")
         w, bias = train(frame["text"].tolist(), frame["y"].tolist())
         at = np.flatnonzero(w)
+        release()
         return pd.DataFrame({"rows": [len(frame)], "places": [at], "weights": [w[at]], "bias": [bias]})
 
     shards = sample.groupBy("shard").applyInPandas(run, "rows long, places array<long>, weights array<double>, bias double").collect()
@@ -120,15 +124,17 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray, float]):
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^20 weights at most
 
-    def score(texts: pd.Series) -> pd.Series:
+    @task("quality")
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, weights, bias = shared.value
         w = np.zeros(1 << BITS)
         w[at] = weights
-        out = []
-        for text in texts:
-            places, values = vector(text)
-            out.append(float(sigmoid(w[places] @ values + bias)))
-        return pd.Series(out, dtype="float64")
+        for texts in columns:
+            out = []
+            for text in texts:
+                places, values = vector(text)
+                out.append(float(sigmoid(w[places] @ values + bias)))
+            yield pd.Series(out, dtype="float64")
 
     return F.pandas_udf(score, "double")
 

@@ -14,8 +14,9 @@ import numpy as np
 
 from strophekit.llm.common import task_cache
 
-MEMO_CHUNKS = 250_000  # per generation and worker; two generations are kept
-TEXT_BYTES = 24 << 20  # of texts and their ids kept per worker
+MEMO_BYTES = 48 << 20  # per generation and worker; two generations are kept
+ENTRY_BYTES = 200      # of an entry besides its characters and ids
+TEXT_BYTES = 16 << 20  # of texts and their ids kept per worker
 # White space besides the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
 ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
@@ -36,44 +37,19 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """Ids of chunks, as bytes; a chunk not held is encoded.  Two bounded
-    generations: what is used moves to the young one, and when that is full the old one
-    is dropped.
+    """Ids of chunks, as bytes; a chunk not held is encoded.
 
     A chunk that starts with a line feed or NUL (the mark of a text's first chunk) stands at a
     line's or text's start, any other one after a space.  A word of letters is one
     pre-token, and punctuation behind it is another, so such words go to the library's
     model directly and are shared by all chunks that hold them; other chunks go
-    through the whole library."""
+    through the whole library.  What ``old``, the generation before, holds is taken from it."""
 
-    def __init__(self, tok, size: int):
+    def __init__(self, tok, old: dict):
         super().__init__()
-        self.tok, self.tokenize, self.size, self.old = tok, tok.model.tokenize, size, {}
+        self.tok, self.tokenize, self.old, self.bytes = tok, tok.model.tokenize, old, 0
         self.letters = dict(enumerate(byte_letters()))
         self.line_feed = self.encode("\n")
-        self.texts: dict[str, bytes] = {}
-        self.held = 0
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text; copies that come soon after it are not encoded again."""
-        ids = self.texts.get(text)
-        if ids is None:
-            if crowded(text):
-                ids = self.encode(text)
-            else:
-                self.renew()
-                ids = b"".join(map(self.__getitem__, ("\0" + text).replace("\n", " \n").split(" "))) if text else b""
-            if self.held > TEXT_BYTES:
-                self.texts, self.held = {}, 0
-            self.texts[text] = ids
-            self.held += len(text) + len(ids)
-        return ids
-
-    def renew(self) -> None:
-        """To be called between texts."""
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -90,6 +66,7 @@ class Memo(dict):
             else:
                 ids = self.parts(chunk)
         self[chunk] = ids
+        self.bytes += ENTRY_BYTES + len(chunk) + len(ids)
         return ids
 
     def parts(self, chunk: str) -> bytes:
@@ -111,16 +88,46 @@ class Memo(dict):
         return self.encode(body)
 
 
-def load_tokenizer(spec: str, memo_chunks: int = MEMO_CHUNKS):
-    """The tokenizer of a JSON ``spec`` and its memo, once per worker process.
-    Control strings inside a text are ordinary text, never control ids."""
-    cache = task_cache()
-    key = ("tokenizer", hash(spec), memo_chunks)
-    if key not in cache:
+class Encoder:
+    """Ids of whole texts.  Chunks are remembered in two generations bounded in bytes:
+    what is used moves to the young one, and when that is full the old one goes."""
+
+    def __init__(self, spec: str, memo_bytes: int, control_ids: bool):
         from tokenizers import Tokenizer
-        tok = Tokenizer.from_str(spec)
-        tok.encode_special_tokens = True
-        cache[key] = (tok, Memo(tok, memo_chunks))
+        self.tok = Tokenizer.from_str(spec)
+        self.tok.encode_special_tokens = not control_ids
+        # strings that the library takes for one id wherever they stand
+        self.controls = [t.content for t in self.tok.get_added_tokens_decoder().values() if control_ids or not t.special]
+        self.memo_bytes, self.memo = memo_bytes, Memo(self.tok, {})
+        self.texts: dict[str, bytes] = {}
+        self.held = 0
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text; copies that come soon after it are not encoded again."""
+        ids = self.texts.get(text)
+        if ids is None:
+            if crowded(text) or any(c in text for c in self.controls):
+                ids = self.memo.encode(text)
+            else:
+                if self.memo.bytes > self.memo_bytes:  # between texts
+                    self.memo.old = {}
+                    self.memo = Memo(self.tok, self.memo)
+                ids = b"".join(map(self.memo.__getitem__, ("\0" + text).replace("\n", " \n").split(" "))) if text else b""
+            if self.held > TEXT_BYTES:
+                self.texts, self.held = {}, 0
+            self.texts[text] = ids
+            self.held += len(text) + len(ids)
+        return ids
+
+
+def load_tokenizer(spec: str, memo_bytes: int = MEMO_BYTES, control_ids: bool = True) -> Encoder:
+    """The encoder of a JSON ``spec``, once per worker process.  Control strings inside a
+    text are their control ids, as the library has it, or with
+    ``control_ids=False`` ordinary text."""
+    cache = task_cache("tokens")
+    key = (hash(spec), memo_bytes, control_ids)
+    if key not in cache:
+        cache[key] = Encoder(spec, memo_bytes, control_ids)
     return cache[key]
 
 
@@ -131,7 +138,7 @@ def crowded(text: str) -> bool:
             or "\0" in text or "\1" in text or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)))
 
 
-def encode_texts(spec: str, texts: list[str], memo_chunks: int = MEMO_CHUNKS) -> list[np.ndarray]:
+def encode_texts(spec: str, texts: list[str], memo_bytes: int = MEMO_BYTES, control_ids: bool = True) -> list[np.ndarray]:
     """Ids of each text as ``uint32`` arrays, equal to encoding whole texts."""
-    memo = load_tokenizer(spec, memo_chunks)[1]
-    return [np.frombuffer(memo.whole(text), "<u4") for text in texts]
+    encoder = load_tokenizer(spec, memo_bytes, control_ids)
+    return [np.frombuffer(encoder.whole(text), "<u4") for text in texts]

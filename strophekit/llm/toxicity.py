@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophekit.llm.common import crc_fold, mix64, run_hashes, small_batches, space_blocks, written
+from strophekit.llm.common import crc_fold, mix64, run_hashes, small_batches, space_blocks, task, written
 
 FOLDS, HELD_OUT, TOXIC = 5, 0, 0.5
 LEXICON_FOLDS = (1, 2)
@@ -198,6 +198,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, LEXICON_FOLDS, LEXICON_DOCS, "lexicon")
 
+    @task("toxicity")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             by = {0: [], 1: []}
@@ -229,9 +230,11 @@ def _features(spark, lexicon):
     small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # LEXICON_TERMS entries at most
 
-    def run(texts: pd.Series) -> pd.Series:
+    @task("toxicity")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         extractor = Extractor(shared.value)
-        return pd.Series([extractor.features(t) for t in texts], dtype=object)
+        for texts in columns:
+            yield pd.Series([extractor.features(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "array<double>")
 
@@ -249,6 +252,8 @@ class Model:
         x, raw, p, label, iso = (f"{n}_{uuid.uuid4().hex}" for n in ("x", "raw", "p", "label", "iso"))
         names = docs.columns
         out = _with_raw(docs, self.lexicon, self.trees, x, raw, p, label)
+        if self.calibration is None:
+            return out.select(*[F.col(f"`{n}`") for n in names], F.col(p).alias(column))
         out = self.calibration.copy().setFeaturesCol(p).setPredictionCol(iso).transform(out)
         return out.select(*[F.col(f"`{n}`") for n in names], ((1 - BLEND) * F.col(iso) + BLEND * F.col(p)).alias(column))
 
@@ -274,8 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     kinds = {(r["calibrate"], r["y"]): r["count"] for r in rows.groupBy("calibrate", "y").count().collect()}
     total = sum(kinds.values())
     share = sum(n for (_, y), n in kinds.items() if y == 1) / total if total else 0.0
-    if len(kinds) < 4:
+    if len({y for _, y in kinds}) < 2:
         return Model(lexicon, None, None, share)
+    if len(kinds) < 4:  # too few labels to set some of each kind apart
+        trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=2).fit(rows.coalesce(2))
+        return Model(lexicon, trees, None, share)
     trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=2).fit(
         rows.filter("not calibrate").coalesce(2))
     raw = trees.transform(rows.filter("calibrate"))
@@ -294,4 +302,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted to be toxic, all columns as they were."""
     mark = "toxicity_" + uuid.uuid4().hex
-    return fit(docs, labels).with_score(docs, mark).filter(F.col(mark) < TOXIC).drop(mark)
+    model = fit(docs, labels)
+    if model.trees is None:  # nothing tells documents apart: all stay
+        return docs
+    return model.with_score(docs, mark).filter(F.col(mark) < TOXIC).drop(mark)

@@ -126,7 +126,7 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fall
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = task_cache()
+        cache = task_cache("viterbi")
         key = ("viterbi", hash(tuple(shared.value)), byte_fallback)
         if key not in cache:
             cache[key] = Counter(shared.value, byte_fallback)

@@ -152,9 +152,10 @@ def test_leaks_odd_tables_and_blocks(spark):
     one = decontam.with_leaks(frame(spark), bench, "found").select("doc_id", "found").collect()
     blocks = decontam.with_leaks(frame(spark), bench, "found", block_items=1).select("doc_id", "found").collect()
     assert sorted(map(str, one)) == sorted(map(str, blocks))
-    assert {r["doc_id"] for r in one if r["found"]} == {1, 5, None}
+    # the item without an id, a single x, stands in two more documents
+    assert {r["doc_id"] for r in one if r["found"]} == {1, 5, 7, 9, None}
     kept = decontam.clean(frame(spark), bench)
-    assert kept.columns == frame(spark).columns and kept.count() == len(odd_documents()) - 4
+    assert kept.columns == frame(spark).columns and kept.count() == len(odd_documents()) - 6
     assert decontam.clean(frame(spark), bench.limit(0)).count() == len(odd_documents())
     assert decontam.clean(frame(spark, []), bench).count() == 0
 
@@ -172,3 +173,17 @@ def test_brief_notices(spark):
         licenses.with_licenses(frame(spark), brief={"none": "..."})
     told = queries.op6_license_scan_with_brief(spark, "/root/testdata/sf0.1").filter("licenses = 'all-rights-reserved'")
     assert told.count() == 66
+
+
+def test_items_without_an_id_and_blocks_by_bytes(spark):
+    item = "a passage of some length that stands in the test set as it is"
+    bench = spark.createDataFrame([(None, item), (7, "quite another sentence which the second block may hold"), (8, "!!"), (None, None)],
+                                  "item_id long, text string")
+    docs = [(1, "so " + item + " end"), (2, "quite another sentence which the second block may hold"), (3, "clean"), (1, "so " + item + " end"), (None, None)]
+    rows = frame(spark, [(i, t, *[None] * 8) for i, t in docs])
+    want = [(1, [None]), (1, [None]), (2, [7]), (3, []), (None, [])]
+    for size in (1 << 20, 8):
+        got = decontam.with_leaks(rows, bench, "found", block_bytes=size)
+        assert got.columns == [*rows.columns, "found"]
+        assert sorted(((r["doc_id"], [x["item_id"] for x in r["found"]]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(r["doc_id"] or 0 for r in decontam.clean(rows, bench).collect()) == [0, 3]

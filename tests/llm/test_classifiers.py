@@ -74,3 +74,13 @@ def test_vector_is_of_unit_length():
     at, x = quality.vector("the cat, the cat")
     assert abs(x @ x - 1) < 1e-9 and len(set(at)) == len(at)
     assert len(quality.vector(None)[0]) == 0
+
+
+def test_few_labels_of_both_kinds_train_and_none_keep_all(spark):
+    """An empty cell of fold and label neither stops training nor drops documents."""
+    docs = [(i, "you idiot fool" if i % 3 == 0 else "a calm walk by the sea", "en", "s", 0, 0.0, 0, 0, 0, "g") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(12)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in toxicity.accepted(frame(spark, docs), labels).collect()}
+    assert {i for i in range(40) if i % 3} <= kept
+    one = spark.createDataFrame([(i, 1, 1) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert toxicity.accepted(frame(spark, docs), one).count() == 40

@@ -22,7 +22,6 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 def whole():
     tok = Tokenizer.from_file(FILE)
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -37,8 +36,14 @@ def test_encoder_equals_the_library():
     with open(FILE, encoding="utf-8") as f:
         spec = f.read()
     encode = whole()
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\nz"]
     for text, got in zip(texts, encode_texts(spec, texts)):
         assert got.tolist() == encode(text), repr(text)
+    small = 1 << 14  # generations change often
+    for text, got in zip(texts, encode_texts(spec, texts, small)):
+        assert got.tolist() == encode(text), repr(text)
+    plain = encode_texts(spec, ["a <|endoftext|> b"], control_ids=False)[0]
+    assert 50256 not in plain.tolist() and 50256 in encode("a <|endoftext|> b")
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
