@@ -214,9 +214,9 @@ def stanzas_from_rows(df: DataFrame, keys: Sequence[str], order_col: str,
     st = df.select(*keys, F.col(order_col).alias("_o"),
                    F.col(keyword_col).alias("keyword"), lines.alias("lines"))
     st = st.filter(F.size("lines") > 0)
-    w = Window.partitionBy(*keys).orderBy("_o")
-    return st.select(*keys, (F.row_number().over(w) - 1).cast("int").alias("pos"),
-                     "keyword", "lines")
+    from strophekit.operators.relational import position_index
+    return position_index(st, keys, "_o", "_n").select(*keys, (F.col("_n") - 1).cast("int").alias("pos"),
+                                                       "keyword", "lines")
 
 
 def stanza_matching(stanzas: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from strophekit.functions import syllables as SY
 from strophekit.functions.text import prep_encoding
 from strophekit.operators import encode as EN
 from strophekit.operators import measures as M
-from strophekit.plans.catalog import r6, register, table
+from strophekit.operators.structure import non_blank_lines, normalise_text
+from strophekit.plans.catalog import ORACLES, r6, register, table
 from strophekit.plans.q_songs import SONG_MEAN, SQL_STANZAS, conversation_songs
 
 _V = "('e', 'a', 'o', 'u', 'i')"
@@ -274,3 +275,27 @@ pscore AS (SELECT id, pos1, pos2, levenshtein({_PHON_CODE.format(x='p1')}, {_PHO
 def q_phonetics(spark, sf_dir):
     """Edit distance of the lines' phoneme syllables."""
     return _scored_with_lexica(spark, sf_dir, "phonetics")
+
+
+# --- X1 from stanza rows, songs spread over tasks: both sides, every measure that SQL can state
+TILED = ("string_similarity", "head_similarity", "tail_similarity", "meter", "syllable_offset0", "diversity", "diversity_avg_ttr")
+
+
+def _tiled_sql() -> str:
+    cells = [ORACLES[f"{m}_by_song"] for m in ("string_similarity", "head_similarity", "tail_similarity", "meter",
+                                               "syllable_offset0", "diversity_mtld", "diversity_avg_ttr")]
+    rows = " UNION ALL ".join(f"SELECT id, measure, score, n_pairs, score_100 FROM ({c}) c{i}" for i, c in enumerate(cells))
+    return f"SELECT id, side, measure, score, n_pairs, score_100 FROM ({rows}) r, (VALUES ('pred'), ('target')) v(side)"
+
+
+@register("scored_songs_tiled", _tiled_sql())
+def q_scored_songs_tiled(spark, sf_dir):
+    """The second side is the text in capitals, which folding undoes."""
+    conv = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "id")
+    conv = conv.withColumn("side", F.lit("pred")).unionByName(conv.withColumn("side", F.lit("target")).withColumn("text", F.upper("text")))
+    keys = ["id", "side"]
+    stanzas = conv.select(*keys, F.col("turn").alias("pos"), F.col("role").alias("keyword"),
+                          non_blank_lines(normalise_text(F.col("text"))).alias("lines")).filter(F.size("lines") > 0)
+    s = M.score_stanza_tiles(stanzas, conv, keys, TILED)
+    return s.select(*keys, "measure", r6(F.col("score")).alias("score"), "n_pairs",
+                    r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
