@@ -174,7 +174,7 @@ def gram_tokens(text: Column) -> Column:
 
 
 def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[int],
-               common: Sequence[str] | None = None, sentinel: bool = False) -> DataFrame:
+               common: Sequence[str] | None = None) -> DataFrame:
     """Distinct n-grams of every text, for each n; grams made only of common
     words (and blanks) are dropped.  ``(keys, n, gram)``.
 
@@ -182,8 +182,7 @@ def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[
     over the tokens; the "all common" test runs the same window over a
     per-token flag ('1' common, '0' not), so a gram is kept when its flag
     gram holds a '0'.  Grams are strings before ``array_distinct`` (a hash
-    set).  With ``sentinel`` every (text, n) also gets one NULL gram, so
-    later counts need no grid join."""
+    set)."""
     from pyspark.ml.feature import NGram
     keys = list(keys)
     d = df.select(*keys, tokens.alias("_tok"))
@@ -202,10 +201,7 @@ def doc_ngrams(df: DataFrame, keys: Sequence[str], tokens: Column, ns: Sequence[
                             lambda g: g.isNotNull())
         else:
             kept = F.col(f"_g{n}")
-        arr = F.array_distinct(kept)
-        if sentinel:
-            arr = F.concat(arr, F.array(F.lit(None).cast("string")))
-        per_n.append(F.struct(F.lit(n).alias("n"), arr.alias("g")))
+        per_n.append(F.struct(F.lit(n).alias("n"), F.array_distinct(kept).alias("g")))
     ex = d.select(*keys, F.inline_outer(F.array(*per_n)))
     return ex.select(*keys, "n", F.explode("g").alias("gram"))
 
@@ -220,14 +216,16 @@ def ngram_overlap(texts: DataFrame, keys: Sequence[str], text_col: str, corpus:
     # The common-word filter is applied to the corpus grams only: a text
     # gram made of common words can never equal a kept corpus gram, so
     # filtering the (much larger) text side as well changes no count.
-    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, None, sentinel=True)
+    mine = doc_ngrams(texts, keys, gram_tokens(ngram_key(F.col(text_col))), ns, None)
     theirs = doc_ngrams(corpus.select(F.monotonically_increasing_id().alias("_cid"), corpus_text_col),
                         ["_cid"], gram_tokens(ngram_key(F.col(corpus_text_col), keep_brackets=True)),
-                        ns, common).select("n", "gram").distinct().withColumn("_hit", F.lit(1))
-    # Left join + sum: the NULL sentinel gram keeps texts without any shared
-    # gram (count 0) without a second scan or a grid join.
-    j = mine.join(theirs, on=["n", "gram"], how="left")
-    return j.groupBy(*keys, "n").agg(F.sum(F.coalesce("_hit", F.lit(0))).cast("long").alias("shared"))
+                        ns, common).select("n", "gram").distinct()
+    # A semi-join: Spark may drop grams that the corpus does not hold before the exchange
+    # (runtime bloom filter), and a gram that very many texts hold can be split, since no row is
+    # made on the corpus side.  Texts without a shared gram come from a narrow scan of the keys.
+    hits = mine.join(theirs, on=["n", "gram"], how="left_semi").select(*keys, "n", F.lit(1).cast("long").alias("_hit"))
+    none = texts.select(*keys, F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"), F.lit(0).cast("long").alias("_hit"))
+    return hits.unionByName(none).groupBy(*keys, "n").agg(F.sum("_hit").alias("shared"))
 
 
 # --- A10 / A11 ------------------------------------------------------------------------

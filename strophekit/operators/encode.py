@@ -1,10 +1,9 @@
 """Line-encoding jobs (E1-E8, J7): tokens -> feature tables.
 
-Shared plan: lines -> tokens with position -> distinct tokens -> lexicon
-join (broadcast only below a checked row bound) -> rule on the misses ->
-join back -> reassemble by position.  A word is computed once for the
-corpus, not once per occurrence.  Lexica are inputs (none ships with the
-reference); an absent lexicon means the rule alone.
+Shared plan: the distinct words of a row are looked up in the lexicon (a
+salted join), what is found comes back as one map column, and the row's
+occurrences read that map in place, with the rule for the misses.  Lexica are
+inputs; an absent lexicon means the rule alone.
 """
 
 from __future__ import annotations
@@ -42,21 +41,42 @@ def syllables_with_lexicon(words: DataFrame, word_col: str, lexicon: DataFrame |
                     F.col("_lw").isNotNull().alias("from_lexicon"))
 
 
+SALTS = 16
+
+
+def with_word_map(rows: DataFrame, keys: Sequence[str], words: Column, lexicon: DataFrame, value: Column,
+                  name: str) -> DataFrame:
+    """``rows`` with a map column: the lexicon's ``value`` of each of the row's ``words``
+    that it holds (NULL when it holds none).
+
+    Only distinct (row, word) pairs meet the lexicon, and a word that nearly every
+    row holds is dealt over ``SALTS`` places; no occurrence is shuffled by its word.
+    A word that the lexicon lists more than once has its least value."""
+    keys = list(keys)
+    asked = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.array_distinct(words)).alias("_w"))
+    asked = asked.withColumn("_s", F.pmod(F.xxhash64(*[f"_k{i}" for i in range(len(keys))]), F.lit(SALTS)).cast("int"))
+    known = lexicon.select(F.col("word").alias("_w"), value.alias("_v")).groupBy("_w").agg(F.min("_v").alias("_v"))
+    known = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = asked.join(known, on=["_w", "_s"]).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(
+        F.map_from_entries(F.collect_set(F.struct("_w", "_v"))).alias(name))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(found, same, "left").select(*rows.columns, name)
+
+
 def line_syllables(lines: DataFrame, keys: Sequence[str], line_col: str,
                    lexicon: DataFrame | None = None) -> DataFrame:
     """E5: per line, the syllable count of each word and their total."""
     keys = list(keys)
+    toks = tokens(F.col(line_col))
     if lexicon is None:
-        enc = F.transform(tokens(F.col(line_col)), syllable_rule)
-        out = lines.select(*keys, enc.alias("syllables"))
-        return out.withColumn("total", F.aggregate("syllables", F.lit(0), lambda a, x: a + x))
-    tok = lines.select(*keys, F.posexplode_outer(tokens(F.col(line_col))).alias("_p", "word"))
-    words = tok.select("word").filter(F.col("word").isNotNull()).distinct()
-    counted = syllables_with_lexicon(words, "word", lexicon).select("word", "syllables")
-    j = tok.join(counted, on="word", how="left")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.when(F.col("_p").isNotNull(), F.struct("_p", "syllables")))).alias("_s"))
-    out = g.select(*keys, F.transform("_s", lambda s: s["syllables"]).alias("syllables"))
+        enc = F.transform(toks, syllable_rule)
+    else:
+        lines = with_word_map(lines, keys, toks, lexicon, F.col("num_syllables").cast("int"), "_syl")
+        none = F.array().cast("array<string>")
+        enc = F.transform(F.coalesce(toks, none), lambda w: F.coalesce(F.try_element_at("_syl", w), syllable_rule(w)))
+    out = lines.select(*keys, enc.alias("syllables"))
     return out.withColumn("total", F.aggregate("syllables", F.lit(0), lambda a, x: a + x))
 
 
@@ -85,82 +105,35 @@ def pronunciation_table(lexicon: DataFrame) -> DataFrame:
                           phoneme_syllables(F.col("phonemes")).alias("phon_syllables"))
 
 
-def line_phonetics(lines: DataFrame, keys: Sequence[str], line_col: str, lexicon: DataFrame) -> DataFrame:
-    """E8 per line: keep word characters, spaces and apostrophes, split on
-    spaces, look words up lower-cased, unknown words skipped; the line's
-    syllables as one array."""
-    keys = list(keys)
-    clean = F.regexp_replace(F.col(line_col), r"[^\w\s']", "")
+def _phonetic_words(line: Column) -> Column:
+    clean = F.regexp_replace(line, r"[^\w\s']", "")
     clean = F.regexp_replace(F.translate(clean, ",.!", ""), r"^\s+|\s+$", "")
-    tok = lines.select(*keys, F.posexplode_outer(F.split(clean, " ", -1)).alias("_p", "_w"))
-    tok = tok.withColumn("word", F.lower("_w"))
-    pron = pronunciation_table(lexicon).select("word", "phon_syllables")
-    j = tok.join(pron, on="word", how="left")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.when(F.col("phon_syllables").isNotNull(), F.struct("_p", "phon_syllables")))).alias("_s"))
-    return g.select(*keys, F.flatten(F.transform("_s", lambda s: s["phon_syllables"])).alias("phonemes"))
+    return F.transform(F.split(clean, " ", -1), F.lower)
 
 
-# --- lexicon-driven stanza encodings (E4-E8 for M6, M7, M15) -------------------------
-PHON_SEP = "\u001f"  # joins a line's phoneme syllables into one comparable symbol
+def _phonemes_of(line: Column, pron: str) -> Column:
+    """The phoneme syllables of a line's known words, one after another."""
+    return F.flatten(F.filter(F.transform(_phonetic_words(line), lambda w: F.try_element_at(pron, w)["phon_syllables"]),
+                              lambda p: p.isNotNull()))
 
 
-def _meter_token_table(lines: DataFrame, keys: list[str], pron: DataFrame | None,
-                       syl: DataFrame | None, stem: DataFrame | None) -> DataFrame:
-    from strophekit.operators.measures import stress_tokens
-    t = lines.select(*keys, "si", "li", F.posexplode_outer(stress_tokens(F.col("line"))).alias("ti", "tok"))
-    if stem is not None:
-        st = stem.select(F.col("word").alias("tok"), F.col("value").alias("_stem"))
-        t = t.join(st, on="tok", how="left")
-        keep = F.col("tok").endswith("ing") | F.col("tok").endswith("ly")
-        t = t.withColumn("w", F.when(keep, F.col("tok")).otherwise(F.coalesce("_stem", "tok")))
-    else:
-        t = t.withColumn("w", F.col("tok"))
-    if pron is not None:
-        pt = pronunciation_table(pron).select(F.col("word").alias("w"), "stress")
-        t = t.join(pt, on="w", how="left")
-    else:
-        t = t.withColumn("stress", F.lit(None).cast("string"))
-    if syl is not None:
-        sl = syl.select(F.col("word").alias("w"), F.col("num_syllables").alias("_n"))
-        t = t.join(sl, on="w", how="left")
-    else:
-        t = t.withColumn("_n", F.lit(None).cast("int"))
-    zeros = F.repeat(F.lit("0"), F.coalesce(F.col("_n"), syllable_rule(F.col("w"))))
-    val = F.when(F.col("tok").isNull(), F.lit(None)).otherwise(F.coalesce("stress", zeros))
-    return t.select(*keys, "si", "li", F.lit("m").alias("kind"), "ti", val.alias("s_val"),
-                    F.lit(None).cast("int").alias("i_val"), F.lit(None).cast("array<string>").alias("a_val"))
-
-
-def _syllable_token_table(lines: DataFrame, keys: list[str], syl: DataFrame | None) -> DataFrame:
-    t = lines.select(*keys, "si", "li", F.posexplode_outer(tokens(F.col("line"))).alias("ti", "tok"))
-    if syl is not None:
-        sl = syl.select(F.col("word").alias("tok"), F.col("num_syllables").alias("_n"))
-        t = t.join(sl, on="tok", how="left")
-    else:
-        t = t.withColumn("_n", F.lit(None).cast("int"))
-    cnt = F.when(F.col("tok").isNull(), F.lit(None)).otherwise(F.coalesce("_n", syllable_rule(F.col("tok"))))
-    return t.select(*keys, "si", "li", F.lit("s").alias("kind"), "ti", F.lit(None).cast("string").alias("s_val"),
-                    cnt.cast("int").alias("i_val"), F.lit(None).cast("array<string>").alias("a_val"))
+def _pronunciation() -> Column:
+    """A pronunciation lexicon's value: stress digits and phoneme syllables."""
+    return F.struct(stress_of(F.col("phonemes")).alias("stress"), phoneme_syllables(F.col("phonemes")).alias("phon_syllables"))
 
 
-def _phonetic_token_table(lines: DataFrame, keys: list[str], pron: DataFrame) -> DataFrame:
-    clean = F.regexp_replace(F.col("line"), r"[^\w\s']", "")
-    clean = F.regexp_replace(F.translate(clean, ",.!", ""), r"^\s+|\s+$", "")
-    t = lines.select(*keys, "si", "li", F.posexplode_outer(F.split(clean, " ", -1)).alias("ti", "tok"))
-    pt = pronunciation_table(pron).select("word", "phon_syllables")
-    t = t.withColumn("word", F.lower("tok")).join(pt, on="word", how="left")
-    return t.select(*keys, "si", "li", F.lit("p").alias("kind"), "ti", F.lit(None).cast("string").alias("s_val"),
-                    F.lit(None).cast("int").alias("i_val"), F.col("phon_syllables").alias("a_val"))
+def line_phonetics(lines: DataFrame, keys: Sequence[str], line_col: str, lexicon: DataFrame) -> DataFrame:
+    """E8 per line: keep word characters, spaces and apostrophes, split on
+    spaces, look words up lower-cased, unknown words skipped; the line's
+    syllables as one array."""
+    keys = list(keys)
+    none = F.array().cast("array<string>")
+    rows = with_word_map(lines, keys, F.coalesce(_phonetic_words(F.col(line_col)), none), lexicon, _pronunciation(), "_pron")
+    return rows.select(*keys, F.coalesce(_phonemes_of(F.col(line_col), "_pron"), none).alias("phonemes"))
 
 
-def _diversity_token_table(st: DataFrame, keys: list[str], lemma: DataFrame | None) -> DataFrame:
-    from strophekit.operators.measures import diversity_tokens
-    t = st.select(*keys, "si", F.posexplode_outer(diversity_tokens(F.col("s.lines"))).alias("ti", "tok"))
-    if lemma is not None:
-        lm = lemma.select(F.col("word").alias("tok"), F.col("value").alias("_lem"))
-        t = t.join(lm, on="tok", how="left").withColumn("tok", F.coalesce("_lem", "tok"))
-    return t.select(*keys, "si", "ti", "tok")
+# --- lexicon-driven stanza encodings (E4-E8 for M6, M7, M15) -------------------------
+PHON_SEP = "\u001f"  # joins a line's phoneme syllables into one comparable symbol
 
 
 def with_lexicon_encodings(arrays: DataFrame, keys: Sequence[str], pron: DataFrame | None = None,
@@ -168,53 +141,48 @@ def with_lexicon_encodings(arrays: DataFrame, keys: Sequence[str], pron: DataFra
                            lemma: DataFrame | None = None,
                            partitions: int | None = None) -> DataFrame:
     """Add lexicon-driven encodings to every stanza of a song-array table:
-    ``stress`` (M6 input), ``syl_sums`` (M7 input) and ``phon`` (M15 input,
-    one symbol per line).  Tokens are exploded once, lexica (pronunciation,
-    syllable, stem) are joined on the word (broadcast below a checked row
-    bound), and everything is regrouped by song; ``div_tokens`` holds the
-    diversity tokens mapped through the lemma lexicon (M12).  The song table is hash
-    partitioned by its keys first, so every later aggregation and join is
-    keyed by a refinement of that partitioning and adds no shuffle."""
+    ``stress`` (M6 input), ``syl_sums`` (M7 input), ``phon`` (M15 input, one
+    symbol per line) and ``div_tokens`` (diversity tokens mapped through the
+    lemma lexicon, M12).  The distinct words of a song meet each lexicon once
+    (``with_word_map``); stanzas stay in their row and read the maps there.
+    ``keys`` name a song."""
+    from strophekit.operators.measures import diversity_tokens, stress_tokens
     keys = list(keys)
-    songs = arrays.repartition(partitions, *keys) if partitions else arrays.repartition(*keys)
-    st = songs.select(*keys, F.posexplode_outer("stanzas").alias("si", "s")).filter(F.col("si").isNotNull())
-    lines = st.select(*keys, "si", F.posexplode_outer("s.lines").alias("li", "line"))
-    lines = lines.filter(F.col("li").isNotNull())
-    parts = [_meter_token_table(lines, keys, pron, syl, stem), _syllable_token_table(lines, keys, syl)]
-    if pron is not None:
-        parts.append(_phonetic_token_table(lines, keys, pron))
-    toks = parts[0]
-    for p in parts[1:]:
-        toks = toks.unionByName(p)
-    per_line = toks.groupBy(*keys, "si", "li").agg(
-        F.array_sort(F.collect_list(F.when((F.col("kind") == "m") & F.col("s_val").isNotNull(),
-                                           F.struct("ti", "s_val")))).alias("_m"),
-        F.sum(F.when(F.col("kind") == "s", F.col("i_val"))).alias("_s"),
-        F.array_sort(F.collect_list(F.when((F.col("kind") == "p") & F.col("a_val").isNotNull(),
-                                           F.struct("ti", "a_val")))).alias("_p"))
-    per_line = per_line.select(
-        *keys, "si", "li",
-        F.array_join(F.transform("_m", lambda x: x["s_val"]), "").alias("stress"),
-        F.coalesce("_s", F.lit(0)).cast("int").alias("syl_sum"),
-        F.array_join(F.flatten(F.transform("_p", lambda x: x["a_val"])), PHON_SEP).alias("phon"))
-    per_stanza = per_line.groupBy(*keys, "si").agg(
-        F.array_sort(F.collect_list(F.struct("li", "stress", "syl_sum", "phon"))).alias("_l"))
-    per_stanza = per_stanza.select(
-        *keys, "si",
-        F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["stress"]), ""), r"\s+", "").alias("stress"),
-        F.transform("_l", lambda x: x["syl_sum"]).alias("syl_sums"),
-        F.transform("_l", lambda x: x["phon"]).alias("phon"))
-    div = _diversity_token_table(st, keys, lemma).groupBy(*keys, "si").agg(
-        F.array_sort(F.collect_list(F.when(F.col("tok").isNotNull(), F.struct("ti", "tok")))).alias("_d"))
-    div = div.select(*keys, "si", F.transform("_d", lambda x: x["tok"]).alias("div_tokens"))
-    per_stanza = per_stanza.join(div, on=keys + ["si"], how="left")
-    enc = per_stanza.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("si", "stress", "syl_sums", "phon", "div_tokens"))).alias("_e"))
-    j = songs.join(enc, on=keys, how="left")
-    merged = F.transform("stanzas", lambda s, i: F.struct(
+    songs = arrays.repartition(partitions, *keys) if partitions else arrays
+    songs = songs.select(*keys, "stanzas")
+    lines = F.flatten(F.transform("stanzas", lambda s: s["lines"]))
+
+    def every(of) -> Column:
+        """The words of all lines."""
+        return F.flatten(F.transform(lines, of))
+
+    def mapped(songs: DataFrame, words: Column, lexicon: DataFrame | None, value: Column, kind: str, name: str) -> DataFrame:
+        if lexicon is None:
+            return songs.withColumn(name, F.lit(None).cast(f"map<string,{kind}>"))
+        return with_word_map(songs, keys, words, lexicon, value, name)
+
+    def stemmed(line: Column) -> Column:
+        return F.transform(stress_tokens(line), lambda w: F.when(w.endswith("ing") | w.endswith("ly"), w).otherwise(
+            F.coalesce(F.try_element_at("_stem", w), w)))
+
+    def stress(line: Column) -> Column:
+        return F.array_join(F.transform(stemmed(line), lambda w: F.coalesce(
+            F.try_element_at("_pron", w)["stress"],
+            F.repeat(F.lit("0"), F.coalesce(F.try_element_at("_syl", w), syllable_rule(w))))), "")
+
+    def syllable_sum(line: Column) -> Column:
+        counts = F.transform(tokens(line), lambda w: F.coalesce(F.try_element_at("_syl", w), syllable_rule(w)))
+        return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+
+    songs = mapped(songs, every(stress_tokens), stem, F.col("value"), "string", "_stem")
+    songs = mapped(songs, F.concat(every(stemmed), every(_phonetic_words)), pron, _pronunciation(),
+                   "struct<stress:string,phon_syllables:array<string>>", "_pron")
+    songs = mapped(songs, F.concat(every(stemmed), every(tokens)), syl, F.col("num_syllables").cast("int"), "int", "_syl")
+    songs = mapped(songs, F.flatten(F.transform("stanzas", lambda s: diversity_tokens(s["lines"]))), lemma, F.col("value"),
+                   "string", "_lemma")
+    return songs.select(*keys, F.transform("stanzas", lambda s: F.struct(
         s["pos"].alias("pos"), s["keyword"].alias("keyword"), s["lines"].alias("lines"),
-        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["stress"].alias("stress"),
-        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["syl_sums"].alias("syl_sums"),
-        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["phon"].alias("phon"),
-        F.element_at(F.filter("_e", lambda e: e["si"] == i), 1)["div_tokens"].alias("div_tokens")))
-    return j.select(*keys, merged.alias("stanzas"))
+        F.regexp_replace(F.array_join(F.transform(s["lines"], stress), ""), r"\s+", "").alias("stress"),
+        F.transform(s["lines"], syllable_sum).alias("syl_sums"),
+        F.transform(s["lines"], lambda l: F.array_join(_phonemes_of(l, "_pron"), PHON_SEP)).alias("phon"),
+        F.transform(diversity_tokens(s["lines"]), lambda w: F.coalesce(F.try_element_at("_lemma", w), w)).alias("div_tokens"))).alias("stanzas"))

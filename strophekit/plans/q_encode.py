@@ -299,3 +299,33 @@ def q_scored_songs_tiled(spark, sf_dir):
     s = M.score_stanza_tiles(stanzas, conv, keys, TILED)
     return s.select(*keys, "measure", r6(F.col("score")).alias("score"), "n_pairs",
                     r6(M.scale_score(F.col("measure"), F.col("score"))).alias("score_100"))
+
+
+# --- lexica in checked queries: E5's lexicon branch, M12's lemmas
+@register("line_syllables_lexicon", f"""
+WITH {_LEXICA_SQL},
+l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, line_no, list_transform(regexp_extract_all({SQL_PREP.format(x='line')}, '\\b\\w+\\b'),
+             lambda w: coalesce(sm[w], {sql_syllable('w')})) AS counts FROM l, syl)
+SELECT doc_id, line_no::INT AS line_no, counts AS syllables, coalesce(list_sum(counts), 0)::BIGINT AS total FROM t
+""".replace("lexw AS", "lexw AS MATERIALIZED"))
+def q_line_syllables_lexicon(spark, sf):
+    d = table(spark, sf, "documents", spread=True)
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    enc = EN.line_syllables(lines, ["doc_id", "line_no"], "line", derived_lexica(spark, sf)["syl"])
+    return enc.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "syllables", F.col("total").cast("long").alias("total"))
+
+
+_LEMMA_SQL = ORACLES["diversity_mtld_by_song"].replace(
+    "dirs AS (SELECT id, pos, 'f' AS d, t FROM tok UNION ALL SELECT id, pos, 'b' AS d, list_reverse(t) FROM tok)",
+    f"""{_LEXICA_SQL},
+lemma AS (SELECT map(list(word ORDER BY word), list(word[:3] ORDER BY word)) AS lm FROM lexw WHERE length(word) > 4),
+tokl AS (SELECT id, pos, list_transform(t, lambda w: coalesce(lm[w], w)) AS t FROM tok, lemma),
+dirs AS (SELECT id, pos, 'f' AS d, t FROM tokl UNION ALL SELECT id, pos, 'b' AS d, list_reverse(t) FROM tokl)""").replace(
+    "'diversity' AS measure", "'diversity_lexicon' AS measure")
+
+
+@register("diversity_lexicon_by_song", _LEMMA_SQL)
+def q_diversity_lexicon(spark, sf):
+    """M9 over lemmas."""
+    return _scored_with_lexica(spark, sf, "diversity_lexicon")

@@ -46,8 +46,9 @@ def q_model_outputs(spark, sf):
     base = scratch_path(spark, "outputs")
     d.select(F.col("doc_id").alias("id"), F.col("text").alias("model_response"), "source") \
      .write.partitionBy("source").json(base)
-    models = [r["source"] for r in d.select("source").distinct().collect()]  # model names only
-    back = IO.read_model_outputs(spark, {m: f"{base}/source={m}" for m in models}, multiline=False)
+    models = d.select(F.col("source").alias("file"), F.col("source").alias("model")).distinct()
+    folder = F.regexp_extract("_metadata.file_path", "source=([^/]+)/", 1)
+    back, _ = IO.read_model_folder(spark, base, models, multiline=False, file_key=folder)
     return back.select("model", "id", F.length("model_response").cast("long").alias("n_chars"))
 
 

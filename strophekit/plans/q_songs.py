@@ -273,11 +273,6 @@ def q_scored_songs_checked(spark, sf_dir):
     return s.select("id", "side", "measure", r6(F.col("score")).alias("score"), "n_pairs")
 
 
-@register("diversity_avg_mtld_by_song")
-def q_diversity_avg_mtld(spark, sf_dir):
-    return _scored(spark, sf_dir, "diversity_avg_mtld")
-
-
 # MTLD oracle: a recursive CTE walks every stanza's tokens forward and
 # backward with the same factor rule (threshold 0.72, segments of at least
 # 10 tokens, partial factor at the end).
@@ -325,3 +320,36 @@ SELECT songs.id, 'diversity' AS measure,
 FROM songs LEFT JOIN agg ON songs.id = agg.id
 """
 ORACLES["diversity_mtld_by_song"] = _MTLD_SQL
+
+
+# Moving average: from every start of the doubled token list the least window of at least
+# 10 tokens whose distinct share is 0.72 or less.
+_MTLD_MA_SQL = f"""
+WITH {SQL_STANZAS},
+tok AS (
+  SELECT id, pos, list_filter(string_split_regex(lower(regexp_replace(
+           replace(strip_accents(array_to_string(lines, ' ')), 'ß', 'ss'),
+           '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]\\^_`{{|}}~]', ' ', 'g')), '\\s+'), lambda w: w <> '') AS t
+  FROM st
+),
+places AS (SELECT id, pos, len(t) AS n, unnest(list_concat(t, t)) AS w, unnest(range(1, 2 * len(t) + 1)) AS i FROM tok),
+seen AS (SELECT id, pos, n, i, coalesce(lag(i) OVER (PARTITION BY id, pos, w ORDER BY i), 0) AS before FROM places),
+steps AS (SELECT id, pos, i, before, unnest(range(greatest(1, i - n + 1), least(i, n) + 1)) AS s FROM seen),
+windows AS (SELECT id, pos, s, i - s + 1 AS l,
+                   sum((before < s)::INT) OVER (PARTITION BY id, pos, s ORDER BY i) AS types FROM steps),
+closed AS (SELECT id, pos, s, min(l) AS l FROM windows
+           WHERE l >= 10 AND types::DOUBLE / l <= 0.72::DOUBLE GROUP BY id, pos, s),
+per AS (SELECT id, pos, avg(l) AS v FROM closed GROUP BY id, pos),
+sc AS (SELECT st.id, st.pos, -(coalesce(v, 0.0) * (1.0::DOUBLE / 65)) AS s FROM st LEFT JOIN per ON st.id = per.id AND st.pos = per.pos),
+agg AS (SELECT id, {STANZA_MEAN} FROM sc GROUP BY id)
+SELECT songs.id, 'diversity_avg_mtld' AS measure,
+       round(coalesce(agg.score, 0.0), 6) AS score,
+       coalesce(agg.n_pairs, 0)::BIGINT AS n_pairs,
+       round(100 * exp(coalesce(agg.score, 0.0)), 6) AS score_100
+FROM songs LEFT JOIN agg ON songs.id = agg.id
+"""
+
+
+@register("diversity_avg_mtld_by_song", _MTLD_MA_SQL)
+def q_diversity_avg_mtld(spark, sf_dir):
+    return _scored(spark, sf_dir, "diversity_avg_mtld")

@@ -5,9 +5,10 @@ files)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SONGS_SCHEMA = ("id LONG, song STRING, artist STRING, prompt STRING, "
@@ -36,16 +37,19 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -
 
 def read_syllable_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """``word=syl-la-ble`` lines -> ``(word, num_syllables, syllables)``;
-    syllables split on runs of non-letters, the first entry of a word wins
-    (line order inside the file)."""
+    syllables split on runs of non-letters, the first entry of a word wins: by
+    file path, then by place in the file (start of the split, line inside it), however
+    the files are dealt to tasks."""
+    place = ["_file", "_split", "_line"]
     raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"), F.col("value"))
-    parts = raw.select("_line", F.split("value", "=", 2).alias("_kv")).filter(F.size("_kv") == 2)
-    parts = parts.select("_line", F.element_at("_kv", 1).alias("word"),
+    parts = raw.select(*place, F.split("value", "=", 2).alias("_kv")).filter(F.size("_kv") == 2)
+    parts = parts.select(*place, F.element_at("_kv", 1).alias("word"),
                          F.filter(F.split(F.element_at("_kv", 2), "[^a-zA-Z]+"),
                                   lambda s: s != "").alias("syllables"))
     from strophekit.operators.relational import dedup_first
-    out = dedup_first(parts, ["word"], ["_line"]).drop("_line")
+    out = dedup_first(parts, ["word"], place).drop(*place)
     return out.select("word", F.size("syllables").alias("num_syllables"), "syllables")
 
 
@@ -75,21 +79,37 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_model_outputs(spark: SparkSession, paths: Mapping[str, str], schema: str = SONGS_SCHEMA,
                        skip: str | None = None, multiline: bool = True) -> DataFrame:
-    """Many model output files, each tagged with its model name; files whose own
-    name contains ``skip`` are left out (default: none).  One scan per model, unioned
-    (the plan grows with the number of models, not with the data)."""
-    frames = []
-    for model, path in paths.items():
-        if skip and skip in path.rstrip("/").rsplit("/", 1)[-1]:
-            continue
-        df = spark.read.schema(schema).option("multiLine", multiline).json(path)
-        frames.append(df.withColumn("model", F.lit(model)))
-    if not frames:
+    """Many model output files (or folders), each tagged with its model name, by
+    one scan; files whose own name contains ``skip`` are left out (default: none)."""
+    kept = {m: p.rstrip("/") for m, p in paths.items() if not (skip and skip in p.rstrip("/").rsplit("/", 1)[-1])}
+    if not kept:
         raise ValueError("no model files left to read")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    rows = spark.read.schema(schema).option("multiLine", multiline).json(list(kept.values()))
+    file = F.regexp_replace(F.url_decode("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
+    model = F.coalesce(*[F.when((file == _local(p)) | file.startswith(_local(p) + "/"), F.lit(m))
+                         for m, p in sorted(kept.items(), key=lambda e: -len(e[1]))])
+    return rows.select("*", model.alias("model"))
+
+
+def read_model_folder(spark: SparkSession, path: str, models: DataFrame, schema: str = SONGS_SCHEMA,
+                      multiline: bool = True, file_key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """S8 for any number of models: ``(rows, rejects)`` of all files below ``path`` by one scan.
+
+    ``models`` is a table ``(file, model)``; a row takes the model of its file's name (or of
+    ``file_key``, a column over the hidden ``_metadata``).  Rows of files that the table does
+    not name go to ``rejects`` as ``(file, n_rows)``.  One model per file is kept (the least)."""
+    name = F.col("_metadata.file_name") if file_key is None else file_key
+    rows = spark.read.schema(schema).option("multiLine", multiline).option("recursiveFileLookup", True).json(path)
+    rows = rows.select("*", name.alias("_file"))
+    table = models.groupBy(F.col("file").alias("_file")).agg(F.min("model").alias("model"))
+    tagged = rows.join(table, "_file", "left")
+    rejects = tagged.filter(F.col("model").isNull()).groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return tagged.filter(F.col("model").isNotNull()).drop("_file"), rejects
+
+
+def _local(path: str) -> str:
+    """A path without its scheme."""
+    return re.sub("^[a-z0-9]+:/+", "/", path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

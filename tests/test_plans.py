@@ -67,3 +67,29 @@ def test_ngram_overlap_ships_no_text(spark):
     above = lines[:docs]
     generate = max(i for i, line in enumerate(above) if "Generate" in line)
     assert not any("Exchange hashpartitioning" in line for line in above[generate:])
+
+
+def test_lexicon_lookup_shuffles_no_occurrence(spark):
+    """Distinct words of a row meet the lexicon; the row keeps its occurrences."""
+    for name in ("line_syllables_lexicon", "diversity_lexicon_by_song"):
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(array_distinct(" in plan
+        for line in plan.split("\n"):
+            if "posexplode" in line:
+                assert "split" in line or "_split" in line or "line" in line  # lines of a text, not words
+        assert "CartesianProduct" not in plan
+
+
+def test_ngram_overlap_is_a_semi_join(spark):
+    from strophekit.operators import corpus as C
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    b = spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = C.ngram_overlap(d, ["doc_id"], "text", b, "text")
+        assert "LeftSemi" in _plan(df) and "LeftOuter" not in _plan(df)
+        assert df.filter("shared > 0").count() > 0 and df.count() == 4 * d.count()
+    finally:
+        spark.conf.set(key, had)
