@@ -10,7 +10,8 @@ A retrieved template counts as present when the text holds at least 80 % of its
 distinct shingles of five words, by their exact hashes.
 
 Everything happens inside the row: no join, no shuffle, nothing is dropped.
-Templates are an argument of the program and so of bounded size.
+Templates are an argument of the program and so of bounded size; they are literals: one map
+per permutation, one list of shingles.
 
 Notices of fewer than five words (``brief``) have their whole word run as only shingle and
 are searched at every place, so none is missed.  Among ``templates`` they are refused.
@@ -30,8 +31,8 @@ WINDOW, STRIDE = 6, 2
 SHINGLE = 5
 CONTAINMENT = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
-# One random constant per permutation: the order of hashes after exclusive or.
-PERMUTATIONS = (0x1B873593CC9E2D51, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x4F1BBCDCBFA53E0A, 0x7C0FFEE123456789, 0x3C6EF372FE94F82B)
+# One seed per permutation: a pair's hash is hashed anew with it, so that the orders are independent.
+PERMUTATIONS = (1, 2, 3, 4, 5, 6)
 
 FOUND = "array<struct<name: string, containment: double>>"
 
@@ -79,7 +80,7 @@ def window_minima(pairs: Column, permutation: int, stride: int) -> Column:
         starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda s: F.array_min(F.slice(permuted, s, WINDOW - 1)))
 
-    return let(F.transform(pairs, lambda x: x.bitwiseXOR(F.lit(permutation))), minima)
+    return let(F.transform(pairs, lambda x: F.xxhash64(x, F.lit(permutation))), minima)
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
@@ -135,8 +136,11 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     short = brief_runs(docs.sparkSession, brief or {})
     wanted = [sorted({v for t in known for v in t[f"m{i}"]}) for i in range(len(PERMUTATIONS))]
 
-    def longs(values) -> Column:
-        return F.array(*[F.lit(v) for v in values])
+    names, shingles_of = F.lit([t["name"] for t in known]), F.lit([t["shingles"] for t in known])
+    # per permutation one literal map from a minimum to the numbers of the templates that have it
+    holders = [{v: [k for k, t in enumerate(known) if v in held[k]] for v in wanted[i]}
+               for i in range(len(PERMUTATIONS)) for held in [[set(t[f"m{i}"]) for t in known]]]
+    maps = [F.map_from_arrays(F.lit(list(h)), F.lit(list(h.values()))) if h else None for h in holders]
 
     def hits(pairs: Column) -> Column:
         """Per permutation the window minima that some template has too."""
@@ -146,7 +150,7 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
 
     def matches(hashes: Column) -> Column:
         long = let(let(runs(hashes, 2), hits), lambda found: F.when(
-            F.exists(found, lambda h: F.size(h) > 0), verified(hashes, found)).otherwise(F.array().cast(FOUND)))
+            F.exists(found, lambda h: F.size(h) > 0), verified(hashes, found)).otherwise(F.array().cast(FOUND))) if known else F.array().cast(FOUND)
         if not short:
             return long
         cells = [F.when(holds_run(hashes, run), F.struct(F.lit(name).alias("name"), F.lit(1.0).alias("containment")))
@@ -154,15 +158,14 @@ def with_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
         return F.array_sort(F.concat(long, F.filter(F.array(*cells), lambda m: m.isNotNull()).cast(FOUND)))
 
     def verified(hashes: Column, found: Column) -> Column:
+        retrieved = F.array_sort(F.array_distinct(F.flatten(F.array(*[
+            F.flatten(F.transform(F.get(found, F.lit(i)), lambda m: F.try_element_at(maps[i], m))) for i in range(len(PERMUTATIONS))]))))
+
         def present(shingles: Column) -> Column:
-            cells = []
-            for t in known:
-                retrieved = F.lit(False)
-                for i in range(len(PERMUTATIONS)):
-                    retrieved = retrieved | F.arrays_overlap(F.get(found, F.lit(i)), longs(t[f"m{i}"]))
-                share = F.size(F.array_intersect(shingles, longs(t["shingles"]))) / F.lit(float(len(t["shingles"])))
-                cells.append(F.when(retrieved, F.struct(F.lit(t["name"]).alias("name"), share.alias("containment"))))
-            return F.filter(F.array(*cells), lambda m: m.isNotNull() & (m["containment"] >= CONTAINMENT))
+            def cell(k: Column) -> Column:
+                own = F.get(shingles_of, k)
+                return F.struct(F.get(names, k).alias("name"), (F.size(F.array_intersect(shingles, own)) / F.size(own)).alias("containment"))
+            return F.filter(F.transform(retrieved, cell), lambda m: m["containment"] >= CONTAINMENT)
 
         return let(F.array_distinct(runs(hashes, SHINGLE)), present)
 

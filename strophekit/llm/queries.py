@@ -111,17 +111,15 @@ FROM w GROUP BY conv_id
 
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strophekit.llm.licenses import with_licenses
-    return _license_columns(with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-@query
-def op6_license_scan_with_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the notices of fewer than five words besides."""
+    """All notices, those of fewer than five words included."""
     from strophekit.llm.licenses import BRIEF_TEMPLATES, with_licenses
     return _license_columns(with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), brief=BRIEF_TEMPLATES))
 
 
+# an earlier name of the same query
+QUERIES["op6_license_scan_with_brief"] = op6_license_scan
+
+
 def _license_columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
                        F.array_join("licenses.name", ",").alias("licenses"),
@@ -149,7 +147,6 @@ FROM m GROUP BY doc_id
 """
 
 
-ORACLES["op6_license_scan"] = _license_sql()
 
 
 def _brief_sql() -> str:
@@ -162,7 +159,7 @@ def _brief_sql() -> str:
         run = " ".join(w for w in re.split(r"[\W_]+", text.lower()) if w)
         cells.append(f"SELECT doc_id, '{name}' AS name FROM e WHERE contains(t, ' {run} ')")
     return f"""
-WITH old AS ({ORACLES["op6_license_scan"]}),
+WITH old AS ({_license_sql()}),
 e AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS t FROM documents),
 b AS (SELECT doc_id, list(DISTINCT name) AS more FROM ({" UNION ALL ".join(cells)}) GROUP BY doc_id)
 SELECT old.doc_id, n_licenses + coalesce(len(more), 0) AS n_licenses,
@@ -172,7 +169,7 @@ FROM old LEFT JOIN b ON old.doc_id = b.doc_id
 """
 
 
-ORACLES["op6_license_scan_with_brief"] = _brief_sql()
+ORACLES["op6_license_scan"] = ORACLES["op6_license_scan_with_brief"] = _brief_sql()
 
 
 ORACLES["op7_embedding_near_dedup"] = """
