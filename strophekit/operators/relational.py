@@ -103,10 +103,10 @@ def position_index(df: DataFrame, group: Sequence[str], order: str,
 def common_keys(df: DataFrame, key: str, member: str) -> DataFrame:
     """Keys seen under every distinct ``member`` value.  Pre-aggregated
     to distinct (key, member) pairs before the count."""
-    # The number of distinct members is one scalar (one small job).
-    n_members = df.select(member).distinct().count()
+    # The number of distinct members is a scalar subquery: no job while the plan is built.
+    n_members = df.select(member).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     per_key = df.select(key, member).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_members"))
-    return per_key.filter(F.col("n_members") == F.lit(n_members))
+    return per_key.filter(F.col("n_members") == n_members)
 
 
 def prune_to_common(df: DataFrame, key: str, member: str) -> DataFrame:
