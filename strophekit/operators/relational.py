@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophekit.session import cut_lineage
 
 
 # --- P: projection and predicates ---------------------------------------------
@@ -235,66 +234,87 @@ def pivot_agg(df: DataFrame, group: Sequence[str], pivot_col: str, values: Seque
 
 
 # --- A: aggregates -----------------------------------------------------------------
+OCTAVE_PARTS = 1 << 14  # buckets of the first histogram per power of two
+PARTS = (1 << 20) - 1   # buckets of each later one, at most
+SALTS = 32
+
+
+def _first_bucket(v: Column) -> Column:
+    """Number that never falls as ``v`` grows: sign, and the logarithm in steps of 1 / OCTAVE_PARTS."""
+    size = F.floor((F.log2(F.abs(v)) + 1100) * OCTAVE_PARTS)
+    far = F.lit(1 << 40)
+    return (F.when(F.isnan(v), far + 1).when(v == float("inf"), far).when(v == float("-inf"), -far)
+            .when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long"))
+
+
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, buckets: int = 64,
-                    accuracy: int = 10000) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (``percentile`` /
-    ``quantile_cont``) per group, without holding a group's values in one
-    task.
-
-    1. per group: count and ``buckets`` approximate boundaries (a sketch of
-       bounded size);  2. rows are bucketed by the boundaries and counted per
-    (group, bucket), with running counts over the small bucket table;  3.
-    only the buckets holding the needed ranks are ranked exactly (a window
-    keyed by group and bucket); a bucket whose min equals its max needs no
-    ranking (ties such as many songs scoring exactly 100).  Output: group
-    columns, ``n`` and one column per probability."""
-    group = list(group)
+    ``quantile_cont``) per group by narrowing histograms, without ranking rows.
+
+    Rows are counted per bucket of the logarithm; running counts show which
+    buckets hold the needed ranks.  Only the rows of those are counted again,
+    in equal parts between the least and the greatest value of their bucket.
+    Such a bucket holds at most 2^39 doubles and each of two more
+    histograms cuts that by 2^20, so the last bucket of a rank is one value,
+    whatever the distribution.  Each histogram is an aggregation with a
+    map-side part; rows meet the few buckets of their group by a salted join.
+
+    NULL values are left out; NaN is the greatest value; a NULL group is a group.  Output:
+    group columns, ``n`` and one column per probability."""
+    group, probs = list(group), [float(p) for p in probs]
     names = list(names) if names else [f"q_{p}" for p in probs]
-    d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    fr = [i / buckets for i in range(1, buckets)]
-    stats = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.percentile_approx("_v", fr, accuracy).alias("_b"))
-    b = d.join(stats.select(*group, "_b"), on=group)
-    b = b.select(*group, "_v", F.size(F.filter("_b", lambda x: x < F.col("_v"))).alias("_k"))
-    cnt = b.groupBy(*group, "_k").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
-                                      F.max("_v").alias("_hi"))
-    run = Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("_start", F.coalesce(F.sum("_c").over(run), F.lit(0)))
-    need = stats.select(*group, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
-                        .alias("_pi", "_p"))
-    need = need.withColumn("_h", F.col("_p") * (F.col("_n") - 1))
-    ranks = need.select(*group, F.explode(F.array_distinct(F.array(
-        F.floor("_h").cast("long"), F.ceil("_h").cast("long")))).alias("_r")).distinct()
-    hold = ranks.join(cnt, on=group).filter(
-        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
-    const = hold.filter(F.col("_lo") == F.col("_hi")).select(*group, "_r", F.col("_lo").alias("_x"))
-    ranked_buckets = hold.filter(F.col("_lo") != F.col("_hi")).select(*group, "_k", "_start").distinct()
-    sel = b.join(ranked_buckets, on=group + ["_k"])
-    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_k").orderBy("_v"))
-                         - 1 + F.col("_start"))
-    picked = sel.join(ranks, on=group + ["_r"]).select(*group, "_r", F.col("_v").alias("_x"))
-    vals = const.unionByName(picked)
-    lo = vals.select(*group, F.col("_r").alias("_rl"), F.col("_x").alias("_xl"))
-    hi = vals.select(*group, F.col("_r").alias("_rh"), F.col("_x").alias("_xh"))
-    q = need.withColumn("_rl", F.floor("_h").cast("long")).withColumn("_rh", F.ceil("_h").cast("long"))
-    q = q.join(lo, on=group + ["_rl"]).join(hi, on=group + ["_rh"])
-    q = q.withColumn("_q", F.when(F.col("_rl") == F.col("_rh"), F.col("_xl")).otherwise(
-        (F.col("_rh") - F.col("_h")) * F.col("_xl") + (F.col("_h") - F.col("_rl")) * F.col("_xh")))
-    wide = q.groupBy(*group, "_n").agg(*[
-        F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
-    return wide.withColumnRenamed("_n", "n")
+    own = [f"_g{i}" for i in range(len(group))]
+    v = F.col("_v")
+    d = df.select(*[F.col(c).alias(o) for c, o in zip(group, own)], (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    d = d.filter(v.isNotNull())
+    salted = d.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+
+    def place(p: float) -> Column:
+        return F.lit(p) * (F.col("_n") - 1)
+
+    def holding(counts: DataFrame, within: list[str], wanted: Column, n: Column, start: Column) -> DataFrame:
+        """Buckets that hold a wanted rank: ``_n, _start, _lo, _hi, _ranks``."""
+        run = Window.partitionBy(*within).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = counts.withColumn("_end", F.sum("_c").over(run)).withColumn("_n", n)
+        cut = cut.withColumn("_end", F.col("_end") + start).withColumn("_at", F.col("_end") - F.col("_c"))
+        cut = cut.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_at")) & (r < F.col("_end"))))
+        return cut.filter(F.size("_ranks") > 0).select(*own, "_n", F.col("_at").alias("_start"), "_lo", "_hi", "_ranks")
+
+    tallies = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    ranks = F.array_distinct(F.array(*[f(place(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    state = holding(d.groupBy(*own, _first_bucket(v).alias("_k")).agg(*tallies), own, ranks,
+                    F.sum("_c").over(Window.partitionBy(*own)), F.lit(0))
+    for _ in range(2):
+        asked = state.select(*[F.col(o).alias(o + "w") for o in own], "_n", "_start", F.col("_lo").alias("_from"),
+                             F.col("_hi").alias("_to"), "_ranks",
+                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_saltw"))
+        met = (F.col("_salt") == F.col("_saltw")) & (v >= F.col("_from")) & (v <= F.col("_to"))
+        for o in own:
+            met = met & F.col(o).eqNullSafe(F.col(o + "w"))
+        part = F.when(F.col("_from") < F.col("_to"), F.floor((v - F.col("_from")) / F.nullif(F.col("_to") - F.col("_from"), F.lit(0.0)) * PARTS))
+        rows = salted.join(asked, met).withColumn("_k", F.coalesce(part, F.lit(0)).cast("long"))
+        bucket = own + ["_start", "_n", "_ranks"]
+        state = holding(rows.groupBy(*bucket, "_k").agg(*tallies), bucket, F.col("_ranks"), F.col("_n"), F.col("_start"))
+    at = state.groupBy(*own, "_n").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform(
+        "_ranks", lambda r: F.struct(r.alias("r"), F.col("_lo").alias("x")))))).alias("_at"))
+
+    def quantile(p: float) -> Column:
+        low, high = F.floor(place(p)), F.ceil(place(p))
+        x, y = F.col("_at")[low.cast("long")], F.col("_at")[high.cast("long")]
+        return F.when(low == high, x).otherwise((high - place(p)) * x + (place(p) - low) * y)
+
+    return at.select(*[F.col(o).alias(c) for c, o in zip(group, own)], F.col("_n").alias("n"),
+                     *[quantile(p).alias(nm) for p, nm in zip(probs, names)])
 
 
 def mean_median_table(scores: DataFrame, measure: str, model: str, value: str,
                       models: Sequence[str], target: str) -> DataFrame:
     """A1: one row per measure, columns '<model> median score' and
     '<model> mean score' (rounded half-even to 2), sorted by the target's
-    median then mean, descending."""
-    # The slim (measure, model, value) table is read several times; a
-    # reliable checkpoint keeps the (possibly expensive) scoring plan from
-    # running again for every read.
-    slim = cut_lineage(scores.select(measure, model, value))
+    median then mean, descending.  ``scores`` is read several times: a caller whose
+    scores are costly cuts their lineage first."""
+    slim = scores.select(measure, model, value)
     med = exact_quantiles(slim, [measure, model], value, [0.5], ["median"])
     avg = slim.groupBy(measure, model).agg(F.avg(value).alias("mean"))
     cells = avg.join(med.drop("n"), on=[measure, model], how="left")
@@ -335,10 +355,10 @@ def mean_by_group(df: DataFrame, group: Sequence[str], value: str, valid: Column
 
 def box_summary(df: DataFrame, group: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation), IQR fences, whiskers = extreme
-    values inside the fences, outlier count, per group.  Two aggregations
-    keyed by the group; the quartile table is joined back (one row per
-    group)."""
-    df = cut_lineage(df.select(*group, value))
+    values inside the fences, outlier count, per group.  The quartile table
+    (one row per group) is joined back.  ``df`` is read several times: a caller
+    whose rows are costly cuts their lineage first."""
+    df = df.select(*group, value)
     q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \

@@ -21,17 +21,14 @@ X4_MEASURES = (("string_similarity", 0), ("head_similarity", 2), ("tail_similari
 
 
 def model_scores(spark, sf):
-    """X1 for every model -> J4 (ids every model answered) -> M16."""
+    """J4 (ids every model answered, found on two narrow columns) -> X1 for every model -> M16."""
     conv = table(spark, sf, "conversations", spread=True).select(
         F.col("conv_id").alias("id"), F.col("role").alias("model"), "turn", "text")
+    answered = R.common_keys(conv.select("id", "model"), "id", "model").select("id")
+    conv = conv.join(answered, on="id", how="left_semi")
     arrays = stanza_arrays_from_rows(conv.withColumn("keyword", F.col("model")), ["model", "id"],
                                      "turn", "keyword", "text")
     s = M.score_song_arrays(arrays, ["model", "id"], [m for m, _ in X4_MEASURES])
-    # The score table is read by the pruning count, the pruning join and
-    # every table built on top; one reliable checkpoint keeps the scoring
-    # from running again for each of them.
-    s = cut_lineage(s)
-    s = R.prune_to_common(s, "id", "model")
     return s.withColumn("scaled", M.scale_score(F.col("measure"), F.col("score")))
 
 
@@ -90,7 +87,7 @@ def _a1_sql() -> str:
 
 @register("scores_by_model_and_measure", _a1_sql())
 def q_scores_table(spark, sf):
-    s = model_scores(spark, sf)
+    s = cut_lineage(model_scores(spark, sf))  # read once per histogram
     return R.mean_median_table(s, "measure", "model", "scaled", MODELS, TARGET)
 
 
@@ -109,7 +106,7 @@ GROUP BY f.measure, f.model, q1, median, q3, n
 """)
 def q_score_distribution(spark, sf):
     """A8 on the comparison scores: box-plot table per measure x model."""
-    s = model_scores(spark, sf)
+    s = cut_lineage(model_scores(spark, sf))  # read once per histogram
     b = R.box_summary(s, ["measure", "model"], "scaled")
     return b.select("measure", "model", *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3")],
                     F.col("n").cast("long").alias("n"), r6(F.col("iqr")).alias("iqr"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,19 +269,29 @@ def test_lemma_lexicon(spark):
     assert a == pytest.approx(-M.mtld_value(toks) / 65)
 
 
-def test_exact_quantiles_bucket_path(spark):
-    """The bucketed path equals the built-in percentile (forced with a tiny
-    small-group bound), including heavy ties."""
-    rows = [("a", float(i % 37)) for i in range(3000)] + [("a", 100.0)] * 2000 + \
-           [("b", float(i) / 7) for i in range(500)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    fast = R.exact_quantiles(df, ["g"], "v", probs, buckets=16)
-    ref = df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(f"q_{p}") for p in probs])
-    a = {r["g"]: [r[f"q_{p}"] for p in probs] for r in fast.collect()}
-    b = {r["g"]: [r[f"q_{p}"] for p in probs] for r in ref.collect()}
-    for g in b:
-        assert a[g] == pytest.approx(b[g])
+def test_exact_quantiles_narrowing(spark):
+    """Bit-equal to the built-in percentile: ties, values next to each other, far
+    apart, of both signs, infinite, a NULL group and a group of one row."""
+    rows = [("a", float(i % 37)) for i in range(3000)] + [("a", 100.0)] * 2000 + [("a", None)] * 5
+    rows += [("b", float(i) / 7 - 30) for i in range(500)] + [("b", -0.0), ("b", 0.0)]
+    rows += [("c", (-1.0) ** i * 2.0 ** (i - 600)) for i in range(1200)]
+    close = np.full(400, 1.0).view(np.int64) + np.arange(400)
+    rows += [("d", x) for x in close.view(np.float64).tolist()]
+    rows += [(None, 3.5), (None, float("inf")), (None, -7.0), ("e", 5e-324), ("f", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
+    ref = df.groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", F.lit(p)).alias(f"q_{p}") for p in probs])
+    assert {tuple(r) for r in R.exact_quantiles(df, ["g"], "v", probs).collect()} == {
+        tuple(r) for r in ref.filter("n > 0").collect()}
+    whole = df.filter("g in ('a', 'b', 'd')")
+    assert R.exact_quantiles(whole, [], "v", [0.3], ["x"]).first() == whole.agg(
+        F.count("v").alias("n"), F.percentile("v", F.lit(0.3)).alias("x")).first()
+    assert R.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_outliers(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in [1, 2, 3, 4, 5, 60]] + [("b", 1.0)], "g string, v double")
+    assert [tuple(r) for r in R.outliers(df, ["g"], "v").collect()] == [("a", 60.0)]
 
 
 def test_mtld_moving_average():
