@@ -9,7 +9,8 @@ with ``<|turn|>`` between merged turns.  Inside texts and roles every ``<`` that
 backslashes and ``|`` gets one more backslash, so no text can hold a control string, and
 taking one backslash away restores it; a role's backslashes and line feeds are written
 ``\\\\`` and ``\\n``.  The loss mask is a list of spans (first code point, length) of the
-formatted text: each assistant turn's text, without what stands around it.
+formatted text: each assistant turn's text, without what stands around it; its places
+are running sums over the sorted turns, so work is linear in the turns.
 
 ``read_back`` parses formatted texts alone, again with expressions only.
 
@@ -21,7 +22,7 @@ A conversation is one training example and so one row; conversations are what is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophekit.llm.common import let
@@ -49,43 +50,34 @@ def unescaped_role(role: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans``."""
-    rows = turns.select(
-        "conv_id", F.struct(F.col("turn").alias("turn"), escaped_role(F.coalesce("role", F.lit(""))).alias("role"),
-                            escaped(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
+    plain = turns.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
+                         F.coalesce("text", F.lit("")).alias("text"))
+    inside = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    told = plain.select(
+        "conv_id", "turn", "role", "text", escaped_role(F.col("role")).alias("said_role"), escaped(F.col("text")).alias("said"),
+        F.row_number().over(inside).alias("k"), F.coalesce(F.col("role") != F.lag("role").over(inside), F.lit(True)).alias("opens"))
+    # Code points of a turn: the end of the message before, its own marks, its text.
+    marks = F.when(F.col("opens"), len(START) + F.char_length("said_role") + 1 + F.when(F.col("k") > 1, len(END) + 1).otherwise(0)).otherwise(len(TURN))
+    size = F.char_length("said").cast("long")
+    so_far = F.sum(marks + size).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = told.select("conv_id", F.struct(
+        "k", "opens", F.col("said_role").alias("role"), F.col("said").alias("text"), (F.col("role") == LEARNED_ROLE).alias("learned"),
+        (so_far - size).alias("start"), size.alias("length")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def merged(turns: Column) -> Column:
         """Messages: the turns from each that opens one up to the next such."""
-        n = F.size(turns)
-        opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+        opens = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: F.get(turns, i)["opens"])
         return let(opens, lambda first: F.transform(first, lambda i, k: F.struct(
             F.get(turns, i)["role"].alias("role"),
-            F.transform(F.slice(turns, i + 1, F.coalesce(F.get(first, k + 1), n) - i), lambda t: t["text"]).alias("texts"))))
-
-    messages = sorted_turns.select("conv_id", let(F.col("turns"), merged).alias("messages"))
+            F.transform(F.slice(turns, i + 1, F.coalesce(F.get(first, k + 1), F.size(turns)) - i), lambda t: t["text"]).alias("texts"))))
 
     def written(m):
         return F.concat(F.lit(START), m["role"], F.lit("\n"), F.array_join(m["texts"], TURN), F.lit(END + "\n"))
 
-    formatted = messages.withColumn("formatted", F.array_join(F.transform("messages", written), ""))
-
-    # Spans: walk the messages, carrying the place of the next code point.
-    start, end, turn = len(START), len(END) + 1, len(TURN)
-    span = "array<struct<start: bigint, length: bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans"))
-
-    def over_texts(acc, text):
-        here = F.array(F.struct(acc["at"].alias("start"), F.char_length(text).cast("bigint").alias("length")))
-        return F.struct((acc["at"] + F.char_length(text) + turn).alias("at"), F.concat(acc["spans"], here).alias("spans"))
-
-    def over_messages(acc, m):
-        body = acc["at"] + start + F.char_length(m["role"]) + 1
-        size = F.char_length(F.array_join(m["texts"], TURN))
-        inner = F.aggregate(m["texts"], F.struct(body.alias("at"), F.array().cast(span).alias("spans")), over_texts)["spans"]
-        spans = F.when(m["role"] == LEARNED_ROLE, F.concat(acc["spans"], inner)).otherwise(acc["spans"])
-        return F.struct((body + size + end).alias("at"), spans.alias("spans"))
-
-    return formatted.select("conv_id", "formatted", F.aggregate("messages", zero, over_messages)["spans"].alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    messages = sorted_turns.select("conv_id", let(F.col("turns"), merged).alias("messages"), spans.alias("loss_spans"))
+    return messages.select("conv_id", F.array_join(F.transform("messages", written), "").alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -101,7 +93,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 texts, lambda t: F.struct(plain.alias("role"), unescaped(t).alias("text"))))
         return let(F.substring_index(body, "\n", 1), of_role)
 
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # Four bytes a code point, so that a span is cut at its own place without walking the text before it;
+    # the mark in front keeps a span's own first U+FEFF from being taken for one.
+    def cut(wide, s):
+        own = F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))
+        return unescaped(F.decode(F.concat(F.unhex(F.lit("0000FEFF")), own), "UTF-32"))
+
+    loss = let(F.encode("formatted", "UTF-32"), lambda wide: F.transform("loss_spans", lambda s: cut(wide, s)))
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(bodies, turns_of)).alias("turns"), loss.alias("loss_texts"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def odd_turns():
             (3, 1, "user", "b"), (3, 0, "user", "a"), (3, 1, "user", "b")]
     rng = random.Random(1)
     rows += [(10 + i % 40, i, rng.choice(["user", "assistant", "system"]),
-              "".join(rng.choice(["<", "|", "\\", "<|turn|>", "<|im_end|>", "im_start|>", "é😀", "\n", "x"]) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+              "".join(rng.choice(["<", "|", "\\", "<|turn|>", "<|im_end|>", "im_start|>", "é😀", "\ufeff", "\n", "x"]) for _ in range(rng.randint(0, 12)))) for i in range(400)]
     return rows
 
 
@@ -36,7 +37,7 @@ def test_chat_round_trip(spark):
     for c, rows in told.items():
         got = [(t["role"], t["text"]) for t in back[c]["turns"]]
         assert sorted(got) == sorted((r[2], r[3]) for r in rows)
-        assert got == [(r[2], r[3]) for r in sorted(rows)] or c == 1  # equal turns are ordered as they are written
+        assert got == [(r[2], r[3]) for r in sorted(rows)]
         assert list(back[c]["loss_texts"]) == [t for r, t in got if r == "assistant"]
     for r in made.collect():
         for at, n in r["loss_spans"]:
@@ -44,6 +45,20 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    """20,000 turns of one conversation, and 20,000 of one role, in linear time."""
+    n = 20_000
+    rows = spark.range(n).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("conv_id"), F.col("id").cast("int").alias("turn")).select(
+        "conv_id", "turn", F.when((F.col("conv_id") == 1) & (F.col("turn") % 2 == 0), "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("é<|turn|> "), F.col("turn").cast("string")).alias("text"))
+    began = time.monotonic()
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(rows)).collect()}
+    assert time.monotonic() - began < 60
+    texts = [f"é<|turn|> {i}" for i in range(n)]
+    assert [t["text"] for t in got[1]["turns"]] == texts and list(got[1]["loss_texts"]) == texts[1::2]
+    assert got[2]["formatted"].count(chat.START) == 1 and list(got[2]["loss_texts"]) == texts
+
+
 def test_chat_plan_is_native(spark):
     plan = queries.op9_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
