@@ -6,9 +6,10 @@ still needs company.  Statistics cover all rests: the document frequency of ever
 word, their number and mean length are counted in Spark before anything is packed.
 Each rest is routed by content: by its rarest word that at least ``shard_docs`` / 16 rests
 share, then by its rarest word that any other rest shares, so that copies and rests on one
-subject stand side by side.  A range exchange cuts that order into shards of about
+subject stand side by side.  A range exchange deals that order to as many tasks as the
+session has shuffle partitions, and each streams its sorted part and closes a shard every
 ``SHARD_DOCS`` rests; many rests with the same words fill several shards, so a shard
-is bounded.  A shard holds a BM25 inverted index over the words of its rests, weighed by
+and a task's memory are bounded.  A shard holds a BM25 inverted index over the words of its rests, weighed by
 the statistics of all rests.  The first unused rest seeds a window; its best scored
 unused neighbours are appended until the window is full.  The one that overflows is
 cut, and what is left of it seeds the next window; rests that share no word with a
@@ -268,21 +269,25 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
     @task("packing")
     def pack_part(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        if not rows:
-            return
-        none = (1 << 63) - 1
-        rows.sort(key=lambda r: (none if r[8] is None else r[8], none if r[9] is None else r[9], r[4]))
-        cuts = max(1, len(rows) // (2 * shard_docs))  # a part far above the mean
-        sequence, base = 0, TaskContext.get().partitionId() << 33
-        for k in range(cuts):
-            some = rows[k * len(rows) // cuts:(k + 1) * len(rows) // cuts]
+        sequence, base, held = 0, TaskContext.get().partitionId() << 33, []
+
+        def shard(some):
+            nonlocal sequence
             doc_ids, starts, _, totals, _, data, wides, frequencies, _, _ = zip(*some)
             rests = ids_of(data, wides)
             pieces = pack_shard(rests, shared.value[1], window, np.frombuffer(b"".join(frequencies), "<u4").astype(np.int64), total, mean_words)
-            yield batch_of([(doc_ids[d], starts[d] + at, n, zlib.crc32(rests[d][at:at + n].tobytes()), totals[d],
+            out = batch_of([(doc_ids[d], starts[d] + at, n, zlib.crc32(rests[d][at:at + n].tobytes()), totals[d],
                              2 * (base + sequence + seq) + 1, offset) for d, at, n, seq, offset in pieces], PIECES)
             sequence += pieces[-1][3] + 1
+            return out
+
+        for batch in batches:  # sorted; a shard is closed as soon as it is full
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            while len(held) >= shard_docs:
+                yield shard(held[:shard_docs])
+                held = held[shard_docs:]
+        if held:
+            yield shard(held)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     encoded = written(texts.mapInArrow(encode, ENCODED), "encoded")
@@ -295,6 +300,6 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
                .filter("frequency > 1").select("block", "term", "frequency"))
     routed = written(rests.select("block", *names(REST_COLUMNS)).groupBy("block").cogroup(counted.groupBy("block"))
                      .applyInArrow(route, ROUTED), "routed")
-    shards = max(1, -(-total // shard_docs))
-    packed = routed.repartitionByRange(shards, "subject", "word", "row_no").mapInArrow(pack_part, PIECES)
+    order = [F.asc_nulls_last("subject"), F.asc_nulls_last("word"), F.asc("row_no")]
+    packed = routed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack_part, PIECES)
     return encoded.filter(F.col("kind") == FULL).select(names(PIECES)).unionByName(packed)
