@@ -52,6 +52,6 @@ def r6(c) -> F.Column:
 def load() -> tuple[dict, dict]:
     """Import the modules that register queries; returns (queries, oracles)."""
     from strophekit.plans import (  # noqa: F401
-        q_compare, q_corpus, q_embeddings, q_encode, q_io, q_prep, q_relational, q_songs,
+        q_compare, q_corpus, q_embeddings, q_encode, q_io, q_prep, q_relational, q_songs, q_records,
     )
     return QUERIES, ORACLES

@@ -146,13 +146,13 @@ ROLE_HEADERS = {"user": "[Verse 1]", "assistant": "[Chorus]", "system": "[Intro]
 ROLE_KEYWORDS = {"user": "verse", "assistant": "chorus", "system": "intro"}
 
 
-def rebuilt_songs(spark, sf_dir):
+def rebuilt_songs(spark, sf_dir, after_header="\n", marks=""):
     """One raw song text per conversation: a header per turn by role, turns
     joined by blank lines.  The group is one conversation."""
     conv = table(spark, sf_dir, "conversations", spread=True)
     hdr = F.create_map(*[x for k, v in ROLE_HEADERS.items() for x in (F.lit(k), F.lit(v))])
     header = F.coalesce(hdr[F.col("role")], F.concat(F.lit("["), F.coalesce("role", F.lit("none")), F.lit("]")))
-    piece = F.concat(header, F.lit("\n"), F.coalesce("text", F.lit("")))
+    piece = F.concat(header, F.lit(after_header), F.coalesce("text", F.lit("")), F.lit(marks))
     g = conv.groupBy(F.col("conv_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("_p"))
     return g.select("id", F.array_join(F.transform("_p", lambda s: s["p"]), "\n\n").alias("text"))
@@ -177,6 +177,34 @@ def q_parsed_stanzas(spark, sf_dir):
                      F.size("lines").cast("long").alias("n_lines"))
 
 
+# What the parser must take away or rewrite: text before the first header, a colon behind
+# headers, four kinds of marks inside a stanza, and a paragraph behind the last stanza.
+DIRTY_HEAD, DIRTY_TAIL = "Notes\n\n", "\n\nYou might also like\nmore songs"
+DIRTY_MARKS, CLEAN_MARKS = " [?] (laughs) [...] (..)", " nan nan nan nan"
+
+
+@register("parsed_stanzas_dirty", f"""
+WITH st0 AS (
+  SELECT conv_id AS id, turn,
+         CASE role WHEN 'user' THEN 'verse' WHEN 'assistant' THEN 'chorus'
+                   WHEN 'system' THEN 'intro' END AS keyword,
+         list_filter(string_split(lower(replace(strip_accents(coalesce(text, '') || '{CLEAN_MARKS}'), 'ß', 'ss')), chr(10)),
+                     lambda l: regexp_replace(l, '\\s+', '', 'g') <> '') AS lines
+  FROM conversations
+)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY turn) - 1)::INT AS pos,
+       keyword, array_to_string(lines, chr(10)) AS lines_text, len(lines)::BIGINT AS n_lines
+FROM st0
+""")
+def q_parsed_stanzas_dirty(spark, sf_dir):
+    """Raw songs with a preamble, noise marks, ``]:`` and a closing paragraph."""
+    songs = rebuilt_songs(spark, sf_dir, after_header=":", marks=DIRTY_MARKS)
+    songs = songs.withColumn("text", F.concat(F.lit(DIRTY_HEAD), "text", F.lit(DIRTY_TAIL)))
+    st = parse_songs(songs, "text", KEYS)
+    return st.select("id", "pos", "keyword", F.array_join("lines", "\n").alias("lines_text"),
+                     F.size("lines").cast("long").alias("n_lines"))
+
+
 # --- meter / syllable / phonetics / diversity on conversation stanzas --------
 @register("syllable_by_song")
 def q_syllable(spark, sf_dir):
