@@ -99,3 +99,24 @@ def q_pc_window(spark, sf):
     e = _emb(spark, sf)
     c = EM.pc_window_centroids(e, e.filter("label = 0"), ["label"], "embedding", 10, 3, 3)
     return c.select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
+@register("pca_similarity_full_rank", f"""
+WITH {SQL_POS},
+mean AS (SELECT i, avg(x) AS m FROM (
+  SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 0) GROUP BY i),
+j AS (SELECT a.label, a.vec_id, unnest(range(1, len(a.embedding) + 1)) AS i, unnest(a.embedding)::DOUBLE AS x,
+             unnest(t.embedding)::DOUBLE AS y
+      FROM pos a JOIN pos t ON a.position = t.position AND t.label = 0 WHERE a.label <> 0),
+s AS (SELECT label, vec_id, sqrt(sum((x - y) ** 2)) AS dist,
+             sum((x - m) * (y - m)) / (sqrt(sum((x - m) ** 2)) * sqrt(sum((y - m) ** 2))) AS cos
+      FROM j JOIN mean USING (i) GROUP BY label, vec_id)
+SELECT label, round(avg(cos), 6) AS cosine, round(avg(dist), 6) AS l2 FROM s GROUP BY label
+""")
+def q_pca_full_rank(spark, sf):
+    """M18 with as many components as the vectors are wide: a turn about the
+    target's mean, which leaves distances as they are and cosines those of centred vectors."""
+    p = _positioned(spark, sf)
+    width = p.select(F.max(F.size("embedding"))).first()[0]
+    s = EM.pca_similarity(p.filter("label <> 0"), p.filter("label = 0"), "label", "position", "embedding", width)
+    return s.select("label", r6(F.col("cosine")).alias("cosine"), r6(F.col("l2")).alias("l2"))

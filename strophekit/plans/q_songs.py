@@ -381,3 +381,35 @@ FROM songs LEFT JOIN agg ON songs.id = agg.id
 @register("diversity_avg_mtld_by_song", _MTLD_MA_SQL)
 def q_diversity_avg_mtld(spark, sf_dir):
     return _scored(spark, sf_dir, "diversity_avg_mtld")
+
+
+@register("semantics_by_song", f"""
+WITH {SQL_STANZAS},
+ln AS (SELECT id, pos, unnest(range(len(lines))) AS line_no FROM st),
+v AS (SELECT ln.*, embedding FROM ln JOIN embeddings
+      ON vec_id = (id * 31 + pos * 7 + line_no) % (SELECT count(*) FROM embeddings)),
+x AS (SELECT id, pos, line_no, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM v),
+c AS (SELECT id, pos, d, avg(x) AS m FROM x GROUP BY ALL),
+apart AS (SELECT p.id, p.pos1, p.pos2, sqrt(sum((a.m - b.m) ** 2)) AS s
+          FROM pairs p JOIN c a ON p.id = a.id AND p.pos1 = a.pos
+          JOIN c b ON p.id = b.id AND p.pos2 = b.pos AND a.d = b.d GROUP BY ALL),
+far AS (SELECT x.id, x.pos, line_no, sqrt(sum((x - m) ** 2)) AS s
+        FROM x JOIN c ON x.id = c.id AND x.pos = c.pos AND x.d = c.d GROUP BY ALL),
+inside AS (SELECT id, pos, avg(s) AS s FROM far GROUP BY ALL),
+a AS (SELECT id, avg(s) AS score FROM apart GROUP BY id),
+i AS (SELECT id, avg(s) AS score FROM inside GROUP BY id)
+SELECT songs.id, 'semantics' AS measure, round(coalesce(a.score, 0.0), 6) AS score FROM songs LEFT JOIN a ON songs.id = a.id
+UNION ALL
+SELECT songs.id, 'semantics_internal', round(coalesce(i.score, 0.0), 6) FROM songs LEFT JOIN i ON songs.id = i.id
+""")
+def q_semantics_by_song(spark, sf_dir):
+    """E9 with M13 and M14 inside the song: every line takes a vector of ``embeddings`` by a computed key."""
+    from strophekit.operators.embeddings import attach_line_embeddings
+    songs = conversation_songs(spark, sf_dir)
+    stanzas = songs.select("id", F.explode("stanzas").alias("s"))
+    lines = stanzas.select("id", F.col("s.pos").alias("pos"), F.posexplode("s.lines").alias("line_no", "line"))
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    key = F.pmod(F.col("id") * 31 + F.col("pos") * 7 + F.col("line_no"), given.agg(F.count(F.lit(1)).alias("n")).scalar())
+    vectors = lines.select("id", "pos", "line_no", key.alias("vec_id")).join(given, "vec_id")
+    s = M.score_song_arrays(attach_line_embeddings(songs, KEYS, vectors), KEYS, ["semantics", "semantics_internal"])
+    return s.select("id", "measure", r6(F.col("score")).alias("score"))
