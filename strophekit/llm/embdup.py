@@ -15,6 +15,10 @@ Within a label, vectors with cosine of at least 0.98 are linked.
 4. The estimate and its confidence bound (five standard deviations) decide
    which pairs can reach 0.98; only for those the second vector is
    fetched and the cosine computed in double precision.
+5. Members of a band's bucket of more than ``LIGHT`` are compared in tiles of twice
+   ``TILE`` vectors by the same bits, estimate, bound and cosine, as matrices; a tile
+   gives for each vector the number of its links and one edge of a spanning forest, so rows grow
+   with the members of a group, not with their pairs, and no bucket is one task's.
 
 Labels are compared as values; vectors of different length are never linked.
 Null label or id, null or empty vector, zero vector, null or non-finite component:
@@ -37,6 +41,8 @@ from strophekit.llm.components import components
 COSINE = 0.98
 BAND_BITS, BANDS = 16, 20
 SIGMAS = 5.0
+LIGHT, TILE = 64, 512  # members of a bucket that is joined; vectors of a chunk of a larger one
+PAIRS_AT_ONCE = 1 << 16
 SEED = 7
 VECTORS = "vec_id long, grp string, node long, vec binary"
 
@@ -133,20 +139,32 @@ def coded(classes: DataFrame) -> DataFrame:
         run, "node long, grp string, code binary, factor double, " + ", ".join(f"l{i} long" for i in range(longs)))
 
 
-def candidates(code: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes, each once, whose codes are near enough."""
+def banded(code: DataFrame) -> DataFrame:
+    """Rows of ``code`` once per band, with the key of the bucket."""
     longs, per = BAND_BITS * BANDS // 64, 64 // BAND_BITS
     low = (1 << BAND_BITS) - 1
 
+    keys = [F.xxhash64("grp", F.lit(w * per + i), F.shiftrightunsigned(f"l{w}", BAND_BITS * i).bitwiseAND(F.lit(low)))
+            for w in range(longs) for i in range(per)]
+    return code.select("node", *[f"l{i}" for i in range(longs)], F.posexplode(F.array(*keys)).alias("band", "key"))
+
+
+def most_bits() -> int:
+    """Differing bits of a pair at the threshold, but for five standard deviations."""
+    n, p = BAND_BITS * BANDS, np.arccos(COSINE) / np.pi
+    return int(np.ceil(n * p + SIGMAS * np.sqrt(n * p * (1 - p))))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes, each in its first shared band, whose codes are near enough."""
+    longs, per = BAND_BITS * BANDS // 64, 64 // BAND_BITS
+    low, most = (1 << BAND_BITS) - 1, most_bits()
+
     def part(x, i):
         return F.shiftrightunsigned(x, BAND_BITS * i).bitwiseAND(F.lit(low))
 
     words = [f"l{i}" for i in range(longs)]
-    keys = [F.xxhash64("grp", F.lit(w * per + i), part(F.col(f"l{w}"), i)) for w in range(longs) for i in range(per)]
-    rows = code.select("node", *words, F.posexplode(F.array(*keys)).alias("band", "key"))
     diffs = [F.col(w).bitwiseXOR(F.col(w + "_b")) for w in words]
-    p = np.arccos(COSINE) / np.pi
-    most = int(np.ceil(64 * longs * p + SIGMAS * np.sqrt(64 * longs * p * (1 - p))))
     apart = sum((F.bit_count(d) for d in diffs[1:]), F.bit_count(diffs[0]))
     first = F.coalesce(*[F.when(part(d, i) == 0, F.lit(w * per + i)) for w, d in enumerate(diffs) for i in range(per)])
     other = rows.select(*[F.col(c).alias(c + "_b") for c in rows.columns])
@@ -155,9 +173,59 @@ def candidates(code: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs of classes with cosine of at least the threshold."""
+def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links inside a tile whose first shared band is the tile's: per linked vector the
+    number of its links, by the rows of each class, and the least node it is connected with."""
+    out, band, same_chunk = [], int(frame["band"].iloc[0]), frame["lo"].iloc[0] == frame["hi"].iloc[0]
+    for dim, some in _by_dim(frame):
+        some = some.sort_values("node")
+        n, turns, units = len(some), rotations(dim), _units(some["vec"], dim)
+        packed = np.frombuffer(b"".join(some["code"]), np.uint8).reshape(n, -1)
+        signs = 2.0 * np.unpackbits(packed, axis=1, count=turns.shape[0] * dim, bitorder="little") - 1
+        grp, chunk, factor = pd.factorize(some["grp"])[0], some["chunk"].to_numpy(), some["factor"].to_numpy()
+        open_pairs = np.triu(grp[:, None] == grp[None, :], 1)
+        if not same_chunk:
+            open_pairs &= chunk[:, None] != chunk[None, :]
+        words = np.ascontiguousarray(packed[:, :BAND_BITS * BANDS // 8]).view("<u2")
+        open_pairs &= words[:, None, band] == words[None, :, band]
+        for earlier in range(band):
+            open_pairs &= words[:, None, earlier] != words[None, :, earlier]
+        first = signs[:, :BAND_BITS * BANDS]
+        open_pairs &= (BAND_BITS * BANDS - first @ first.T) / 2 <= most_bits()
+        turned = np.einsum("rij,nj->nri", turns, units).reshape(n, -1)
+        got = turned @ signs.T / (turns.shape[0] * np.sqrt(dim)) / factor[None, :]
+        spread = np.sqrt((1 - COSINE ** 2) * np.maximum(0, 1 - factor ** 2) / max(1, (dim - 1) * turns.shape[0])) / factor
+        x, y = np.nonzero(open_pairs & (got + SIGMAS * spread[None, :] >= COSINE))
+        near = np.concatenate([np.einsum("ij,ij->i", units[x[k:k + PAIRS_AT_ONCE]], units[y[k:k + PAIRS_AT_ONCE]]) >= COSINE
+                               for k in range(0, len(x), PAIRS_AT_ONCE)] or [np.empty(0, bool)])
+        x, y = np.concatenate((x[near], y[near])), np.concatenate((y[near], x[near]))
+        linked = np.zeros(n, np.int64)
+        np.add.at(linked, x, some["size"].to_numpy()[y])
+        root, was = np.arange(n), None
+        while was is None or (root != was).any():  # the least member reached, by neighbours and by leaps
+            was = root.copy()
+            np.minimum.at(root, x, root[y])
+            root = root[root]
+        held, node = linked > 0, some["node"].to_numpy()
+        out.append(pd.DataFrame({"node": node[held], "linked": linked[held], "root": node[root[held]]}))
+    return pd.concat(out)
+
+
+def heavy_links(rows: DataFrame, heavy: DataFrame, code: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, linked, root`` of each tile of the buckets in ``heavy`` (``key``, ``n``)."""
+    some = rows.select("node", "band", "key").join(heavy, "key").withColumn("chunks", F.ceil(F.col("n") / TILE))
+    some = some.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    some = some.select("node", "band", "key", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    some = some.join(code.select("node", "code", "factor"), "node").join(classes.select("node", "grp", "vec", "size"), "node")
+    return some.groupBy("key", "lo", "hi").applyInPandas(tile_links, "node long, linked long, root long")
+
+
+def links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of classes: pairs found by joins, and tiles' ``node, linked, root``."""
     code = written(coded(classes), "codes")
+    rows = banded(code)
+    heavy = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LIGHT), "heavy")
     vecs = classes.select("node", "grp", "vec")
 
     def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +243,10 @@ def links(classes: DataFrame) -> DataFrame:
                 x, y = _units(some["vec"], dim), _units(some["vec_b"], dim)
                 yield some.loc[np.einsum("ij,ij->i", x, y) >= COSINE, ["a", "b"]]
 
-    pairs = candidates(code).join(code.select(F.col("node").alias("b"), "code", "factor"), "b")
+    pairs = candidates(rows.join(heavy, "key", "left_anti")).join(code.select(F.col("node").alias("b"), "code", "factor"), "b")
     pairs = pairs.join(vecs.withColumnRenamed("node", "a"), "a").mapInPandas(bounded, "a long, b long, grp string, vec binary")
     pairs = pairs.join(vecs.select(F.col("node").alias("b"), F.col("grp").alias("grp_b"), F.col("vec").alias("vec_b")), "b")
-    return pairs.mapInPandas(exact, "a long, b long")
+    return pairs.mapInPandas(exact, "a long, b long"), heavy_links(rows, heavy, code, classes)
 
 
 def near_duplicate_vectors(rows: DataFrame) -> DataFrame:
@@ -186,12 +254,15 @@ def near_duplicate_vectors(rows: DataFrame) -> DataFrame:
     vectors = written(_vectors(rows), "vectors")
     classes = written(vectors.filter("node is not null").groupBy("node").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("grp").alias("grp"), F.first("vec").alias("vec")), "classes")
-    found = written(links(classes), "links")
+    pairs, tiles = links(classes)
+    found, tiles = written(pairs, "links"), written(tiles, "tiles")
     sizes = classes.select("node", "size")
     ways = found.select(F.col("a").alias("x"), F.col("b").alias("node")).unionByName(
         found.select(F.col("b").alias("x"), F.col("a").alias("node")))
-    linked = ways.join(sizes, "node").groupBy("x").agg(F.sum("size").alias("linked"))
-    group = components(found)
+    counts = ways.join(sizes, "node").select("x", F.col("size").alias("linked")).unionByName(
+        tiles.select(F.col("node").alias("x"), "linked"))
+    linked = counts.groupBy("x").agg(F.sum("linked").alias("linked"))
+    group = components(found.unionByName(tiles.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.select("node", "least", "size").join(group, "node", "left").withColumn(
         "component", F.coalesce("component", "node")).join(linked, F.col("node") == F.col("x"), "left")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -51,6 +51,21 @@ def test_planted_links_and_odd_vectors(spark):
     assert check(embdup.near_duplicate_vectors(rows).collect(), given) > 500
 
 
+def test_large_buckets_in_tiles(spark, monkeypatch):
+    """Groups far above a tile, chains of links among them, and repeated rows."""
+    monkeypatch.setattr(embdup, "LIGHT", 8)
+    monkeypatch.setattr(embdup, "TILE", 16)
+    rng, given = np.random.default_rng(4), []
+    for label in range(2):
+        centre = rng.standard_normal(64)
+        given += [(len(given) + i, (centre + 0.09 * rng.standard_normal(64)).astype(np.float32).tolist(), label) for i in range(150)]
+        step = 0.1 * rng.standard_normal(64)
+        given += [(len(given) + i, (rng.standard_normal(64) * 0.02 + centre + i * step).astype(np.float32).tolist(), label) for i in range(40)]
+    given += [(len(given) + i, given[i][1], given[i][2]) for i in range(30)]
+    rows = spark.createDataFrame([(*g, 1, "g", 2) for g in given], SCHEMA)
+    assert check(embdup.near_duplicate_vectors(rows).collect(), given) > 5000
+
+
 def test_repeats_null_ids_and_empty_table(spark):
     rows = [(1, [1.0, 2.0], 1, 0, "g", 0)] * 3 + [(None, [1.0, 2.0], 1, 0, "g", 0)]
     got = [tuple(r) for r in embdup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()]
