@@ -75,7 +75,10 @@ def score_checked_songs(songs: DataFrame, keys: Sequence[str], sides: dict[str,
     good, rejects = check_songs(songs, keys, required, order, refusal_col)
     skeys = keys + ["side"]
     arrays = parse_song_arrays(_sides(good, keys, sides), "text", skeys)
-    arrays = arrays.withColumn("_error", matching_from_array(F.col("stanzas"))[1])
-    labels = arrays.filter(F.col("_error").isNotNull()).select(*keys, F.concat_ws(":", "_error", "side").alias("reason"))
-    scores = M.score_song_arrays(arrays.filter(F.col("_error").isNull()).drop("_error"), skeys, names, "stanzas", empty)
+    error = matching_from_array(F.col("stanzas"))[1]
+    # Accepted songs pass through a generator: a filter on a parsed column would
+    # be pushed below the parse, which is then written out once per use inside it.
+    labels = arrays.filter(error.isNotNull()).select(*keys, F.concat_ws(":", error, "side").alias("reason"))
+    kept = arrays.select(*skeys, F.explode_outer(F.when(error.isNull(), F.array("stanzas"))).alias("stanzas"))
+    scores = M.score_song_arrays(kept.filter(F.col("stanzas").isNotNull()), skeys, names, "stanzas", empty)
     return scores, rejects.unionByName(labels)
