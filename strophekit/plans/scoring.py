@@ -76,9 +76,9 @@ def score_checked_songs(songs: DataFrame, keys: Sequence[str], sides: dict[str,
     skeys = keys + ["side"]
     arrays = parse_song_arrays(_sides(good, keys, sides), "text", skeys)
     error = matching_from_array(F.col("stanzas"))[1]
-    # Accepted songs pass through a generator: a filter on a parsed column would
+    # Both sides of the split pass through a generator: a filter on a parsed column would
     # be pushed below the parse, which is then written out once per use inside it.
-    labels = arrays.filter(error.isNotNull()).select(*keys, F.concat_ws(":", error, "side").alias("reason"))
+    labels = arrays.select(*keys, F.explode_outer(F.array(F.concat(error, F.lit(":"), F.col("side")))).alias("reason")).filter(F.col("reason").isNotNull())
     kept = arrays.select(*skeys, F.explode_outer(F.when(error.isNull(), F.array("stanzas"))).alias("stanzas"))
     scores = M.score_song_arrays(kept.filter(F.col("stanzas").isNotNull()), skeys, names, "stanzas", empty)
     return scores, rejects.unionByName(labels)
