@@ -65,6 +65,20 @@ def word_terms(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(ids.astype(np.uint64) + np.uint64(1)) * powers[within], starts))
 
 
+def by_doc_and_term(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Order by rest, then term: one sort of the rest's number with the leading bits of
+    the term behind it; where these agree for different terms, the full sort."""
+    bits = np.uint64(int(doc[-1]).bit_length() if len(doc) else 0)
+    key = term >> bits
+    if bits:
+        key |= doc.astype(np.uint64) << (np.uint64(64) - bits)
+    order = np.argsort(key)
+    key, sorted_term = key[order], term[order]
+    if np.any((key[1:] == key[:-1]) & (sorted_term[1:] != sorted_term[:-1])):
+        return np.lexsort((term, doc))
+    return order
+
+
 def rest_terms(rests: list[np.ndarray], leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(rest, term, times)`` of each distinct term, ascending by rest and term,
     and the words of each rest."""
@@ -75,7 +89,7 @@ def rest_terms(rests: list[np.ndarray], leads: np.ndarray) -> tuple[np.ndarray,
     starts = np.flatnonzero(begins)
     doc, term = np.repeat(np.arange(len(rests)), lens)[starts], word_terms(ids, starts)
     words = np.bincount(doc, minlength=len(rests))
-    order = np.lexsort((term, doc))
+    order = by_doc_and_term(doc, term)
     doc, term = doc[order], term[order]
     first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))))
     return doc[first], term[first], np.diff(np.append(first, len(doc))), words
@@ -83,13 +97,13 @@ def rest_terms(rests: list[np.ndarray], leads: np.ndarray) -> tuple[np.ndarray,
 
 def routing_word(doc: np.ndarray, term: np.ndarray, frequency: np.ndarray, n: int, least: int) -> list[int | None]:
     """Per rest its rarest term that ``least`` rests hold, the smaller hash first."""
-    held = np.flatnonzero(frequency >= least)
-    held = held[np.lexsort((term[held], frequency[held], doc[held]))]
-    rest, first = np.unique(doc[held], return_index=True)
-    out: list[int | None] = [None] * n
-    for d, t in zip(rest.tolist(), term[held[first]].view(np.int64).tolist()):
-        out[d] = t
-    return out
+    first = np.searchsorted(doc, np.arange(n))  # every rest has a term
+    none = np.iinfo(np.int64).max
+    rare = np.where(frequency >= least, frequency, none)
+    rarest = np.minimum.reduceat(rare, first)
+    tied = np.where(rare == np.repeat(rarest, np.diff(np.append(first, len(doc)))), term, np.uint64(2**64 - 1))
+    words = np.minimum.reduceat(tied, first).view(np.int64).tolist()
+    return [None if r == none else t for r, t in zip(rarest.tolist(), words)]
 
 
 class Index:
@@ -115,7 +129,7 @@ class Index:
         self.matrix = np.zeros((len(common), n))
         row = self.dense[code]
         self.matrix[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code * n + doc)  # no two alike
         self.docs, self.weight = doc[order], weight[order]
         self.held, self.first = held, np.cumsum(held) - held
 

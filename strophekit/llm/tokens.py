@@ -9,17 +9,19 @@ this only avoids asking it the same question again.
 from __future__ import annotations
 
 from array import array
+from operator import attrgetter
 
 import numpy as np
 
 from strophekit.llm.common import task_cache
 
-MEMO_BYTES = 48 << 20  # per generation and worker; two generations are kept
+MEMO_BYTES = 80 << 20  # per generation and worker; two generations are kept
 ENTRY_BYTES = 200      # of an entry besides its characters and ids
 TEXT_BYTES = 16 << 20  # of texts and their ids kept per worker
 # White space besides the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
 ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
+TOKEN_ID = attrgetter("id")
 TAIL = ".,;:!?)]}\"'*%$&#|-"
 
 
@@ -56,7 +58,7 @@ class Memo(dict):
 
     def word(self, mark: str, word: str) -> bytes:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize(mark + spelt)]).tobytes()
+        return array("I", map(TOKEN_ID, self.tokenize(mark + spelt))).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
