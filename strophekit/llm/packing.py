@@ -4,6 +4,9 @@ Every document is encoded once.  Its full windows become sequences of their
 own where they are made; only the rest of each document, shorter than a window,
 still needs company.  Statistics cover all rests: the document frequency of every
 word, their number and mean length are counted in Spark before anything is packed.
+A task counts the words of some 2,000 rests as one block; blocks are cut into ranges of the words'
+hashes, each range is summed over all blocks, and the sums go back to the blocks.  There
+are as many ranges as it takes for one to hold some ``RANGE_WORDS`` counts.
 Each rest is routed by content: by its rarest word that at least ``shard_docs`` / 16 rests
 share, then by its rarest word that any other rest shares, so that copies and rests on one
 subject stand side by side.  A range exchange deals that order to as many tasks as the
@@ -34,17 +37,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from strophekit.llm.common import POSITION_FACTOR, mix64, small_batches, task, written
-from strophekit.llm.tokens import encode_texts
+from strophekit.llm.common import POSITION_FACTOR, mix64, small_batches, task, task_cache, written
+from strophekit.llm.tokens import encode_texts, text_groups
 
 WINDOW = 1024
 SHARD_DOCS = 2048
-BLOCK_DOCS = 2048  # rests whose words are counted together
+RANGE_WORDS, LEAST_RANGES = 200_000, 512  # counts that are summed together, ranges of words
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FULL, REST, VOCABULARY = 0, 1, 2  # kinds of encoded rows
 REST_COLUMNS = "doc_id long, start long, length long, doc_tokens long, row_no long, ids binary, wide boolean"
 ENCODED = PIECES + ", kind int, block long, row_no long, ids binary, wide boolean, counts binary, words long"
+RANGES = "block long, range long, terms binary, counts binary"
 ROUTED = REST_COLUMNS + ", frequencies binary, subject long, word long"
 
 
@@ -62,7 +66,9 @@ def word_terms(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lens = np.diff(np.append(starts, len(ids)))
     within = np.arange(len(ids)) - np.repeat(starts, lens)
     powers = np.cumprod(np.full(int(lens.max()), POSITION_FACTOR, np.uint64))
-    return mix64(np.add.reduceat(mix64(ids.astype(np.uint64) + np.uint64(1)) * powers[within], starts))
+    most = int(ids.max()) + 1
+    mixed = mix64(np.arange(1, most + 1, dtype=np.uint64))[ids] if most < len(ids) else mix64(ids.astype(np.uint64) + np.uint64(1))
+    return mix64(np.add.reduceat(mixed * powers[within], starts))
 
 
 def by_doc_and_term(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -95,6 +101,31 @@ def rest_terms(rests: list[np.ndarray], leads: np.ndarray) -> tuple[np.ndarray,
     return doc[first], term[first], np.diff(np.append(first, len(doc))), words
 
 
+def binaries(values: np.ndarray, cuts: np.ndarray):
+    """An Arrow column of the bytes of ``values`` between neighbouring ``cuts``."""
+    import pyarrow as pa
+    offsets = (np.asarray(cuts) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def range_cuts(term: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` (a power of two) equal ranges of hashes begins in
+    ascending ``term``, and the end."""
+    step = 1 << (65 - ranges.bit_length())
+    begins = np.arange(1, ranges, dtype=np.uint64) * np.uint64(step % (1 << 64))
+    return np.concatenate(([0], np.searchsorted(term, begins), [len(term)]))
+
+
+def summed(term: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For each entry the sum of ``held`` over all entries of its term."""
+    order = np.argsort(term)
+    ascending = term[order]
+    first = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
+    out = np.empty(len(term), np.int64)
+    out[order] = np.repeat(np.add.reduceat(held[order], first, dtype=np.int64), np.diff(np.append(first, len(term))))
+    return out
+
+
 def routing_word(doc: np.ndarray, term: np.ndarray, frequency: np.ndarray, n: int, least: int) -> list[int | None]:
     """Per rest its rarest term that ``least`` rests hold, the smaller hash first."""
     first = np.searchsorted(doc, np.arange(n))  # every rest has a term
@@ -115,8 +146,12 @@ class Index:
                  total: int = 0, mean_words: float = 0):
         n = self.n = len(rests)
         doc, term, tf, words = rest_terms(rests, leads)
-        _, code = np.unique(term, return_inverse=True)
-        held = np.bincount(code)
+        order = np.argsort(term)  # a term's postings may stand in any order
+        ascending = term[order]
+        new = np.concatenate(([True], ascending[1:] != ascending[:-1]))
+        code = np.empty(len(term), np.int64)
+        code[order] = np.cumsum(new) - 1
+        held = np.diff(np.append(np.flatnonzero(new), len(term)))
         if frequencies is None:
             frequencies, total, mean_words = held[code], n, words.mean()
         idf = np.log1p((total - frequencies + 0.5) / (frequencies + 0.5))
@@ -129,7 +164,6 @@ class Index:
         self.matrix = np.zeros((len(common), n))
         row = self.dense[code]
         self.matrix[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
-        order = np.argsort(code * n + doc)  # no two alike
         self.docs, self.weight = doc[order], weight[order]
         self.held, self.first = held, np.cumsum(held) - held
 
@@ -193,7 +227,7 @@ def pack_shard(rests: list[np.ndarray], leads: np.ndarray, window: int = WINDOW,
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW,
-         shard_docs: int = SHARD_DOCS) -> DataFrame:
+         shard_docs: int = SHARD_DOCS, range_words: int = RANGE_WORDS) -> DataFrame:
     """Pieces of all documents, ``PIECES``."""
     from tokenizers import Tokenizer
     small_batches(docs.sparkSession)
@@ -214,71 +248,66 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
     def ids_of(data, wides):
         return [np.frombuffer(d, "<u4" if w else "<u2").astype("<u4") for d, w in zip(data, wides)]
 
-    def vocabulary_row(block, terms):
-        term, held = np.unique(np.concatenate(terms), return_counts=True)
-        return (None, 0, 0, 0, 0, 0, 0, VOCABULARY, block, 0, term.tobytes(), False, held.astype("<i8").tobytes(), 0)
-
     @task("tokens")
     def encode(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-        base, row_no, sequence, rest_no = TaskContext.get().partitionId() << 33, 0, 0, 0
+        base, row_no, sequence = TaskContext.get().partitionId() << 33, 0, 0
         end = np.array([end_id], "<u4")
-        block, block_terms = base, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                rows, rests = [], []
-                for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts)):
-                    ids = np.concatenate((ids, end))
-                    full = len(ids) // window * window
-                    for start in range(0, full, window):
-                        crc = zlib.crc32(ids[start:start + window].tobytes())
-                        rows.append((doc_id, start, window, crc, len(ids), 2 * (base + sequence), 0, FULL, -1, 0, None, False, None, 0))
-                        sequence += 1
-                    if full < len(ids):
-                        rests.append((doc_id, full, len(ids), base + row_no, ids[full:]))
-                    row_no += 1
-                if rests:
-                    _, term, _, words = rest_terms([r[-1] for r in rests], shared.value[1])
-                    for (doc_id, full, total, own, ids), n in zip(rests, words.tolist()):
-                        data, wide = ids_bytes(ids)
-                        rows.append((doc_id, full, len(ids), 0, total, 0, 0, REST, block, own, data, wide, None, n))
-                    block_terms.append(term)
-                    rest_no += len(rests)
-                    if rest_no >= BLOCK_DOCS:
-                        rows.append(vocabulary_row(block, block_terms))
-                        block, block_terms, rest_no = block + 1, [], 0
-                yield batch_of(rows, ENCODED)
-        if block_terms:
-            yield batch_of([vocabulary_row(block, block_terms)], ENCODED)
-
-    def unpack(batches: Iterator) -> Iterator:
+        for block, (doc_ids, texts) in enumerate(text_groups(batches), base):
+            rows, rests = [], []
+            for doc_id, ids in zip(doc_ids, encode_texts(shared.value[0], texts)):
+                ids = np.concatenate((ids, end))
+                full = len(ids) // window * window
+                for start in range(0, full, window):
+                    crc = zlib.crc32(ids[start:start + window].tobytes())
+                    rows.append((doc_id, start, window, crc, len(ids), 2 * (base + sequence), 0, FULL, -1, 0, None, False, None, 0))
+                    sequence += 1
+                if full < len(ids):
+                    rests.append((doc_id, full, len(ids), base + row_no, ids[full:]))
+                row_no += 1
+            if rests:
+                _, term, _, words = rest_terms([r[-1] for r in rests], shared.value[1])
+                for (doc_id, full, total, own, ids), n in zip(rests, words.tolist()):
+                    data, wide = ids_bytes(ids)
+                    rows.append((doc_id, full, len(ids), 0, total, 0, 0, REST, block, own, data, wide, None, n))
+                term, held = np.unique(term, return_counts=True)
+                rows.append((None, 0, 0, 0, 0, 0, 0, VOCABULARY, block, 0, term.tobytes(), False, held.astype("<u4").tobytes(), len(term)))
+            for at in range(0, len(rows), 512):
+                yield batch_of(rows[at:at + 512], ENCODED)
+
+    def into_ranges(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
             for block, terms, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                term, held = np.frombuffer(terms, "<i8"), np.frombuffer(counts, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), block)), pa.array(term), pa.array(held)], ["block", "term", "held"])
+                term = np.frombuffer(terms, "<u8")
+                cuts = range_cuts(term, ranges)
+                some = np.flatnonzero(np.diff(cuts))
+                cuts = np.append(cuts[some], len(term))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some), binaries(term, cuts),
+                                                  binaries(np.frombuffer(counts, "<u4"), cuts)], names(RANGES))
+
+    def add(counted):
+        """Of a range of words: the frequencies that each block's words have in all blocks."""
+        import pyarrow as pa
+        terms, counts = (counted[c].to_pylist() for c in ("terms", "counts"))
+        often = summed(np.frombuffer(b"".join(terms), "<u8"), np.frombuffer(b"".join(counts), "<u4"))
+        cuts = np.cumsum([0] + [len(t) // 8 for t in terms])
+        return pa.table({"block": counted["block"], "range": counted["range"], "often": binaries(often.astype("<u4"), cuts)})
 
-    def route(rests, vocabulary):
+    def route(rests, counted):
         """Rests of a block with the frequencies of their terms and their routing words."""
         import pyarrow as pa
+        task_cache("packing")
         if not rests.num_rows:
             return pa.Table.from_batches([], kinds[ROUTED])
         columns = [rests[c].to_pylist() for c in names(REST_COLUMNS)]
         doc, term, _, _ = rest_terms(ids_of(columns[5], columns[6]), shared.value[1])
-        known = vocabulary["term"].to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, often = known[order], vocabulary["frequency"].to_numpy()[order]
-        frequency = np.ones(len(term), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-            frequency = np.where(known[at] == term, often[at], 1)
+        _, code = np.unique(term, return_inverse=True)
+        data = np.frombuffer(b"".join(counted.sort_by("range")["often"].to_pylist()), "<u4")[code]
         n = rests.num_rows
-        cuts = np.searchsorted(doc, np.arange(n + 1))
-        data = frequency.astype("<u4")
-        columns.append([data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
-        columns += [routing_word(doc, term, frequency, n, k) for k in (least, 2)]
-        return pa.Table.from_batches([batch_of(zip(*columns), ROUTED)])
+        frequencies = binaries(data, np.searchsorted(doc, np.arange(n + 1)))
+        routing = [routing_word(doc, term, data.astype(np.int64), n, k) for k in (least, 2)]
+        return pa.table([*(rests[c] for c in names(REST_COLUMNS)), frequencies, *(pa.array(w, pa.int64()) for w in routing)], kinds[ROUTED])
 
     @task("packing")
     def pack_part(batches: Iterator) -> Iterator:
@@ -305,15 +334,15 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = WINDOW
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     encoded = written(texts.mapInArrow(encode, ENCODED), "encoded")
-    rests = encoded.filter(F.col("kind") == REST)
-    total, all_words = rests.agg(F.count("*"), F.sum("words")).first()
-    mean_words = (all_words or 0) / max(1, total)
-    counted = (encoded.filter(F.col("kind") == VOCABULARY).select("block", "ids", "counts")
-               .mapInArrow(unpack, "block long, term long, held long")
-               .withColumn("frequency", F.sum("held").over(Window.partitionBy("term")))
-               .filter("frequency > 1").select("block", "term", "frequency"))
-    routed = written(rests.select("block", *names(REST_COLUMNS)).groupBy("block").cogroup(counted.groupBy("block"))
-                     .applyInArrow(route, ROUTED), "routed")
+    sizes = {r["kind"]: r for r in encoded.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("words").alias("words")).collect()}
+    total, all_words = (sizes[REST]["rows"], sizes[REST]["words"]) if REST in sizes else (0, 0)
+    mean_words = all_words / max(1, total)
+    entries = sizes[VOCABULARY]["words"] if VOCABULARY in sizes else 0
+    ranges = max(LEAST_RANGES, 1 << (entries // range_words).bit_length())
+    counted = (encoded.filter(F.col("kind") == VOCABULARY).select("block", "ids", "counts").mapInArrow(into_ranges, RANGES)
+               .groupBy("range").applyInArrow(add, "block long, range long, often binary"))
+    rests = encoded.filter(F.col("kind") == REST).select("block", *names(REST_COLUMNS))
+    routed = written(rests.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(route, ROUTED), "routed")
     order = [F.asc_nulls_last("subject"), F.asc_nulls_last("word"), F.asc("row_no")]
     packed = routed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack_part, PIECES)
     return encoded.filter(F.col("kind") == FULL).select(names(PIECES)).unionByName(packed)
