@@ -17,7 +17,7 @@ import numpy as np
 
 from strophekit.llm.common import task_cache
 
-MEMO_BYTES = 64 << 20  # per generation and worker; two generations are kept
+MEMO_BYTES = 96 << 20  # per generation and worker; two generations are kept
 ENTRY_BYTES = 200      # of an entry besides its characters and ids
 TEXT_BYTES = 16 << 20  # of texts and their ids kept per worker
 GROUP_ROWS, GROUP_CHARS = 2048, 6 << 20  # of texts cut together
